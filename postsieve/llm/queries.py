@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from postsieve.llm.decontaminate import op1_decontamination
+from postsieve.llm.near_dup import op7_near_dup
 from postsieve.llm.quality_rules import op9_quality_rules
+from postsieve.llm.secrets import op2_secrets
+from postsieve.llm.sentencepieces import op5_sentencepiece
+from postsieve.llm.warc_zip import op4_warc_zip
 
-LLM_QUERIES = {"op9_quality_rules": op9_quality_rules}
+LLM_QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op4_warc_zip, op5_sentencepiece, op7_near_dup, op9_quality_rules)}
 LLM_ORACLES: dict[str, str] = {}
