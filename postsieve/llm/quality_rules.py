@@ -62,7 +62,8 @@ def features(docs: DataFrame) -> DataFrame:
     Windows of 8 words are hashed by doubling (1, 2, 4, 8 words); those of 8 are needed only where one of 4 repeats.
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    keep = [c for c in docs.columns if c not in ("text", "lang")]
+    made = {"text", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "base_failed", "char_distance", "word_distance", "kept"}
+    keep = [c for c in docs.columns if c not in made]
     d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"), lang.alias("_lang")).withColumn("_w", space_words(F.col("_t")))
     d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h2", _pairs("_h", 1)).withColumn("_h4", _pairs("_h2", 2))
     d = d.withColumn("_h8", F.when(F.size(F.array_distinct("_h4")) < F.size("_h4"), _pairs("_h4", 4)).otherwise(F.array().cast("array<bigint>")))
@@ -119,11 +120,11 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Null or empty text: all counts 0, base_failed, not kept. Null lang forms a language of its own; a language whose
     accepted documents have under guard_reference_words words judges none by histogram. Repeated rows are judged each
-    on its own and tie. An empty table gives an empty result. Other columns of docs are ignored here.
+    on its own and tie. An empty table gives an empty result. Other columns of docs stay, but for those with the names
+    of counts, which are replaced.
     """
-    cols = [F.col("doc_id")] + [F.col(c) for c in ("text", "lang") if c in docs.columns]
-    return judge(materialise(features(docs.select(*cols)), "quality_features"), rules)
+    return judge(materialise(features(docs), "quality_features"), rules)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
