@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from postsieve.plans.relational import RELATIONAL, RELATIONAL_SQL
+from postsieve.plans.scalar import SCALARS, duck_sql, spark_query
+
+QUERIES = {n: spark_query(n) for n in SCALARS} | RELATIONAL
+ORACLES = {n: duck_sql(n) for n in SCALARS} | RELATIONAL_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return QUERIES["f6_classify_posts"](spark, sf_dir)
