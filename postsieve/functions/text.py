@@ -103,7 +103,8 @@ def parse_listing_date(q: Dialect, x: str, as_of: str = AS_OF) -> str:
 
 def hours_since(q: Dialect, x: str, as_of: str = AS_OF) -> str:
     """Whole hours, 1 at least; 24 where nothing parses."""
-    return f"coalesce(greatest(1, {q.div(_hours_between(q, q.when_parsed(f'trim({x})', SERVING_FORMATS), as_of), 3600)}), 24)"
+    hours = q.div(_hours_between(q, q.when_parsed(f"trim({x})", SERVING_FORMATS), as_of), 3600)
+    return f"CASE WHEN {hours} IS NULL THEN 24 ELSE greatest(1, {hours}) END"
 
 
 def resolve_posted_date(q: Dialect, age: str, as_of: str = AS_OF) -> str:
@@ -177,4 +178,4 @@ def listing_score(q: Dialect, h: str, stipend: str) -> str:
 
 def unfenced(q: Dialect, x: str) -> str:
     """The JSON text of a model's answer without its code fence."""
-    return f"trim({q.sub(q.sub(x, r'(?s)^.*?```(json)?'), r'(?s)```.*$')})"
+    return q.sub(q.sub(q.sub(x, r"(?s)^.*?```(json)?"), r"(?s)```.*$"), r"^\s+|\s+$")
