@@ -99,7 +99,12 @@ def similar_titles(titles: DataFrame, ratio: float = 0.85) -> DataFrame:
         from difflib import SequenceMatcher
 
         for p in parts:
-            keep = [SequenceMatcher(None, y, x).ratio() > ratio for x, y in zip(p["x"], p["y"], strict=True)]
+            m, keep = SequenceMatcher(), []
+            for x, y in zip(p["x"], p["y"], strict=True):
+                if m.b != x:
+                    m.set_seq2(x)  # what it learns of this one serves the pairs that follow
+                m.set_seq1(y)
+                keep.append(m.real_quick_ratio() > ratio and m.quick_ratio() > ratio and m.ratio() > ratio)  # upper bounds first
             yield p.loc[keep, ["earlier", "later"]]
 
     return pairs.mapInPandas(score, "earlier long, later long")

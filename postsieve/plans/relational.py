@@ -427,7 +427,7 @@ def q2_search_board(spark, sf_dir):
     return serve.search_board(listings(spark, sf_dir), "Python ", field="Software", kind="Remote", sort="score").select("row_no")
 
 
-@query(f"WITH {LISTINGS_D} SELECT row_no FROM listings WHERE contains(lower(title || ' ' || org || ' ' || tags_text || ' ' || {_CHIPS_D} || ' ' || cluster || ' ' || location), 'design') AND hours_ago < 24 * 30 AND stipend > 0 AND timing = 'Part-time'")
+@query(f"WITH {LISTINGS_D} SELECT row_no FROM listings WHERE contains(lower(title || ' ' || org || ' ' || tags_text || ' ' || {_CHIPS_D} || ' ' || cluster || ' ' || location), 'design') AND stipend > 0 AND timing = 'Part-time'")
 def q3_search_board_extended(spark, sf_dir):
     return serve.search_board_extended(listings(spark, sf_dir), "design", paid=True, part_time=True).select("row_no")
 
