@@ -113,11 +113,13 @@ class Scanner:
             for n in range(1, len(at) + 1):
                 if n < len(at) and at[n] - at[n - 1] <= slack:
                     continue
-                low, high = max(0, at[first] - slack), min(len(w), at[n - 1] + len(t) + slack)
+                low, high = at[first], at[n - 1]
                 first = n
-                pairs = patience(w, t, low, high, 0, len(t))
-                if pairs and 100 * len(pairs) >= self.percent * len(t):
-                    found.append((100 * len(pairs) // len(t), len(pairs), pairs[0][0], pairs[-1][0] + 1, name))
+                for more in (0, slack):  # with room around it only if the bare region doesn't do
+                    pairs = patience(w, t, max(0, low - more), min(len(w), high + len(t) + more), 0, len(t))
+                    if pairs and 100 * len(pairs) >= self.percent * len(t):
+                        found.append((100 * len(pairs) // len(t), len(pairs), pairs[0][0], pairs[-1][0] + 1, name))
+                        break
         best: list[tuple[int, int, str, int]] = []
         for percent, _, s, e, name in sorted(found, key=lambda x: (-x[1], -x[0], x[2], x[4])):
             if not any(s < y and x < e for x, y, _, _ in best):
