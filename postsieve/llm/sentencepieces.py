@@ -2,8 +2,9 @@
 
 The model escapes spaces to a marker and no piece holds a marker behind another character, so merges never cross
 from one marked word into the next and a text's ids are its marked words' ids in order. Each task therefore
-segments a marked word once, keeps its ids and its decoded form in a table, and joins them back by position. The
-table belongs to a task and is emptied when it holds max_entries words, so memory stays bounded.
+segments the distinct marked words of a batch that it doesn't know yet, all at once, and joins their ids (and decoded
+forms) back by position. The table stays in its Python worker from task to task; it takes the first max_entries words,
+mostly the frequent ones, so memory stays bounded, and words beyond are segmented once a batch.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -38,35 +41,73 @@ def marked_words(text: str) -> list[str]:
     return [m[1:] for m in _MARKED.findall(" " + text)]
 
 
-class WordTable(dict):
-    """Marked word -> (ids as little-endian unsigned 32-bit integers, decoded bytes); filled on first use."""
+class WordTable:
+    """Marked word -> ids as little-endian unsigned 32-bit integers, or with decode a pair of those and the decoded bytes."""
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, decode: bool = False, max_entries: int = 400_000):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.max_entries = max_entries
+        self.decode, self.max_entries, self.known = decode, max_entries, {}
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         if any(MARKER in p.lstrip(MARKER) for p in pieces):
             raise ValueError("a piece of this model crosses a marker: words can't be segmented on their own")
         self.bos, self.eos = struct.pack("<I", self.model.bos_id()), struct.pack("<I", self.model.eos_id())
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.model.encode(word) if word else [self.model.piece_to_id(MARKER)]
-        self[word] = out = (struct.pack(f"<{len(ids)}I", *ids), self.model.decode(ids).encode())
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text between the begin and the end id, as bytes."""
-        return b"".join([self.bos, *[self[w][0] for w in marked_words(text)], self.eos])
-
-    def both(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as bytes, and the text that they decode to in UTF-8."""
-        if len(self) > self.max_entries:
-            self.clear()
-        found = [self[w] for w in marked_words(text)]
-        return b"".join([self.bos, *[f[0] for f in found], self.eos]), b" ".join([f[1] for f in found])
+    def _segment(self, words: list[str]) -> list:
+        ids = self.model.encode(words, num_threads=1)
+        if "" in words:
+            ids[words.index("")] = [self.model.piece_to_id(MARKER)]
+        packed = [array("I", i).tobytes() for i in ids] if sys.byteorder == "little" else [struct.pack(f"<{len(i)}I", *i) for i in ids]
+        return [(p, d.encode()) for p, d in zip(packed, self.model.decode(ids, num_threads=1), strict=True)] if self.decode else packed
+
+    def look_up(self, words: list[str]) -> list:
+        """Each word's entry, by position."""
+        found = [*map(self.known.get, words)]
+        missing, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                missing.append(at)
+        except ValueError:
+            pass
+        if missing:
+            names = list(dict.fromkeys([words[i] for i in missing]))
+            new = dict(zip(names, self._segment(names), strict=True))
+            for i in missing:
+                found[i] = new[words[i]]
+            room = max(0, self.max_entries - len(self.known))
+            self.known.update(new if len(new) <= room else {w: new[w] for w in names[:room]})
+        return found
+
+    def count(self, texts: list[str | None]) -> int:
+        """How many ids encode() gives these texts between their begin and end ids."""
+        return sum(map(len, self.look_up([w for t in texts for w in marked_words(t or "")]))) // 4
+
+    def _of(self, texts: list[str | None]) -> Iterator[list]:
+        words = [marked_words(t or "") for t in texts]
+        found, at = self.look_up([w for ws in words for w in ws]), 0
+        for ws in words:
+            yield found[at : at + len(ws)]
+            at += len(ws)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text between the begin and the end id, as bytes."""
+        return [b"".join([self.bos, *found, self.eos]) for found in self._of(texts)]
+
+    def both(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Of each text its ids as bytes, and the text that they decode to in UTF-8."""
+        return [(b"".join([self.bos, *[f[0] for f in found], self.eos]), b" ".join([f[1] for f in found])) for found in self._of(texts)]
+
+
+_tables: dict[tuple, WordTable] = {}
+
+
+def word_table(path: str, decode: bool = False) -> WordTable:
+    """This Python worker's table."""
+    if (path, decode) not in _tables:
+        _tables[path, decode] = WordTable(path, decode)
+    return _tables[path, decode]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, ids: bool = True, decoded: bool = True) -> DataFrame:
@@ -79,11 +120,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, ids: bool = True, de
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path)
+        words = word_table(path, decode=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                pairs = [words.both(t or "") for t in part.column(1).to_pylist()]
+                pairs = words.both(part.column(1).to_pylist())
                 cols = [
                     part.column(0).cast(pa.int64()), pa.array([len(i) // 4 for i, _ in pairs], pa.int64()),
                     pa.array([hashlib.sha256(i).hexdigest() for i, _ in pairs]), pa.array([hashlib.sha256(d).hexdigest() for _, d in pairs]),

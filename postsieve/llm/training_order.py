@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import materialise, new_path, table
-from postsieve.llm.sentencepieces import WordTable, model_path
+from postsieve.llm.sentencepieces import model_path, word_table
 from postsieve.llm.warc_zip import filesystem
 
 
@@ -71,11 +71,11 @@ class Layout:
 
 def _streams(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[np.ndarray]]]:
     """(partition, doc_ids, ids with the end id) by some hundred documents."""
-    words = WordTable(path)
+    words = word_table(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids = [np.frombuffer(words.encode(t or ""), "<u4")[1:] for t in part.column(1).to_pylist()]
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            ids = [np.frombuffer(x, "<u4")[1:] for x in words.encode(part.column(1).to_pylist())]
             yield part.column(2)[0].as_py(), part.column(0).to_pylist(), ids
 
 
@@ -86,14 +86,18 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
     holds, in order; the last sequence of a partition is padded. Null and empty texts are a single end id.
     """
     path = path or model_path()
-    if layout.dtype == "<u2" and WordTable(path).model.get_piece_size() > 1 << 16:
+    if layout.dtype == "<u2" and word_table(path).model.get_piece_size() > 1 << 16:
         raise ValueError("ids of this model need four bytes")
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.spark_partition_id().alias("part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = 0, None
-        for part, _, ids in _streams(path, batches):
-            total += sum(map(len, ids))
+        words = word_table(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                texts = batch.slice(at, 512)
+                part = texts.column(2)[0].as_py()
+                total += words.count(texts.column(1).to_pylist()) + texts.num_rows  # and the end ids
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64())], names=["part", "tokens"])
 
@@ -119,7 +123,8 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
             tokens = np.full(k, layout.length)
             tokens[-1] = len(stream) - (k - 1) * layout.length
             ids = [full[i * layout.length : (i + 1) * layout.length].tobytes() for i in range(k)]
-            held = [list(dict.fromkeys(d for d, _ in owners[a : b + 1])) for a, b in zip(lows, highs, strict=True)]
+            names = [d for d, _ in owners]
+            held = [names[a : b + 1] if b - a < 1 else list(dict.fromkeys(names[a : b + 1])) for a, b in zip(lows.tolist(), highs.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], names=["slot", "doc_ids", "n_tokens", "ids"])
 
         for part, names, ids in _streams(path, batches):
