@@ -3,9 +3,10 @@
 Documents of equal shingle sets form a class; the rest works on classes. MinHash bands bring classes together, odd
 sketches (parity bitmaps of the MinHash samples) estimate a pair's similarity by an XOR population count and turn away
 pairs far below the threshold, and the pairs that stay are confirmed on their full sets. In a bucket all members are
-held first against its smallest; then, in buckets that are not yet of one component, the members outside the largest
-component against all others. That compares every pair of different components that share a bucket, so no link is
-lost, and the groups of many copies cost a number of pairs in proportion to their size.
+held first against its smallest, then against that with the most links. The members of buckets that are not yet of one
+component are held against each other where a prefix of their rarest shingles leaves the threshold possible, which loses
+no pair: components are compared with others, never within, and many copies cost a number of pairs in proportion to
+their size.
 """
 
 from __future__ import annotations
@@ -141,6 +142,41 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame:
     return materialise(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def close_pairs(members: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame:
+    """Pairs (a, b) of members (node, component) of different components that can reach the threshold: a superset of those that do.
+
+    Shingles are ordered by how many members hold them. Two sets that reach the threshold share one of their first
+    shingles, and from the place of their first common one on enough must be left in both (prefix and position
+    filters). Within a shingle, members outside the largest component meet all others.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(p.words)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles.of(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                size = np.array([len(h) for h in sets])
+                spread = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), size))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([spread(0), spread(1), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+
+    texts = nodes.select("node", "text").join(members, "node").select("node", "component", "text")
+    rows = materialise(texts.mapInArrow(explode, "node bigint, component bigint, n bigint, shingle bigint"), "member_shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    per = rows.join(held, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    first = per.select("node", "component", "n", (F.col("n") - F.size("s")).alias("own"), F.posexplode("s").alias("k", "s"))
+    first = first.select("node", "component", "n", (F.col("own") + F.col("k")).alias("at"), F.col("s.shingle").alias("shingle")).filter(100 * (F.col("n") - F.col("at")) >= p.percent * F.col("n"))
+    first = materialise(first, "prefixes")
+    sizes = first.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    both = materialise(first.join(sizes.drop("parts"), "shingle"), "open_prefixes")
+    x = both.filter("component <> largest").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = both.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"), (F.col("component") == F.col("largest")).alias("big"))
+    left = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    possible = (F.col("cx") != F.col("cy")) & (F.col("big") | (F.col("x") < F.col("y"))) & ((100 + p.percent) * left >= p.percent * (F.col("nx") + F.col("ny")))
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & possible)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, of all nodes in links (a, b).
 
@@ -181,15 +217,24 @@ def group(docs: DataFrame, p: Shingling = Shingling(), keyed: bool = False) -> D
     links = confirmed(shared.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), nodes, p)
     found = materialise(components(links), "found")
     of = lambda d: d.join(small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = of(shared.filter("members > 2").select("band", "key", "node"))
-    per = rest.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    per = per.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = materialise(rest.join(per, ["band", "key"]), "unresolved")
+
+    def unresolved() -> DataFrame:
+        """(band, key, node, component) of buckets whose members, but for the head, are of several components."""
+        rest = of(shared.filter("members > 2").select("band", "key", "node"))
+        open_ = rest.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
+        return materialise(rest.join(open_, ["band", "key"]), "unresolved")
+
+    rest = unresolved()
+    if not rest.isEmpty():
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        ranked = rest.join(small(materialise(degree, "degrees")), "node", "left")
+        centre = ranked.groupBy("band", "key").agg(F.max_by(F.struct("node", "component"), F.struct(F.coalesce("links", F.lit(0)), "node")).alias("c"))
+        tried = rest.join(centre, ["band", "key"]).filter("component <> c.component").select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
+        links = materialise(links.union(confirmed(tried, nodes, p)), "links")
+        found = materialise(components(links), "found")
+        rest = unresolved()
     if not rest.isEmpty():
-        few = rest.filter("component <> largest").select("band", "key", F.col("node").alias("x"), F.col("component").alias("cx"))
-        all_ = rest.select("band", "key", F.col("node").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("big"))
-        pairs = few.join(all_, ["band", "key"]).filter("cx <> cy AND (big OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = confirmed(pairs, nodes, p)
+        more = confirmed(close_pairs(rest.select("node", "component").distinct(), nodes, p), nodes, p)
         if not more.isEmpty():
             found = materialise(components(links.union(more)), "found")
     by_class = of(classes.select("node", "smallest", "fingerprint"))
