@@ -123,7 +123,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame:
     apart = F.aggregate(F.zip_with("_oa", "_ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(odd.select(F.col("node").alias("a"), F.col("odd").alias("_oa")), "a").join(odd.select(F.col("node").alias("b"), F.col("odd").alias("_ob")), "b")
     near = materialise(near.filter(apart <= p.most_odd_bits).select("a", "b"), "near_pairs")
-    texts = nodes.select("node", "text")
+    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
+    texts = nodes.select("node", "text").join(small(ids), "node", "left_semi")  # so that no other text is shuffled
     both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def close_pairs(members: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame
                 spread = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), size))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([spread(0), spread(1), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
 
-    texts = nodes.select("node", "text").join(members, "node").select("node", "component", "text")
+    texts = nodes.select("node", "text").join(small(materialise(members, "members")), "node").select("node", "component", "text")
     rows = materialise(texts.mapInArrow(explode, "node bigint, component bigint, n bigint, shingle bigint"), "member_shingles")
     held = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     per = rows.join(held, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
