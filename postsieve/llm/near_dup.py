@@ -209,9 +209,11 @@ def group(docs: DataFrame, p: Shingling = Shingling(), keyed: bool = False) -> D
     """
     rows = materialise(sketches(docs, p).withColumn("row", F.monotonically_increasing_id()), "sketches")
     full = rows.filter("n_shingles > 0")
-    classes = full.groupBy("fingerprint").agg(F.min("row").alias("node"), F.min("doc_id").alias("smallest"))
+    classes = full.groupBy("fingerprint").agg(F.min("row").alias("node"), F.min("doc_id").alias("smallest"), F.count("*").alias("members"))
     classes = materialise(classes, "classes")
-    nodes = full.join(small(classes.select("node")), full["row"] == F.col("node"), "left_semi").withColumnRenamed("row", "node")
+    copied = classes.select("fingerprint", "node", "members")
+    again = full.select("row", "fingerprint").join(small(materialise(copied.filter("members > 1"), "copied")), "fingerprint").filter("row <> node").select("row")
+    nodes = full.join(small(materialise(again, "copies")), "row", "left_anti").withColumnRenamed("row", "node")  # fewer than the firsts
     banded = materialise(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1")
     shared = materialise(banded.join(materialise(buckets, "buckets"), ["band", "key"]).filter("node <> head"), "shared")
