@@ -2,9 +2,9 @@
 
 The attention model reads subword ids and predicts the next id's frequency class (ids in order of their counts, cut
 into classes of equal mass); within its class an id has its smoothed share of the corpus counts. Word and subword counts
-cover all training documents. The attention weights are trained in rounds: in each, every task trains a copy on the
-windows of a fixed share of its training documents and the copies are averaged, so what is learnt from grows with the
-input. Texts are scored in overlapping windows: each token once, with at least window - stride tokens before it.
+cover all training documents. The attention weights are trained in rounds, each over all training documents in shares:
+in a share, every task trains a copy on the windows of its documents and the copies are averaged. Texts are scored in
+overlapping windows: each token once, with at least window - stride tokens before it.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ from postsieve.llm.sentencepieces import model_path, word_table
 
 @dataclass(frozen=True)
 class Model:
-    window: int = 24
-    stride: int = 18
+    window: int = 32
+    stride: int = 24
     width: int = 16
-    classes: int = 32
+    classes: int = 64
     rate: float = 0.01
     batch: int = 256
-    #: Documents of one crc32 remainder of so many train in a round.
-    shares: int = 24
-    rounds: int = 2
+    #: Copies are averaged so many times in a round: after the documents of each crc32 remainder.
+    shares: int = 2
+    #: Passes over all training documents.
+    rounds: int = 1
     #: Words by count that every scoring task holds; the others' counts are joined.
     head_words: int = 200_000
 
@@ -252,7 +253,7 @@ def score(docs: DataFrame, m: Model = Model(), path: str | None = None) -> DataF
         counts[r.id] = r.c
     cls, within = classes(counts, m.classes)
     w = m.start(len(counts))
-    for k in range(m.rounds):
+    for k in range(m.rounds * m.shares):
         w = train_round(train.filter(F.col("share") == k % m.shares).select("text"), w, cls, m, path)
     floor = math.log10(n + v + 1)
     head = words.orderBy(F.desc("c"), "word").limit(m.head_words).toPandas()

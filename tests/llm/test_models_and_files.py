@@ -87,6 +87,25 @@ def test_model_learns(spark):
     assert trained and all(trained[d] > 0.6 * start[d] for d in trained)
 
 
+def test_every_training_document_reaches_the_model(spark, monkeypatch):
+    """With the settings of the registered query; no document here is of the crc32 remainders 0 and 1 of 24."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) // 7 % 24 > 1]
+    docs = small_docs(spark, [(i, f"d{i} " + "the cat saw the dog and then " * 40) for i in ids])
+    reached, run = [], lm_scoring.train_round
+
+    def spy(part, *more):
+        reached.extend(r.text.split()[0] for r in part.collect())
+        return run(part, *more)
+
+    monkeypatch.setattr(lm_scoring, "train_round", spy)
+    trained = {r.doc_id: r.score for r in lm_scoring.score(docs).filter("held_out").collect()}
+    assert sorted(reached) == sorted(f"d{i}" for i in ids if zlib.crc32(str(i).encode()) % 7 != 2)
+    start = {r.doc_id: r.score for r in lm_scoring.score(docs, lm_scoring.Model(rounds=0)).collect()}
+    assert trained and all(s > start[d] + 1 for d, s in trained.items())
+    m = lm_scoring.Model()
+    assert m.window >= 32 and m.window - m.stride >= 8 and m.classes >= 64
+
+
 def test_class_shares_sum_to_one():
     cls, within = lm_scoring.classes(np.array([50.0, 0, 3, 3, 100, 7, 0, 1]), 4)
     sums = np.bincount(cls, np.exp(within))
