@@ -26,7 +26,7 @@ SELECT doc_id AS post_id, CAST(substring(source, 4, 3) AS INT) AS query_seq,
          WHEN 12 THEN 'Legal intern, New Delhi. Apply by mail: law@acme.in. '
          WHEN 13 THEN 'Apprentice trainee role available. '
          WHEN 14 THEN 'Product management intern, work from home, apply in India. '
-         ELSE '' END || substring(text, 1, 400) AS text,
+         ELSE '' END || text AS text,
        CASE WHEN doc_id % 23 = 0 THEN '' ELSE 'https://posts.example/' || CAST(doc_id % 787 AS STRING) END AS url,
        CASE doc_id % 12 WHEN 0 THEN '5h' WHEN 1 THEN '3d' WHEN 2 THEN '2w' WHEN 3 THEN '30m' WHEN 4 THEN '2mo' WHEN 5 THEN 'just now' WHEN 6 THEN '2024-01-30T10:30:00.000Z' WHEN 7 THEN ''
                         WHEN 8 THEN 'yesterday-ish' WHEN 9 THEN '9d' WHEN 10 THEN '23 hours ago' ELSE '1 yr' END AS posted_time,
