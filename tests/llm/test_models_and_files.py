@@ -172,6 +172,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(small_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_full_texts_and_families_of_licenses(spark):
+    known = licenses.all_templates()
+    texts = {name: max(known[name], key=len) for name in ("MPL-2.0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "CC0-1.0")}
+    assert all(len(t.split()) > 100 for t in texts.values())
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    lesser = gpl.replace("GNU General", "GNU Lesser General").replace("version 2", "version 3")
+    cc = "This work is licensed under a Creative Commons Attribution{} {} International License."
+    rows = list(texts.items()) + [("GPL-2.0", gpl), ("LGPL-3.0", lesser), ("AGPL-3.0", lesser.replace("Lesser", "Affero")), ("CC-BY-SA-4.0", cc.format("-ShareAlike", "4.0")), ("CC-BY-4.0", cc.format("", "4.0")), (None, cc.format("-ShareAlike", "3.0")), (None, gpl.replace("version 2", "version 1"))]
+    docs = small_docs(spark, [(k, f"Some words before it. {t} And after it") for k, (_, t) in enumerate(rows)] + [(len(rows), texts["MIT"] + "\n" + texts["MIT"]), (len(rows) + 1, texts["MPL-2.0"] * 2)])
+    got = {r.doc_id: [x.license for x in r.licenses] for r in licenses.scan_licenses(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [[name] * (name is not None) for name, _ in rows]
+    assert got[len(rows)] == ["MIT"] * 2 and got[len(rows) + 1] == ["MPL-2.0"] * 2
+
+
 def test_patience_is_ordered_and_common():
     rng = np.random.default_rng(6)
     for _ in range(200):
