@@ -197,11 +197,11 @@ def c14_explode_roles(spark, sf_dir):
     return posts(spark, sf_dir).select("post_id", F.posexplode(clean).alias("place", "role")).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query(f"SELECT post_id FROM (SELECT *, {NORM_D} AS n FROM fx_posts) WHERE {x.early_filter(DUCK, 'author_name', 'posted_time', 'n')} AND NOT (url <> '' AND url IN (SELECT url FROM fx_posts WHERE post_id < 50)) AND post_id >= 50")
+@query(f"SELECT post_id FROM (SELECT *, {NORM_D} AS n FROM fx_posts) WHERE {x.early_filter(DUCK, 'author_name', 'posted_time', 'n')} AND NOT (url <> '' AND url IN (SELECT url FROM fx_posts WHERE query_seq < 10)) AND query_seq >= 10")
 def f7_prefilter_posts(spark, sf_dir):
     p = posts(spark, sf_dir).withColumn("n", F.expr(NORM))
-    seen = p.filter("post_id < 50 AND url <> ''").select(F.col("url").alias("key"))
-    return dedup.anti_seen(p.filter("post_id >= 50").filter(x.early_filter(SPARK, "author_name", "posted_time", "n")), F.nullif("url", F.lit("")), seen).select("post_id")
+    seen = p.filter("query_seq < 10 AND url <> ''").select(F.col("url").alias("key"))
+    return dedup.anti_seen(p.filter("query_seq >= 10").filter(x.early_filter(SPARK, "author_name", "posted_time", "n")), F.nullif("url", F.lit("")), seen).select("post_id")
 
 
 UNKNOWN = ("Unknown", "N/A", "Confidential", "Company", "Stealth", "null")
@@ -244,10 +244,10 @@ def j1b_dedup_title(spark, sf_dir):
     return dedup.dedup_first(published(spark, sf_dir).select("row_no", "title"), F.substring("title", 1, 50), ["row_no"])
 
 
-@query(f"SELECT post_id FROM fx_posts WHERE post_id >= 100 AND md5({NORM_D}) NOT IN (SELECT md5({NORM_D}) FROM fx_posts WHERE post_id < 100)")
+@query(f"SELECT post_id FROM fx_posts WHERE query_seq >= 10 AND md5({NORM_D}) NOT IN (SELECT md5({NORM_D}) FROM fx_posts WHERE query_seq < 10)")
 def j2_anti_seen(spark, sf_dir):
-    p = posts(spark, sf_dir).select("post_id", F.md5(F.expr(NORM)).alias("h"))
-    return dedup.anti_seen(p.filter("post_id >= 100"), "h", p.filter("post_id < 100").select(F.col("h").alias("key"))).select("post_id")
+    p = posts(spark, sf_dir).select("post_id", "query_seq", F.md5(F.expr(NORM)).alias("h"))
+    return dedup.anti_seen(p.filter("query_seq >= 10"), "h", p.filter("query_seq < 10").select(F.col("h").alias("key"))).select("post_id")
 
 
 @query()
@@ -261,10 +261,10 @@ def j4_dedup_author(spark, sf_dir):
     return dedup.dedup_author(posts(spark, sf_dir).select("post_id", "author_name"), "author_name", ["post_id"], ("author 7",))
 
 
-@query(f"WITH k AS (SELECT post_id, {CKEY_D} || ':' || {BUCKET_D} AS key FROM fx_posts) SELECT post_id, key FROM k WHERE post_id >= 20 AND key NOT IN (SELECT key FROM k WHERE post_id < 20) QUALIFY row_number() OVER (PARTITION BY key ORDER BY post_id) = 1")
+@query(f"WITH k AS (SELECT post_id, query_seq, {CKEY_D} || ':' || {BUCKET_D} AS key FROM fx_posts) SELECT post_id, key FROM k WHERE query_seq > 0 AND key NOT IN (SELECT key FROM k WHERE query_seq = 0) QUALIFY row_number() OVER (PARTITION BY key ORDER BY post_id) = 1")
 def j5_dedup_company_role(spark, sf_dir):
-    k = posts(spark, sf_dir).select("post_id", F.expr(f"concat({CKEY}, ':', {BUCKET})").alias("key"))
-    return dedup.dedup_first(dedup.anti_seen(k.filter("post_id >= 20"), "key", k.filter("post_id < 20")), "key", ["post_id"])
+    k = posts(spark, sf_dir).select("post_id", "query_seq", F.expr(f"concat({CKEY}, ':', {BUCKET})").alias("key"))
+    return dedup.dedup_first(dedup.anti_seen(k.filter("query_seq > 0"), "key", k.filter("query_seq = 0").select("key")), "key", ["post_id"]).select("post_id", "key")
 
 
 def _keyed(spark, sf_dir):
@@ -379,9 +379,9 @@ def a15_take_until_target(spark, sf_dir):
     return rank.take_until_target(posts(spark, sf_dir).filter("label = 'real'"), ["query_seq", "post_id"], 50).select("post_id")
 
 
-@query("SELECT count(*) AS published, CAST(greatest(0, 105 - count(*)) AS BIGINT) AS deficit, CAST(CASE WHEN count(*) < 105 THEN 105 - count(*) + 15 ELSE 0 END AS BIGINT) AS next_target FROM fx_posts WHERE label = 'scam' AND post_id % 2 = 0")
+@query("SELECT count(*) AS published, CAST(greatest(0, 105 - count(*)) AS BIGINT) AS deficit, CAST(CASE WHEN count(*) < 105 THEN 105 - count(*) + 15 ELSE 0 END AS BIGINT) AS next_target FROM fx_posts WHERE label = 'scam'")
 def a16_topup_deficit(spark, sf_dir):
-    return rank.topup_plan(posts(spark, sf_dir).filter("label = 'scam' AND post_id % 2 = 0"))
+    return rank.topup_plan(posts(spark, sf_dir).filter("label = 'scam'"))
 
 
 @query(
@@ -463,9 +463,9 @@ def q5_digest_rows(spark, sf_dir):
     return serve.digest_rows(all_, serve.match_subscribers(all_, serve.read_subscribers(view(spark, sf_dir, "fx_subscribers"))))
 
 
-@query(f"WITH {LISTINGS_D}, near_ AS (SELECT * FROM listings WHERE hours_ago < 200) SELECT a.row_no, row_number() OVER (PARTITION BY a.row_no ORDER BY b.hours_ago, b.row_no) AS place, b.row_no AS other FROM near_ a JOIN near_ b ON a.cluster = b.cluster AND a.id <> b.id QUALIFY place <= 4")
+@query(f"WITH {LISTINGS_D} SELECT a.row_no, row_number() OVER (PARTITION BY a.row_no ORDER BY b.hours_ago, b.row_no) AS place, b.row_no AS other FROM listings a JOIN listings b ON a.cluster = b.cluster AND a.id <> b.id QUALIFY place <= 4")
 def j12_related_listings(spark, sf_dir):
-    return serve.related_listings(materialise(listings(spark, sf_dir).filter("hours_ago < 200"), "listings"))
+    return serve.related_listings(materialise(listings(spark, sf_dir), "listings"))
 
 
 @query(f"WITH {LISTINGS_D}, last AS (SELECT max_by(scanned, day) AS scanned, max_by(verified, day) AS verified, max(day) AS day FROM fx_runs) SELECT verified::BIGINT AS verified_today, (SELECT count(*) FROM listings) AS total_active, (scanned - verified)::BIGINT AS spiked_today, scanned AS scanned_today, (SELECT count(*) FROM listings) AS eligible, CAST(day AS VARCHAR) AS last_run FROM last")

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from postsieve.plans.fixtures import view
 from postsieve.plans.registry import ORACLES, QUERIES
 
 
@@ -56,3 +57,21 @@ def test_posts_are_read_to_their_end(spark, tmp_path):
     for name, k in (("c2_extract_emails", 0), ("c3_extract_locations", 1)):
         assert {r[0]: r[1] or "" for r in QUERIES[name](spark, str(tmp_path)).collect()} == {d: w[k] for d, w in want.items()}
         assert {r[0]: r[1] or "" for r in con.execute(ORACLES[name]).fetchall()} == {d: w[k] for d, w in want.items()}
+
+
+def test_whole_tables_are_worked_on(spark, sf_dir):
+    """Listings of any age have relations, every scam post counts, and what is seen grows with the posts."""
+    rows = [(r.row_no, r.id, r.cluster, r.hours_ago) for r in QUERIES["q1_listings_view"](spark, sf_dir).collect()]
+    assert any(h >= 200 for *_, h in rows)
+    first = {}
+    for row, i, cluster, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        first.setdefault(cluster, []).append((row, i))
+    want = {(row, k + 1, other) for row, i, cluster, _ in rows for k, other in enumerate([o for o, j in first[cluster] if j != i][:4])}
+    assert {(r.row_no, r.place, r.other) for r in QUERIES["j12_related_listings"](spark, sf_dir).collect()} == want
+    posts = {r.post_id: r for r in view(spark, sf_dir, "fx_posts").collect()}
+    assert QUERIES["a16_topup_deficit"](spark, sf_dir).first().published == sum(p.label == "scam" for p in posts.values())
+    for name, earlier in (("f7_prefilter_posts", 10), ("j2_anti_seen", 10), ("j5_dedup_company_role", 1)):
+        got = [posts[r.post_id] for r in QUERIES[name](spark, sf_dir).collect()]
+        assert got and all(p.query_seq >= earlier for p in got)
+    seen = {p.url for p in posts.values() if p.query_seq < 10}
+    assert all(not posts[r.post_id].url or posts[r.post_id].url not in seen for r in QUERIES["f7_prefilter_posts"](spark, sf_dir).collect())
