@@ -133,6 +133,31 @@ def test_passages(spark):
     assert passages.passages(small_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_beside_text_that_half_agrees(spark):
+    rows = lambda own: " ".join(f"{FILL(f'{own}{k}_', 4)} row{k} of the list" for k in range(12))
+    docs = [(1, f"{rows('a')} {PASSAGE} {rows('b')}"), (2, f"{rows('c')} {PASSAGE} {rows('d')}")]
+    found = passages.passages(small_docs(spark, docs)).collect()
+    assert len(found) == 1
+    r = found[0]
+    assert r.start <= 96 and r.end >= 156 and r.start == r.src_start and r.end == r.src_end and r.percent >= 80 and r.n_equal >= 60
+
+
+def test_parts_that_are_equal_enough():
+    rng, p = np.random.default_rng(8), passages.Passages(min_words=12)
+    for _ in range(200):
+        runs, i, j = [], 0, 0
+        for _ in range(int(rng.integers(1, 12))):
+            size = int(rng.integers(1, 12))
+            runs.append((i, j, size))
+            i, j = i + size + int(rng.integers(0, 5)), j + size + int(rng.integers(0, 5))
+        parts = [(sum(r[2] for r in runs[s:e]), runs[s][0], runs[e - 1][0] + runs[e - 1][2], runs[s][1], runs[e - 1][1] + runs[e - 1][2]) for s in range(len(runs)) for e in range(s + 1, len(runs) + 1)]
+        good = [x for x in parts if x[0] >= 12 and 100 * x[0] >= 80 * max(x[2] - x[1], x[4] - x[3])]
+        got = passages.equal_enough(runs, p)
+        assert all((n, s, e, t, g) in good for s, e, t, g, n in got) and bool(got) == bool(good)
+        assert not good or got[0][4] == max(x[0] for x in good)
+        assert all(any(s < x[2] and x[1] < e for s, e, *_ in got) for x in good)
+
+
 def test_passages_of_many_copies(spark):
     rows = [(i, f"{FILL(f'x{i}_', 20)} {PASSAGE} {FILL(f'y{i}_', 20)}") for i in range(300)]
     got = passages.passages(small_docs(spark, rows)).collect()
