@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding through a table of distinct marked words.
 
 The model escapes spaces to a marker and no piece holds a marker behind another character, so merges never cross
-from one marked word into the next and a text's ids are its marked words' ids in order. Each task therefore
-segments the distinct marked words of a batch that it doesn't know yet, all at once, and joins their ids (and decoded
-forms) back by position. The table stays in its Python worker from task to task; it takes the first max_entries words,
-mostly the frequent ones, so memory stays bounded, and words beyond are segmented once a batch.
+from one marked word into the next and a text's ids are its marked words' ids in order. The distinct marked words of
+each input partition are dealt by hash into buckets; a bucket's task segments each distinct word once and sends the
+ids back to the partitions that hold the word, as one small file a partition in the shared folder. The partitions are
+then read again, and the ids (and decoded forms) are joined back by position. A word that a partition's file lacks,
+because the input came in other partitions the second time, is segmented on the spot, so results never depend on it.
 """
 
 from __future__ import annotations
@@ -12,19 +13,27 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-import sys
-from array import array
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import table
+from postsieve.llm.common import filesystem, new_path, table
 
 MARKER = "▁"
 MODEL = "piece_bpe_32k.model"
+#: Buckets that distinct words are dealt into; a bucket's words are held in one task's memory.
+BUCKETS = 4096
+#: A partition's distinct words are sent off at this many, to bound memory; a word met again later is sent again.
+PARTITION_WORDS = 500_000
 _MARKED = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
 
 
@@ -34,108 +43,283 @@ def model_path(name: str = MODEL) -> str:
 
 def marked_words(text: str) -> list[str]:
     """The marked words of a text in order, each without its first marker."""
-    if not text:
-        return []
-    if text[0] != " " and "  " not in text and MARKER not in text:
-        return text.split(" ")
-    return [m[1:] for m in _MARKED.findall(" " + text)]
+    return [m[1:] for m in _MARKED.findall(" " + text)] if text else []
 
 
-class WordTable:
-    """Marked word -> ids as little-endian unsigned 32-bit integers, or with decode a pair of those and the decoded bytes."""
+@dataclass
+class Split:
+    """The marked words of a column of texts: distinct ones, the number of each word in order, and each text's range of words."""
 
-    def __init__(self, path: str, decode: bool = False, max_entries: int = 400_000):
+    distinct: list[str]
+    codes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    #: Texts whose words are not just the text between single spaces.
+    odd: np.ndarray
+
+
+def split(texts: pa.Array) -> Split:
+    """Words of the odd texts (empty ones, and those with spaces in front or in a row or with the marker) lie behind the others'."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")), pc.or_(pc.match_substring(texts, MARKER), pc.equal(pc.binary_length(texts), 0)))
+    odd = odd.to_numpy(zero_copy_only=False)
+    parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    words, size = parts.flatten(), np.zeros(len(texts), np.int64)
+    size[~odd] = parts.value_lengths().to_numpy()
+    end = np.zeros(len(texts), np.int64)
+    end[~odd] = np.cumsum(size[~odd])
+    if odd.any():
+        lists = [marked_words(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        size[odd] = [len(x) for x in lists]
+        end[odd] = len(words) + np.cumsum(size[odd])
+        words = pa.concat_arrays([words, pa.array([w for x in lists for w in x], words.type)])
+    coded = words.dictionary_encode()
+    return Split(coded.dictionary.to_pylist(), coded.indices.to_numpy(), end - size, end, odd)
+
+
+def by_bytes(texts: pa.Array, rows: int = 2048, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive texts of some megabytes, one at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        n = min(rows, max(1, int(np.searchsorted(ends, base + size, side="right")) - at), len(texts) - at)
+        yield at, n
+        at += n
+
+
+class Model:
+    """The library's model, and what joining words' ids asks of it."""
+
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.decode, self.max_entries, self.known = decode, max_entries, {}
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = self.lib.get_piece_size()
+        pieces = (self.lib.id_to_piece(i) for i in range(self.size))
         if any(MARKER in p.lstrip(MARKER) for p in pieces):
             raise ValueError("a piece of this model crosses a marker: words can't be segmented on their own")
-        self.bos, self.eos = struct.pack("<I", self.model.bos_id()), struct.pack("<I", self.model.eos_id())
+        self.bos, self.eos = struct.pack("<I", self.lib.bos_id()), struct.pack("<I", self.lib.eos_id())
 
-    def _segment(self, words: list[str]) -> list:
-        ids = self.model.encode(words, num_threads=1)
+    def segment(self, words: list[str]) -> list[list[int]]:
+        ids = self.lib.encode(words, num_threads=1)
         if "" in words:
-            ids[words.index("")] = [self.model.piece_to_id(MARKER)]
-        packed = [array("I", i).tobytes() for i in ids] if sys.byteorder == "little" else [struct.pack(f"<{len(i)}I", *i) for i in ids]
-        return [(p, d.encode()) for p, d in zip(packed, self.model.decode(ids, num_threads=1), strict=True)] if self.decode else packed
-
-    def look_up(self, words: list[str]) -> list:
-        """Each word's entry, by position."""
-        found = [*map(self.known.get, words)]
-        missing, at = [], -1
-        try:
-            while True:
-                at = found.index(None, at + 1)
-                missing.append(at)
-        except ValueError:
-            pass
-        if missing:
-            names = list(dict.fromkeys([words[i] for i in missing]))
-            new = dict(zip(names, self._segment(names), strict=True))
-            for i in missing:
-                found[i] = new[words[i]]
-            room = max(0, self.max_entries - len(self.known))
-            self.known.update(new if len(new) <= room else {w: new[w] for w in names[:room]})
-        return found
-
-    def count(self, texts: list[str | None]) -> int:
-        """How many ids encode() gives these texts between their begin and end ids."""
-        return sum(map(len, self.look_up([w for t in texts for w in marked_words(t or "")]))) // 4
-
-    def _of(self, texts: list[str | None]) -> Iterator[list]:
-        words = [marked_words(t or "") for t in texts]
-        found, at = self.look_up([w for ws in words for w in ws]), 0
-        for ws in words:
-            yield found[at : at + len(ws)]
-            at += len(ws)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text between the begin and the end id, as bytes."""
-        return [b"".join([self.bos, *found, self.eos]) for found in self._of(texts)]
-
-    def both(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Of each text its ids as bytes, and the text that they decode to in UTF-8."""
-        return [(b"".join([self.bos, *[f[0] for f in found], self.eos]), b" ".join([f[1] for f in found])) for found in self._of(texts)]
-
-
-_tables: dict[tuple, WordTable] = {}
-
-
-def word_table(path: str, decode: bool = False) -> WordTable:
-    """This Python worker's table."""
-    if (path, decode) not in _tables:
-        _tables[path, decode] = WordTable(path, decode)
-    return _tables[path, decode]
+            ids[words.index("")] = [self.lib.piece_to_id(MARKER)]
+        return ids
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.lib.decode(ids, num_threads=1)
+
+
+_models: dict[str, Model] = {}
+
+
+def model(path: str) -> Model:
+    """This Python worker's model."""
+    if path not in _models:
+        _models[path] = Model(path)
+    return _models[path]
+
+
+def pack(words: list[str]) -> tuple[bytes, bytes]:
+    raw = [w.encode() for w in words]
+    return b"".join(raw), np.array([len(r) for r in raw], "<u4").tobytes()
+
+
+def unpack(data: bytes, sizes: bytes) -> list[str]:
+    ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+    return [data[s:e].decode() for s, e in zip([0, *ends], ends)]
+
+
+def word_table(docs: DataFrame, path: str, decode: bool = False, counted: str | None = None) -> str:
+    """Write the segments of the distinct marked words of docs (text) by partition; gives their folder.
+
+    counted: a boolean column; the table then also holds how often each word occurs in those rows of the partition, in all
+    (n) and in texts without the marker (n_plain).
+    """
+    folder = new_path(docs.sparkSession, "words")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = None, {}
+
+        def out() -> pa.RecordBatch:
+            by: dict[int, list[str]] = {}
+            for w in seen:
+                by.setdefault(zlib.crc32(w.encode()) % BUCKETS, []).append(w)
+            packed = [(*pack(ws), *(np.array([seen[w] for w in ws], "<u4").reshape(-1, 2).T if counted else [()] * 2)) for ws in by.values()]
+            cols = [[p[0] for p in packed], [p[1] for p in packed], *([np.asarray(p[k], "<u4").tobytes() for p in packed] for k in (2, 3))]
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(by), pa.int32()), pa.array(list(by), pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["part", "bucket", "words", "sizes", "n", "n_plain"])
+
+        for batch in batches:
+            part, texts = batch.column(0)[0].as_py() if batch.num_rows else part, batch.column(1)
+            for at, n in by_bytes(texts):
+                s = split(texts.slice(at, n))
+                if not counted:
+                    seen.update(dict.fromkeys(s.distinct))
+                else:
+                    on = batch.column(2).slice(at, n).to_numpy(zero_copy_only=False).astype(bool)
+                    plain = on & ~pc.match_substring(pc.fill_null(texts.slice(at, n), ""), MARKER).to_numpy(zero_copy_only=False)
+                    order = np.argsort(s.start, kind="stable")
+                    sums = [np.bincount(s.codes, np.repeat(m[order], (s.end - s.start)[order]), len(s.distinct)).astype(np.int64).tolist() for m in (on, plain)]
+                    for w, x, y in zip(s.distinct, *sums, strict=True):
+                        c = seen.get(w)
+                        if c is None:
+                            seen[w] = [x, y]
+                        else:
+                            c[0] += x
+                            c[1] += y
+                if len(seen) > PARTITION_WORDS:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, bucket, known = model(path), None, {}
+        for batch in batches:
+            parts, buckets, data, sizes = (c.to_pylist() for c in batch.columns[:4])
+            out, at = [], 0
+            while at < len(parts):
+                end = at + 1
+                while end < len(parts) and buckets[end] == buckets[at]:
+                    end += 1
+                if buckets[at] != bucket:
+                    bucket, known = buckets[at], {}
+                rows = [unpack(d, s) for d, s in zip(data[at:end], sizes[at:end], strict=True)]
+                new = list(dict.fromkeys(w for ws in rows for w in ws if w not in known))
+                if new:
+                    ids = sp.segment(new)
+                    back = sp.decode(ids) if decode else new
+                    for w, i, b in zip(new, ids, back, strict=True):
+                        known[w] = (np.array(i, "<u4").tobytes(), None if b == w else b)
+                for ws in rows:
+                    found = [known[w] for w in ws]
+                    other = [(p, b) for p, (_, b) in enumerate(found) if b is not None]
+                    out.append((b"".join([i for i, _ in found]), np.array([len(i) // 4 for i, _ in found], "<u4").tobytes(), [p for p, _ in other], [b for _, b in other]))
+                at = end
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            made = [pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], names=["part", "words", "sizes", "n", "n_plain", "ids", "n_ids", "other", "decoded"])
+
+    rows = docs.select(F.spark_partition_id().alias("part"), "text", *([counted] if counted else []))
+    rows = rows.mapInArrow(distinct, "part int, bucket int, words binary, sizes binary, n binary, n_plain binary")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.mapInArrow(segment, "part int, words binary, sizes binary, n binary, n_plain binary, ids binary, n_ids binary, other array<int>, decoded array<string>")
+    rows.repartition("part").write.partitionBy("part").parquet(folder)
+    return folder
+
+
+def part_files(folder: str, part: int) -> Iterator[pa.Table]:
+    """A partition's files of a table that was written by partition, none if it has none."""
+    where, local = filesystem(folder)
+    for f in where.get_file_info(fs.FileSelector(f"{local}/part={part}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with where.open_input_file(f.path) as source:
+                yield pq.ParquetFile(source).read()
+
+
+class Encoder:
+    """Joins the segments of words back by position, from a partition's file of word_table()."""
+
+    def __init__(self, path: str, folder: str | None = None, part: int | None = None):
+        self.model = model(path)
+        self.at: dict[str, int] = {}
+        flat, sizes, self.other = [np.empty(0, "<u4")], [np.empty(0, np.int64)], {}
+        for t in part_files(folder, part) if folder else ():
+            for words, size, ids, n_ids, other, decoded in zip(*(t[c].to_pylist() for c in ("words", "sizes", "ids", "n_ids", "other", "decoded")), strict=True):
+                names, first = unpack(words, size), len(self.at)
+                if any(w in self.at for w in names):  # sent twice, by a partition of very many words
+                    first = None
+                for k, (p, b) in enumerate(zip(other, decoded, strict=True)):
+                    self.other[names[p]] = b
+                n, i = np.frombuffer(n_ids, "<u4").astype(np.int64), np.frombuffer(ids, "<u4")
+                if first is None:
+                    ends = np.cumsum(n)
+                    new = [k for k, w in enumerate(names) if w not in self.at]
+                    i = np.concatenate([np.empty(0, "<u4"), *[i[ends[k] - n[k] : ends[k]] for k in new]])
+                    n, names, first = n[new], [names[k] for k in new], len(self.at)
+                self.at.update(zip(names, range(first, first + len(names))))
+                flat.append(i)
+                sizes.append(n)
+        self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
+
+    def entries(self, words: list[str], decode: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, str]]:
+        """(entry of each word; ids, first and size of the entries; decoded forms of those words that change)."""
+        found = [*map(self.at.get, words)]
+        if None not in found:
+            return np.array(found, np.int64), self.flat, self.first, self.size, self.other
+        new = [w for w, f in zip(words, found, strict=True) if f is None]
+        ids = self.model.segment(new)
+        more = iter(range(len(self.size), len(self.size) + len(new)))
+        size = np.concatenate([self.size, np.array([len(i) for i in ids], np.int64)])
+        other = dict(self.other)
+        if decode:
+            other.update((w, b) for w, b in zip(new, self.model.decode(ids), strict=True) if w != b)
+        flat = np.concatenate([self.flat, *[np.array(i, "<u4") for i in ids]])
+        return np.array([next(more) if f is None else f for f in found], np.int64), flat, np.cumsum(size) - size, size, other
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has between its begin and end ids."""
+        s = split(texts)
+        e, _, _, size, _ = self.entries(s.distinct, False)
+        ends = np.concatenate([[0], np.cumsum(size[e][s.codes])])
+        return ends[s.end] - ends[s.start]
+
+    def encode(self, texts: pa.Array, s: Split | None = None, decode: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, str]]:
+        """(ids of all words, first and end of each text's, decoded forms of words that change)."""
+        s = s or split(texts)
+        e, flat, first, size, other = self.entries(s.distinct, decode)
+        n = size[e][s.codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[e][s.codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])
+        return ids, ends[s.start], ends[s.end], other
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """Of each text its ids from begin to end as little-endian unsigned 32-bit integers, and what they decode to in UTF-8."""
+        s = split(texts)
+        ids, first, end, other = self.encode(texts, s, decode=True)
+        changed = np.array([w in other for w in s.distinct], bool)[s.codes] if other else np.zeros(len(s.codes), bool)
+        touched = np.concatenate([[0], np.cumsum(changed)])
+        redo = s.odd | (touched[s.end] > touched[s.start])
+        raw = texts.cast(pa.binary()).to_pylist()
+        for k in range(len(texts)):
+            text = raw[k] or b""
+            if redo[k]:
+                words = (s.distinct[c] for c in s.codes[s.start[k] : s.end[k]])
+                text = " ".join([other.get(w, w) for w in words]).encode()
+            yield b"".join([self.model.bos, ids[first[k] : end[k]].tobytes(), self.model.eos]), text
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, ids: bool = True, decoded: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, and ids (array) and decoded (string) where asked for, with their digests.
 
     Null and empty texts give the begin and the end id and decode to an empty text. Repeated rows give repeated rows,
-    null doc_ids stay null, an empty table gives an empty result; other columns of docs are left out.
+    null doc_ids stay null, an empty table gives an empty result; other columns of docs are left out. A very long text is
+    one slice of its task, a very long word one entry of the table.
     """
     path = path or model_path()
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    folder = word_table(docs, path, decode=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_table(path, decode=True)
+        encoder = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                pairs = words.both(part.column(1).to_pylist())
-                cols = [
-                    part.column(0).cast(pa.int64()), pa.array([len(i) // 4 for i, _ in pairs], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i, _ in pairs]), pa.array([hashlib.sha256(d).hexdigest() for _, d in pairs]),
-                ]
+            if encoder is None and batch.num_rows:
+                encoder = Encoder(path, folder, batch.column(2)[0].as_py())
+            for at, n in by_bytes(batch.column(1)):
+                part = batch.slice(at, n)
+                pairs = list(encoder.texts(part.column(1)))
+                cols = [part.column(0), pa.array([len(i) // 4 for i, _ in pairs], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in pairs]), pa.array([hashlib.sha256(d).hexdigest() for _, d in pairs])]
                 if ids:
-                    cols.append(pa.array([memoryview(i).cast("i").tolist() for i, _ in pairs], pa.list_(pa.int32())))
+                    cols.append(pa.array([np.frombuffer(i, "<i4") for i, _ in pairs], pa.list_(pa.int32())))
                 if decoded:
                     cols.append(pa.array([d.decode() for _, d in pairs], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

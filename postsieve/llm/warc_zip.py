@@ -20,11 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, new_path, small, table
+from postsieve.llm.common import filesystem, materialise, new_path, small, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed at this many bytes of records; a read takes up to so many at once.
@@ -37,10 +36,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()

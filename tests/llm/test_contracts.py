@@ -5,6 +5,7 @@ import os
 import struct
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from postsieve.llm import decontaminate, near_dup, quality_rules, secrets, sentencepieces, warc_zip
@@ -126,12 +127,34 @@ def test_sentencepiece_words_are_independent():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.model_path())
-    words, rng = sentencepieces.WordTable(sentencepieces.model_path(), decode=True, max_entries=50), random.Random(3)
-    for _ in range(3000):
-        t = "".join(rng.choice([" ", " ", "  ", "▁", "a", "the", "é", "\n", "\t", "😀", "\x00", "ing", "<s>", "0", "ﬁ"]) for _ in range(rng.randint(0, 12)))
-        ids, text = words.both([t, None])[0]
-        assert list(memoryview(ids).cast("I")) == sp.encode(t, add_bos=True, add_eos=True), repr(t)
-        assert text.decode() == sp.decode(sp.encode(t)), repr(t)
+    encoder, rng = sentencepieces.Encoder(sentencepieces.model_path()), random.Random(3)
+    texts = ["".join(rng.choice([" ", " ", "  ", "▁", "a", "the", "é", "\n", "\t", "😀", "\x00", "ing", "<s>", "0", "ﬁ"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None]
+    for at in range(0, len(texts), 70):
+        part = pa.array(texts[at : at + 70], pa.string())
+        lengths = encoder.lengths(part)
+        for t, n, (ids, text) in zip(texts[at : at + 70], lengths, encoder.texts(part), strict=True):
+            assert list(memoryview(ids).cast("I")) == sp.encode(t or "", add_bos=True, add_eos=True), repr(t)
+            assert text.decode() == sp.decode(sp.encode(t or "")) and n == len(ids) // 4 - 2, repr(t)
+
+
+def test_word_table(spark, sf_dir, monkeypatch):
+    """The files of the partitions hold all their words; a word that is sent in two shares is held once."""
+    monkeypatch.setattr(sentencepieces, "PARTITION_WORDS", 500)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = sentencepieces.word_table(docs, sentencepieces.model_path(), decode=True)
+    encoder = sentencepieces.Encoder(sentencepieces.model_path(), folder, 0)
+    words = {w for r in docs.collect() for w in sentencepieces.marked_words(r.text or "")}
+    assert docs.rdd.getNumPartitions() == 1 and set(encoder.at) == words and len(encoder.size) == len(words)
+    shown = sorted(words)[:500]
+    ids, first, end, _ = encoder.encode(pa.array(shown))
+    assert [ids[f:e].tolist() for f, e in zip(first, end)] == encoder.model.segment(shown)
+
+
+def test_sentencepiece_long_text(spark):
+    rows = [(1, "x" * 300_000), (2, "word " * 200_000), (3, "word")]
+    got = {r.doc_id: r.n_tokens for r in sentencepieces.encode_decode(spark.createDataFrame(rows, "doc_id bigint, text string"), ids=False, decoded=False).collect()}
+    lib = sentencepieces.model(sentencepieces.model_path()).lib
+    assert got == {d: len(lib.encode(t, add_bos=True, add_eos=True)) for d, t in rows}
 
 
 def test_warc_zip(spark, sf_dir):
