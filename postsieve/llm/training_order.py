@@ -4,7 +4,7 @@ The ids of the documents of a partition, each ended by the end id, form one stre
 Feistel permutation of [0, number of sequences), made so by cycle-walking, maps a sequence's number to its slot; the
 shard of a slot is its range. Shards are plain files of records of one length, so training reads them front to back
 and resumes at any slot by arithmetic. Sequences are numbered by partition, as RDD.zipWithIndex does: one pass counts
-the tokens of each partition (one row each reaches the driver), another makes the sequences.
+the tokens of each partition (one row each reaches the driver), another makes the sequences and fails if its counts differ.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, new_path, table
-from postsieve.llm.sentencepieces import model_path, word_table
-from postsieve.llm.warc_zip import filesystem
+from postsieve.llm.common import filesystem, materialise, new_path, table
+from postsieve.llm.sentencepieces import Encoder, by_bytes, model, model_path
+
+
+#: Bytes of text whose words are segmented at once.
+SLICE = 16 << 20
 
 
 class Permutation:
@@ -69,46 +72,37 @@ class Layout:
         return self.length * np.dtype(self.dtype).itemsize
 
 
-def _streams(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[np.ndarray]]]:
-    """(partition, doc_ids, ids with the end id) by some hundred documents."""
-    words = word_table(path)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids = [np.frombuffer(x, "<u4")[1:] for x in words.encode(part.column(1).to_pylist())]
-            yield part.column(2)[0].as_py(), part.column(0).to_pylist(), ids
-
-
 def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = None) -> tuple[DataFrame, int]:
     """(slot, doc_ids, n_tokens, ids as bytes) of all sequences, and their number.
 
-    docs must give the same partitions each time it is read, as tables do. doc_ids are those whose tokens the sequence
-    holds, in order; the last sequence of a partition is padded. Null and empty texts are a single end id.
+    docs must give the same partitions each time it is read, as tables do; a partition that gives other tokens the second
+    time raises an error. doc_ids are those whose tokens the sequence holds, in order; the last sequence of a partition is
+    padded. Null and empty texts are a single end id; a very long text fills sequence after sequence. Null doc_ids are
+    listed as null.
     """
     path = path or model_path()
-    if layout.dtype == "<u2" and word_table(path).model.get_piece_size() > 1 << 16:
+    if layout.dtype == "<u2" and model(path).size > 1 << 16:
         raise ValueError("ids of this model need four bytes")
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.spark_partition_id().alias("part"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.spark_partition_id().alias("part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = 0, None
-        words = word_table(path)
+        total, part, encoder = 0, None, Encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.slice(at, 512)
-                part = texts.column(2)[0].as_py()
-                total += words.count(texts.column(1).to_pylist()) + texts.num_rows  # and the end ids
+            part = batch.column(2)[0].as_py() if batch.num_rows else part
+            for at, n in by_bytes(batch.column(1), 8192, SLICE):
+                total += int(encoder.lengths(batch.column(1).slice(at, n)).sum()) + n  # and the end ids
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64())], names=["part", "tokens"])
 
-    sizes = {r.part: -(-r.tokens // layout.length) for r in rows.mapInArrow(count, "part int, tokens bigint").collect()}
+    tokens = {r.part: r.tokens for r in rows.mapInArrow(count, "part int, tokens bigint").collect()}
     first, n = {}, 0
-    for p in sorted(sizes):
-        first[p], n = n, n + sizes[p]
+    for p in sorted(tokens):
+        first[p], n = n, n + -(-tokens[p] // layout.length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Permutation(n, layout.key)
+        slots, encoder, part, seen = Permutation(n, layout.key), Encoder(path), None, 0
         number, rest, owners = None, np.empty(0, layout.dtype), []  # owners: (doc_id, tokens) of rest
+        end_id = np.frombuffer(encoder.model.eos, "<u4")
 
         def rows_of(stream: np.ndarray, owners: list) -> pa.RecordBatch:
             nonlocal number
@@ -127,9 +121,18 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
             held = [names[a : b + 1] if b - a < 1 else list(dict.fromkeys(names[a : b + 1])) for a, b in zip(lows.tolist(), highs.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], names=["slot", "doc_ids", "n_tokens", "ids"])
 
-        for part, names, ids in _streams(path, batches):
+        def streams() -> Iterator[tuple[list, list[np.ndarray]]]:
+            nonlocal part
+            for batch in batches:
+                part = batch.column(2)[0].as_py() if batch.num_rows else part
+                for at, size in by_bytes(batch.column(1), 8192, SLICE):
+                    ids, low, high, _ = encoder.encode(batch.column(1).slice(at, size))
+                    yield batch.column(0).slice(at, size).to_pylist(), [np.concatenate([ids[a:b], end_id]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+        for names, ids in streams():
             number = first[part] if number is None else number
             stream = np.concatenate([rest, *ids]).astype(layout.dtype)
+            seen += len(stream) - len(rest)
             owners += [(d, len(i)) for d, i in zip(names, ids, strict=True)]
             whole = len(stream) // layout.length * layout.length
             if whole:
@@ -145,6 +148,8 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
             rest = stream[whole:]
         if len(rest):
             yield rows_of(rest, owners)
+        if part is not None and seen != tokens[part]:
+            raise RuntimeError("the input gave other partitions when it was read again: write it as a table first")
 
     return rows.mapInArrow(cut, "slot bigint, doc_ids array<bigint>, n_tokens bigint, ids binary"), n
 
@@ -153,7 +158,7 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout(), path:
     """Write all sequences in slot order; gives (slot, doc_ids, n_tokens, shard, byte_offset, crc32, path) of each record.
 
     A shard is one file, named by its task's attempt; the table names those of finished tasks. An empty table gives no
-    shard; repeated rows are sequences of their own; other columns of docs are left out.
+    shard; repeated rows are sequences of their own; other columns of docs are left out, whatever their names.
     """
     rows, n = sequences(docs, layout, path)
     shards = max(1, -(-n // layout.shard_records))
@@ -186,6 +191,11 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout(), path:
     return materialise(rows.mapInArrow(run, "slot bigint, doc_ids array<bigint>, n_tokens bigint, shard int, byte_offset bigint, crc32 bigint, path string"), "records")
 
 
+def shards(records: DataFrame) -> DataFrame:
+    """(shard, path, n_records): the manifest of write_shards(). Files that it doesn't name are of attempts that were lost."""
+    return records.groupBy("shard", "path").agg(F.count("*").alias("n_records")).orderBy("shard")
+
+
 def read_shard(path: str, layout: Layout = Layout(), first: int = 0) -> Iterator[np.ndarray]:
     """The records of a shard in order, from the given one on."""
     where, local = filesystem(path)
@@ -195,6 +205,12 @@ def read_shard(path: str, layout: Layout = Layout(), first: int = 0) -> Iterator
             yield np.frombuffer(raw, layout.dtype)
 
 
+def read_from(paths: list[str], layout: Layout = Layout(), slot: int = 0) -> Iterator[np.ndarray]:
+    """The records of the shards (their paths in order) from a global slot on, to begin or resume training."""
+    for k in range(slot // layout.shard_records, len(paths)):
+        yield from read_shard(paths[k], layout, max(0, slot - k * layout.shard_records))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return write_shards(docs, new_path(spark, "shards")).drop("path")
