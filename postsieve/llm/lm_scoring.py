@@ -4,13 +4,13 @@ The attention model reads subword ids and predicts the next id's frequency class
 into classes of equal mass); within its class an id has its smoothed share of the corpus counts. Word and subword counts
 cover all training documents. The attention weights are trained in rounds, each over all training documents in shares:
 in a share, every task trains a copy on the windows of its documents and the copies are averaged. Texts are scored in
-overlapping windows: each token once, with at least window - stride tokens before it.
+overlapping windows: each token once, with at least window - stride tokens before it. All passes share one table of the
+corpus's distinct words: it gives the counts, and each text is segmented once, its ids being kept for training and scoring.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, table
-from postsieve.llm.sentencepieces import model_path, word_table
+from postsieve.llm.common import materialise, new_path, table
+from postsieve.llm.sentencepieces import MARKER, Encoder, by_bytes, model, model_path, part_files, split, unpack, word_table
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,6 @@ class Model:
     shares: int = 2
     #: Passes over all training documents.
     rounds: int = 1
-    #: Words by count that every scoring task holds; the others' counts are joined.
-    head_words: int = 200_000
 
     def start(self, vocabulary: int) -> dict[str, np.ndarray]:
         rng, d = np.random.default_rng(5), self.width
@@ -71,7 +69,7 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]
 
 
 def backward(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross entropy of classes y where use holds, and its gradients."""
+    """Mean cross entropy of classes y where use holds, and its gradients; that of E as (rows, their gradients)."""
     p, (h, q, k, v, a, o, z) = forward(w, x)
     (b, t), d, n = x.shape, w["O"].shape[0], max(1, int(use.sum()))
     at, one, on = np.arange(b * t), y.ravel(), use.ravel()
@@ -90,14 +88,15 @@ def backward(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.nda
     out["W"] = flat(h).T @ dqkv
     dh = dz + dqkv @ w["W"].T
     out["P"] = dh.reshape(b, t, d).sum(0)
-    out["E"] = np.zeros_like(w["E"])
     order = np.argsort(x, axis=None, kind="stable")
     ids, first = np.unique(x.ravel()[order], return_index=True)
-    out["E"][ids] = np.add.reduceat(dh[order], first)
+    out["E"] = (ids, np.add.reduceat(dh[order], first))
     return loss, out
 
 
 class Adam:
+    """Rows of a matrix that a step gives no gradient for stay as they are, moments included."""
+
     def __init__(self, w: dict[str, np.ndarray], rate: float):
         self.w, self.rate, self.t = w, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -106,22 +105,26 @@ class Adam:
         self.t += 1
         scale = np.float32(self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            self.w[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            at, g = g if isinstance(g, tuple) else (..., g)
+            m = self.m[k][at]
+            m += np.float32(0.1) * (g - m)
+            v = self.v[k][at]
+            v += np.float32(0.001) * (g * g - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.w[k][at] -= scale * m / (np.sqrt(v) + np.float32(1e-8))
 
 
-def windows(ids: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: list[np.ndarray], m: Model, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, which targets count, text number) of the windows of texts, given their ids from begin to end."""
-    n = np.array([len(i) - 1 for i in ids])
-    per = 1 + np.maximum(0, -(-(n - m.window) // m.stride))
+    n, stride = np.array([len(i) - 1 for i in ids]), stride or m.stride
+    per = 1 + np.maximum(0, -(-(n - m.window) // stride))
     text = np.repeat(np.arange(len(ids)), per)
-    start = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * m.stride
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * stride
     flat = np.concatenate([*ids, np.zeros(m.window + 1, np.int64)])
     base = np.cumsum([0, *[len(i) for i in ids[:-1]]])[text] + start
     at = np.arange(m.window)
     places = np.minimum(base[:, None] + at, len(flat) - 2)
-    use = (start[:, None] + at < n[text][:, None]) & ((start == 0)[:, None] | (at >= m.window - m.stride))
+    use = (start[:, None] + at < n[text][:, None]) & ((start == 0)[:, None] | (at >= m.window - stride))
     return flat[places], flat[places + 1], use, text
 
 
@@ -147,17 +150,24 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 CHUNK = 1 << 16
 
 
-def train_round(docs: DataFrame, w: dict[str, np.ndarray], cls: np.ndarray, m: Model, path: str) -> dict[str, np.ndarray]:
-    """One round over docs (text): the mean of the tasks' copies, weighted by windows; w as it is if there are none."""
+def stored_ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4").astype(np.int64) for x in column.to_pylist()]
+
+
+def train_round(docs: DataFrame, w: dict[str, np.ndarray], cls: np.ndarray, m: Model) -> dict[str, np.ndarray]:
+    """One round over docs (ids): the mean of the tasks' copies, weighted by windows; w as it is if there are none.
+
+    Each id is a target once: windows lie end to end.
+    """
     send = docs.sparkSession.sparkContext.broadcast((w, cls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cls = send.value
         w = {k: v.copy() for k, v in w.items()}
-        words, adam, seen, rng = word_table(path), Adam(w, m.rate), 0, np.random.default_rng(9)
+        adam, seen, rng = Adam(w, m.rate), 0, np.random.default_rng(9)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                x, y, use, _ = windows([np.frombuffer(i, "<u4").astype(np.int64) for i in words.encode(batch.slice(at, 128).column(0).to_pylist())], m)
+            for at, n in by_bytes(batch.column(0), 512, 2 << 20):
+                x, y, use, _ = windows(stored_ids(batch.column(0).slice(at, n)), m, m.window)
                 order = rng.permutation(len(x))
                 for i in range(0, len(x), m.batch):
                     pick = order[i : i + m.batch]
@@ -180,125 +190,142 @@ def train_round(docs: DataFrame, w: dict[str, np.ndarray], cls: np.ndarray, m: M
     return _shaped(np.concatenate([np.frombuffer(r.part) / r.seen for r in rows]), w) if rows else w
 
 
-def corpus_counts(train: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """((word, c), (id, c)) of training texts; the end of a text counts as the word '' and as the end id.
+def corpus_counts(docs: DataFrame, folder: str, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """((part, word) of all words, (word, c), c by id) from the word table in folder; c counts training texts (column train).
 
-    Tasks count their pieces between spaces first; words and subword ids follow from each distinct piece once.
+    The end of a text counts as the word '' and as the end id. Words of texts with the marker are read from them anew, as
+    the marker parts subword units but not words.
     """
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, texts = Counter(), 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "c"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                texts += 1
-                if t:
-                    counts.update(t.split(" "))
-            if len(counts) > 400_000:
-                yield out()
-                counts.clear()
-        yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([texts], pa.int64())], names=["piece", "c"])
+    spark = docs.sparkSession
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = Counter(), word_table(path)
-        ids = np.zeros(model.model.get_piece_size(), np.int64)
+        part, counts, ids = None, {}, np.zeros(size, np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["word", "id", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(counts), pa.int32()), pa.array([w.decode() for w in counts], pa.string()), pa.nulls(len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["part", "word", "id", "c"])
 
         for batch in batches:
-            names, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            segments = model.model.encode([p or "" for p in names], num_threads=1)
-            np.add.at(ids, np.array([i for s in segments for i in s], np.int64), np.repeat(n, [len(s) for s in segments]))
-            for piece, c in zip(names, n, strict=True):
-                if piece is None:
-                    words[""] += c
-                    ids[model.model.eos_id()] += c
-                    continue
-                for w in piece.encode().lower().split():
-                    words[w.decode()] += c
-            if len(words) > 400_000:
-                yield out()
-                words.clear()
+            for p, words, sizes, n, n_plain, i, n_ids in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if p != part or len(counts) > 500_000:
+                    yield out()
+                    part, counts = p, {}
+                np.add.at(ids, np.frombuffer(i, "<u4"), np.repeat(np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(n_ids, "<u4")))
+                for w, c in zip(unpack(words, sizes), np.frombuffer(n_plain, "<u4").tolist(), strict=True):
+                    for t in w.encode().lower().split():
+                        counts[t] = counts.get(t, 0) + c
         yield out()
         used = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.string()), pa.array(used, pa.int32()), pa.array(ids[used])], names=["word", "id", "c"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.string()), pa.array(used, pa.int32()), pa.array(ids[used])], names=["part", "word", "id", "c"])
 
-    distinct = train.select("text").mapInArrow(pieces, "piece string, c bigint").groupBy("piece").agg(F.sum("c").alias("c"))
-    both = materialise(distinct.mapInArrow(derive, "word string, id int, c bigint"), "piece_counts")
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, t, on in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = t.encode().lower().split()
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(words), pa.int32()), pa.array([w.decode() for w in words], pa.string()), pa.nulls(len(words), pa.int32()), pa.array([int(on)] * len(words), pa.int64())], names=["part", "word", "id", "c"])
+
+    schema = "part int, word string, id int, c bigint"
+    stored = "words binary, sizes binary, n binary, n_plain binary, ids binary, n_ids binary, part int"
+    rows = spark.read.schema(stored).parquet(folder).select("part", "words", "sizes", "n", "n_plain", "ids", "n_ids").mapInArrow(derive, schema)
+    odd = docs.withColumn("part", F.spark_partition_id()).filter(F.contains("text", F.lit(MARKER))).select("part", "text", "train").mapInArrow(marked, schema)
+    both = materialise(rows.unionByName(odd), "word_counts_by_part")
     words = materialise(both.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "word_counts")
-    return words, both.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c"))
+    counts = np.zeros(size)
+    for r in both.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many as the vocabulary has ids
+        counts[r.id] = r.c
+    return both.filter("word IS NOT NULL").select("part", "word").distinct(), words, counts
+
+
+class WordScores:
+    """Smoothed log shares of the words of a partition, from the file that holds their training counts."""
+
+    def __init__(self, folder: str, part: int, end: int, floor: float):
+        self.count: dict[bytes, int] = {}
+        for t in part_files(folder, part):
+            self.count.update(zip([w.encode() for w in t["word"].to_pylist()], t["c"].to_pylist(), strict=True))
+        self.end, self.floor = end, floor
+
+    def of(self, text: str) -> tuple[int, int, float]:
+        """(words, those with counts, sum of their log shares) without the end."""
+        found = [self.count.get(w, 0) for w in text.encode().lower().split()]
+        return len(found), len(found) - found.count(0), math.fsum(math.log10(c + 1) - self.floor for c in found)
+
+    def all(self, texts: pa.Array, s) -> list[np.ndarray]:
+        """As of(), of each of the texts, given their split; the end included."""
+        each = np.array([self.of(w) for w in s.distinct]).reshape(-1, 3)
+        order = np.argsort(s.start, kind="stable")
+        text = np.repeat(order, (s.end - s.start)[order])
+        out = np.stack([np.bincount(text, each[s.codes, k], len(s.start)) for k in range(3)])
+        for k in np.flatnonzero(s.odd):  # the marker parts no words
+            out[:, k] = self.of(texts[k].as_py() or "")
+        return [out[0] + 1, out[1] + (self.end > 0), out[2] + math.log10(self.end + 1) - self.floor]
+
+
+def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, int, np.ndarray]:
+    """(doc_id, held_out, share, n_tokens, n_known, base_score, ids) of docs, the number of training words, and counts by id."""
+    spark, sp = docs.sparkSession, model(path)
+    begin, end = sp.bos, sp.eos
+    folder = word_table(docs, path, counted="train")
+    pairs, words, counts = corpus_counts(docs, folder, sp.size)
+    ends = docs.filter("train").count()
+    counts[sp.lib.eos_id()] += ends
+    n, v = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
+    n, v = n + ends, v + (ends > 0)
+    by_part = new_path(spark, "words_of_parts")
+    pairs.join(words, "word").select("part", "word", "c").repartition("part").write.partitionBy("part").parquet(by_part)
+    floor = math.log10(n + v + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = scores = None
+        for batch in batches:
+            if encoder is None and batch.num_rows:
+                part = batch.column(4)[0].as_py()
+                encoder, scores = Encoder(path, folder, part), WordScores(by_part, part, ends, floor)
+            for at, size in by_bytes(batch.column(1)):
+                rows = batch.slice(at, size)
+                s = split(rows.column(1))
+                ids, low, high, _ = encoder.encode(rows.column(1), s)
+                total, known, base = scores.all(rows.column(1), s)
+                held = pa.array([b"".join([begin, ids[a:b].tobytes(), end]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(total.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), held], names=["doc_id", "held_out", "share", "n_tokens", "n_known", "base_score", "ids"])
+
+    rows = docs.select("doc_id", "text", ~F.col("train"), "share", F.spark_partition_id()).mapInArrow(run, "doc_id bigint, held_out boolean, share int, n_tokens bigint, n_known bigint, base_score double, ids binary")
+    return materialise(rows, "encoded"), n, counts
 
 
 def score(docs: DataFrame, m: Model = Model(), path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents train unless crc32(doc_id) mod 7 is 2; a null doc_id trains. A null or empty text is its end alone. Repeated
-    rows count and are scored each. An empty table gives an empty result; other columns of docs are left out.
+    rows count and are scored each. A very long text is cut into as many windows as it takes. An empty table gives an
+    empty result; other columns of docs are left out.
     """
     path = path or model_path()
     spark = docs.sparkSession
     crc = F.crc32(F.col("doc_id").cast("string"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.coalesce(crc % 7 == 2, F.lit(False)).alias("held_out"), F.coalesce(F.floor(crc / 7) % m.shares, F.lit(0)).alias("share"))
-    train = rows.filter(~F.col("held_out"))
-    words, ids = corpus_counts(train, path)
-    n, v = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
-    table_ = word_table(path)
-    counts = np.zeros(table_.model.get_piece_size())
-    for r in ids.collect():  # as many as the vocabulary has ids
-        counts[r.id] = r.c
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), (~F.coalesce(crc % 7 == 2, F.lit(False))).alias("train"), F.coalesce(F.floor(crc / 7) % m.shares, F.lit(0)).cast("int").alias("share"))
+    texts, n, counts = encoded(rows, path)
     cls, within = classes(counts, m.classes)
     w = m.start(len(counts))
     for k in range(m.rounds * m.shares):
-        w = train_round(train.filter(F.col("share") == k % m.shares).select("text"), w, cls, m, path)
-    floor = math.log10(n + v + 1)
-    head = words.orderBy(F.desc("c"), "word").limit(m.head_words).toPandas()
-    held = dict(zip((x.encode() for x in head["word"]), np.log10(head["c"].to_numpy(np.float64) + 1) - floor, strict=True))
-    send = spark.sparkContext.broadcast((w, cls, within, held))
+        w = train_round(texts.filter(~F.col("held_out") & (F.col("share") == k % m.shares)).select("ids"), w, cls, m)
+    send = spark.sparkContext.broadcast((w, cls, within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, cls, within, held = send.value
-        model = word_table(path)
-        end = held.get(b"")
+        w, cls, within = send.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = part.column(1).to_pylist()
-                known, base, total, tails = [], [], [], []
-                for t in texts:
-                    tokens = (t or "").encode().lower().split()
-                    found = [held.get(x) for x in tokens] + [end]
-                    tail = Counter(x for x, f in zip(tokens, found, strict=False) if f is None) if None in found else {}
-                    found = [f for f in found if f is not None]
-                    total.append(len(tokens) + 1)
-                    known.append(len(found))
-                    base.append(math.fsum(found) - (floor if end is None else 0))
-                    tails.append([{"word": x.decode(), "tf": c} for x, c in tail.items()])
-                x, y, use, text = windows([np.frombuffer(i, "<u4").astype(np.int64) for i in model.encode(texts)], m)
-                logs = np.zeros(len(texts))
-                for i in range(0, len(x), 256):
-                    p, _ = forward(w, x[i : i + 256])
-                    yi, ui = y[i : i + 256], use[i : i + 256]
+            for at, n in by_bytes(batch.column(5), 512, 2 << 20):
+                part = batch.slice(at, n)
+                x, y, use, text = windows(stored_ids(part.column(5)), m)
+                logs = np.zeros(n)
+                for i in range(0, len(x), m.batch):
+                    p, _ = forward(w, x[i : i + m.batch])
+                    yi, ui = y[i : i + m.batch], use[i : i + m.batch]
                     one = np.log(p[cls[yi].ravel(), np.arange(yi.size)] + 1e-30).reshape(yi.shape) + within[yi]
-                    logs += np.bincount(text[i : i + 256], (one * ui).sum(1), len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs / math.log(10)), pa.array(tails, pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
-                )
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<word:string,tf:bigint>>"
-    out = rows.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    out = materialise(out, "scored")
-    tail = out.select("row", F.inline("tail")).join(words, "word", "left")
-    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - floor)).alias("rest"))
-    out = out.drop("tail").join(tail, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score"
-    )
+                    logs += np.bincount(text[i : i + m.batch], (one * ui).sum(1), n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(logs / math.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = texts.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
