@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import materialise, new_path, table
-from postsieve.llm.sentencepieces import MARKER, Encoder, by_bytes, model, model_path, part_files, split, unpack, word_table
+from postsieve.llm.sentencepieces import MARKER, Encoder, by_bytes, model, model_path, numbers, part_files, split, unpack, word_table
 
 
 @dataclass(frozen=True)
@@ -209,8 +209,8 @@ def corpus_counts(docs: DataFrame, folder: str, size: int) -> tuple[DataFrame, D
                 if p != part or len(counts) > 500_000:
                     yield out()
                     part, counts = p, {}
-                np.add.at(ids, np.frombuffer(i, "<u4"), np.repeat(np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(n_ids, "<u4")))
-                for w, c in zip(unpack(words, sizes), np.frombuffer(n_plain, "<u4").tolist(), strict=True):
+                np.add.at(ids, numbers(i), np.repeat(numbers(n).astype(np.int64), numbers(n_ids)))
+                for w, c in zip(unpack(words, sizes), numbers(n_plain).tolist(), strict=True):
                     for t in w.encode().lower().split():
                         counts[t] = counts.get(t, 0) + c
         yield out()
@@ -271,7 +271,7 @@ def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, int, np.ndarray]:
     n, v = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
     n, v = n + ends, v + (ends > 0)
     by_part = new_path(spark, "words_of_parts")
-    pairs.join(words, "word").select("part", "word", "c").repartition("part").write.partitionBy("part").parquet(by_part)
+    pairs.join(words, "word").select("part", "word", "c").repartition("part").write.partitionBy("part").parquet(by_part, compression="zstd")
     floor = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,13 +121,23 @@ def model(path: str) -> Model:
     return _models[path]
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers in one, two or four bytes each, as the largest needs; the first byte says how many."""
+    size = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def pack(words: list[str]) -> tuple[bytes, bytes]:
     raw = [w.encode() for w in words]
-    return b"".join(raw), np.array([len(r) for r in raw], "<u4").tobytes()
+    return b"".join(raw), pack_numbers(np.array([len(r) for r in raw]))
 
 
 def unpack(data: bytes, sizes: bytes) -> list[str]:
-    ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+    ends = np.cumsum(numbers(sizes), dtype=np.int64).tolist()
     return [data[s:e].decode() for s, e in zip([0, *ends], ends)]
 
 
@@ -146,8 +156,8 @@ def word_table(docs: DataFrame, path: str, decode: bool = False, counted: str |
             by: dict[int, list[str]] = {}
             for w in seen:
                 by.setdefault(zlib.crc32(w.encode()) % BUCKETS, []).append(w)
-            packed = [(*pack(ws), *(np.array([seen[w] for w in ws], "<u4").reshape(-1, 2).T if counted else [()] * 2)) for ws in by.values()]
-            cols = [[p[0] for p in packed], [p[1] for p in packed], *([np.asarray(p[k], "<u4").tobytes() for p in packed] for k in (2, 3))]
+            packed = [(*pack(ws), *(map(pack_numbers, np.array([seen[w] for w in ws]).T) if counted else [None] * 2)) for ws in by.values()]
+            cols = list(zip(*packed, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array([part] * len(by), pa.int32()), pa.array(list(by), pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["part", "bucket", "words", "sizes", "n", "n_plain"])
 
         for batch in batches:
@@ -191,11 +201,11 @@ def word_table(docs: DataFrame, path: str, decode: bool = False, counted: str |
                     ids = sp.segment(new)
                     back = sp.decode(ids) if decode else new
                     for w, i, b in zip(new, ids, back, strict=True):
-                        known[w] = (np.array(i, "<u4").tobytes(), None if b == w else b)
+                        known[w] = (i, None if b == w else b)
                 for ws in rows:
                     found = [known[w] for w in ws]
                     other = [(p, b) for p, (_, b) in enumerate(found) if b is not None]
-                    out.append((b"".join([i for i, _ in found]), np.array([len(i) // 4 for i, _ in found], "<u4").tobytes(), [p for p, _ in other], [b for _, b in other]))
+                    out.append((pack_numbers(np.array([x for i, _ in found for x in i])), pack_numbers(np.array([len(i) for i, _ in found])), [p for p, _ in other], [b for _, b in other]))
                 at = end
             cols = list(zip(*out, strict=True)) or [[]] * 4
             made = [pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())], strict=True)]
@@ -205,7 +215,7 @@ def word_table(docs: DataFrame, path: str, decode: bool = False, counted: str |
     rows = rows.mapInArrow(distinct, "part int, bucket int, words binary, sizes binary, n binary, n_plain binary")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket")
     rows = rows.mapInArrow(segment, "part int, words binary, sizes binary, n binary, n_plain binary, ids binary, n_ids binary, other array<int>, decoded array<string>")
-    rows.repartition("part").write.partitionBy("part").parquet(folder)
+    rows.repartition("part").write.partitionBy("part").parquet(folder, compression="zstd")
     return folder
 
 
@@ -232,7 +242,7 @@ class Encoder:
                     first = None
                 for k, (p, b) in enumerate(zip(other, decoded, strict=True)):
                     self.other[names[p]] = b
-                n, i = np.frombuffer(n_ids, "<u4").astype(np.int64), np.frombuffer(ids, "<u4")
+                n, i = numbers(n_ids).astype(np.int64), numbers(ids).astype("<u4")
                 if first is None:
                     ends = np.cumsum(n)
                     new = [k for k, w in enumerate(names) if w not in self.at]
