@@ -168,6 +168,51 @@ def test_passages_of_many_copies(spark):
     assert len(got) == 299 and len({r.doc_id for r in got}) == 299 and {r.n_equal for r in got} == {60}
 
 
+def test_passages_against_brute_force(spark, sf_dir):
+    """Of the words that lie in 50 equal words of an earlier document, nearly all are found; of other documents, none."""
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    first, want = {}, {}
+    for k, (d, t) in enumerate(rows):
+        w = passages.words_of((t or "").encode())
+        grams = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        hit = {i + j for i, g in enumerate(grams) if first.setdefault(g, k) < k for j in range(50)}
+        want |= {d: hit} if hit else {}
+    got = {}
+    for r in passages.op6_passages(spark, sf_dir).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    recall = sum(len(h & got.get(d, set())) for d, h in want.items()) / sum(map(len, want.values()))
+    print("recall", recall, "documents", len(want))
+    assert recall >= 0.95 and sum(d in got for d in want) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize(("every", "least"), [(12, 0.9), (9, 0.6)])
+def test_recall_of_edited_passages(spark, every, least):
+    """Passages of 120 words of which every so many-th is replaced in the later copy."""
+    rng, rows = np.random.default_rng(every), []
+    for k in range(60):
+        words = [f"v{k}_{x}" for x in rng.integers(0, 10**6, 120)]
+        edited = [f"e{k}_{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+        rows += [(2 * k, f"{FILL(f'a{k}_', 30)} {' '.join(words)} {FILL(f'b{k}_', 30)}"), (2 * k + 1, f"{FILL(f'c{k}_', 20)} {' '.join(edited)} {FILL(f'd{k}_', 50)}")]
+    found = {r.doc_id // 2 for r in passages.passages(small_docs(spark, rows)).collect()}
+    print("recall", len(found) / 60)
+    assert len(found) >= least * 60
+
+
+def test_passage_behind_other_first_holders(spark):
+    """A and B share 30 words that X has and 30 that Y has, one after the other: neither X nor Y holds 50 of them."""
+    a, b = FILL("m", 30), FILL("n", 30)
+    rows = [(1, f"{FILL('x', 60)} {a}"), (2, f"{b} {FILL('y', 60)}"), (3, f"{FILL('u', 20)} {a} {b} {FILL('v', 20)}"), (4, f"{FILL('w', 33)} {a} {b} {FILL('z', 9)}")]
+    found = {(r.doc_id, r.src_doc_id, r.n_equal) for r in passages.passages(small_docs(spark, rows).coalesce(1)).collect()}
+    assert found == {(4, 3, 60)}
+
+
+def test_passages_of_a_frequent_seed_and_long_texts(spark):
+    """With groups of a few rows, and texts of 30,000 words that share one passage."""
+    rows = [(i, f"{FILL(f'x{i}_', 20)} {PASSAGE} {FILL(f'y{i}_', 20)}") for i in range(60)] + [(100 + i, f"{FILL(f'l{i}_', 30_000)} {PASSAGE}") for i in range(2)]
+    got = passages.passages(small_docs(spark, rows), passages.Passages(group=7)).collect()
+    assert len(got) == 61 and len({r.doc_id for r in got}) == 61 and {r.n_equal for r in got} == {60}
+
+
 def chain_model(x, y, p):
     order = sorted(range(len(x)), key=lambda i: (x[i], -y[i]))
     f = {}
