@@ -31,7 +31,7 @@ class Model:
     width: int = 16
     classes: int = 64
     rate: float = 0.01
-    batch: int = 256
+    batch: int = 128
     #: Copies are averaged so many times in a round: after the documents of each crc32 remainder.
     shares: int = 2
     #: Passes over all training documents.
@@ -43,29 +43,48 @@ class Model:
         return {"E": make(vocabulary, d), "P": make(self.window, d), "W": make(d, 3 * d), "O": make(d, d), "C": make(d, self.classes), "b": np.zeros(self.classes, np.float32)}
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Class probabilities (classes, windows x positions), and what backward() needs.
+def logits(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
+    """Class logits (classes, windows x positions) of the positions from skip on, and what backward() needs.
 
     Keys and classes lie on leading axes, so that sums over them run along whole rows of queries and positions.
     """
     (n, t), d = x.shape, w["O"].shape[0]
     h = w["E"][x] + w["P"]
-    q, k, v = np.split((h.reshape(-1, d) @ w["W"]).reshape(n, t, 3 * d), 3, axis=-1)
+    if skip:
+        k, v = np.split((h.reshape(-1, d) @ w["W"][:, d:]).reshape(n, t, 2 * d), 2, axis=-1)
+        h = np.ascontiguousarray(h[:, skip:])
+        q = (h.reshape(-1, d) @ w["W"][:, :d]).reshape(n, t - skip, d)
+    else:
+        q, k, v = np.split((h.reshape(-1, d) @ w["W"]).reshape(n, t, 3 * d), 3, axis=-1)
     s = np.matmul(k, q.transpose(0, 2, 1))  # windows, keys, queries
     s *= np.asarray(d**-0.5, s.dtype)
     np.clip(s, -40, 40, out=s)
     np.exp(s, out=s)
-    s *= np.triu(np.ones((t, t), s.dtype))  # a key serves the queries from its own place on
+    s *= np.triu(np.ones((t, t), s.dtype))[:, skip:]  # a key serves the queries from its own place on
     s /= s.sum(axis=1)[:, None, :]
     a = s.transpose(0, 2, 1)
     o = np.matmul(a, v)
     z = h.reshape(-1, d) + o.reshape(-1, d) @ w["O"]
     p = w["C"].T @ z.T
     p += w["b"][:, None]
-    p -= p.max(axis=0)
+    np.clip(p, -60, 60, out=p)
+    return p, (h, q, k, v, a, o, z)
+
+
+def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Class probabilities (classes, windows x positions), and what backward() needs."""
+    p, kept = logits(w, x)
     np.exp(p, out=p)
     p /= p.sum(axis=0)
-    return p, (h, q, k, v, a, o, z)
+    return p, kept
+
+
+def log_probabilities(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, skip: int) -> np.ndarray:
+    """Of classes y at the positions of windows x from skip on."""
+    p, _ = logits(w, x, skip)
+    one = p[y[:, skip:].ravel(), np.arange(p.shape[1])]
+    np.exp(p, out=p)
+    return (one - np.log(p.sum(axis=0))).reshape(len(x), -1)
 
 
 def backward(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -191,7 +210,7 @@ def train_round(docs: DataFrame, w: dict[str, np.ndarray], cls: np.ndarray, m: M
 
 
 def corpus_counts(docs: DataFrame, folder: str, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """((part, word) of all words, (word, c), c by id) from the word table in folder; c counts training texts (column train).
+    """((part, word) of all words, perhaps more than once, (word, c), c by id) from the word table in folder; c counts training texts (column train).
 
     The end of a text counts as the word '' and as the end id. Words of texts with the marker are read from them anew, as
     the marker parts subword units but not words.
@@ -232,7 +251,7 @@ def corpus_counts(docs: DataFrame, folder: str, size: int) -> tuple[DataFrame, D
     counts = np.zeros(size)
     for r in both.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many as the vocabulary has ids
         counts[r.id] = r.c
-    return both.filter("word IS NOT NULL").select("part", "word").distinct(), words, counts
+    return both.filter("word IS NOT NULL").select("part", "word"), words, counts
 
 
 class WordScores:
@@ -251,7 +270,11 @@ class WordScores:
 
     def all(self, texts: pa.Array, s) -> list[np.ndarray]:
         """As of(), of each of the texts, given their split; the end included."""
-        each = np.array([self.of(w) for w in s.distinct]).reshape(-1, 3)
+        found = [*map(self.count.get, [w.encode().lower() for w in s.distinct])]
+        each = np.ones((len(found), 3))
+        each[:, 2] = np.log10(np.array([c or 0 for c in found]) + 1.0) - self.floor
+        for k in [k for k, c in enumerate(found) if c is None]:  # without a count, or of several words or none
+            each[k] = self.of(s.distinct[k])
         order = np.argsort(s.start, kind="stable")
         text = np.repeat(order, (s.end - s.start)[order])
         out = np.stack([np.bincount(text, each[s.codes, k], len(s.start)) for k in range(3)])
@@ -316,12 +339,12 @@ def score(docs: DataFrame, m: Model = Model(), path: str | None = None) -> DataF
             for at, n in by_bytes(batch.column(5), 512, 2 << 20):
                 part = batch.slice(at, n)
                 x, y, use, text = windows(stored_ids(part.column(5)), m)
-                logs = np.zeros(n)
-                for i in range(0, len(x), m.batch):
-                    p, _ = forward(w, x[i : i + m.batch])
-                    yi, ui = y[i : i + m.batch], use[i : i + m.batch]
-                    one = np.log(p[cls[yi].ravel(), np.arange(yi.size)] + 1e-30).reshape(yi.shape) + within[yi]
-                    logs += np.bincount(text[i : i + m.batch], (one * ui).sum(1), n)
+                logs, later = np.zeros(n), np.concatenate([[False], text[1:] == text[:-1]])
+                for skip, of in ((0, np.flatnonzero(~later)), (m.window - m.stride, np.flatnonzero(later))):  # in later windows the first places are context alone
+                    for i in range(0, len(of), m.batch):
+                        k = of[i : i + m.batch]
+                        one = log_probabilities(w, x[k], cls[y[k]], skip) + within[y[k, skip:]]
+                        logs += np.bincount(text[k], (one * use[k, skip:]).sum(1), n)
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(logs / math.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     out = texts.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -110,6 +110,33 @@ def test_every_training_document_reaches_the_model(spark, monkeypatch):
     assert m.window >= 32 and m.window - m.stride >= 8 and m.classes >= 64
 
 
+def test_scores_against_one_position_at_a_time(spark):
+    """The column score of an untrained model, computed anew from each token's own window."""
+    m = lm_scoring.Model(window=8, stride=5, rounds=0)
+    rows = [(i, t) for i, t in enumerate(["one two three four five six seven", "", "the cat and the dog " * 9, None])]
+    got = {r.doc_id: r.score for r in lm_scoring.score(small_docs(spark, rows), m).collect()}
+    lib = sentencepieces.model(sentencepieces.model_path()).lib
+    ids = {d: lib.encode(t or "", add_bos=True, add_eos=True) for d, t in rows}
+    counts = np.zeros(lib.get_piece_size())
+    for d, i in ids.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            np.add.at(counts, i[1:], 1)
+    cls, within = lm_scoring.classes(counts, m.classes)
+    w = m.start(len(counts))
+    for d, i in ids.items():
+        total = 0.0
+        for k in range(1, len(i)):
+            first = 0 if k <= m.window else m.stride * -(-(k - m.window) // m.stride)
+            x = np.array(i[first:k])
+            h = (w["E"][x] + w["P"][: len(x)]).astype(np.float64)
+            q, key, v = np.split(h @ w["W"], 3, axis=-1)
+            s = np.exp(key @ q[-1] / 4)
+            z = h[-1] + (s @ v / s.sum()) @ w["O"]
+            e = np.exp(z @ w["C"] + w["b"])
+            total += math.log10(e[cls[i[k]]] / e.sum()) + within[i[k]] / math.log(10)
+        assert abs(total - got[d]) < 1e-3 * max(1, abs(total))
+
+
 def test_class_shares_sum_to_one():
     cls, within = lm_scoring.classes(np.array([50.0, 0, 3, 3, 100, 7, 0, 1]), 4)
     sums = np.bincount(cls, np.exp(within))
