@@ -128,7 +128,51 @@ CLUSTERS = [
     ("Content", ["content", "writing", "copywriting", "editorial"]),
     ("Legal", ["legal", "compliance", "contracts", "law"]),
 ]
-#: An own short taxonomy; give related_terms() a larger one as a parameter.
+#: Roles that raise a post's score, by run: remote company building, city tech, founders' offices, AI.
+PRIORITY_REMOTE = [
+    "founder", "office", "chief of staff", "generalist", "ai automation", "ai engineer", "digital marketing", "growth", "business development", "product manager", "product management",
+    "finance", "financial analyst", "research analyst", "operations", "ops", "strategy", "consulting", "gtm", "go-to-market", "performance marketing", "social media",
+]
+PRIORITY_TECH = [
+    "frontend", "front end", "react", "vue", "angular", "javascript", "typescript", "backend", "back end", "node", "python", "django", "fastapi", "express", "java", "spring",
+    "full stack", "fullstack", "mern", "mean", "next.js", "nuxt", "ai", "automation", "machine learning", "llm", "generative ai", "nlp", "data science",
+    "prompt engineer", "ai researcher", "computer vision", "deep learning", "rag", "langchain", "ai agent", "fine tuning", "ai product",
+    "ugc", "ai ugc", "ai video", "ai content", "content creator", "short form", "video content", "founder", "chief of staff", "generalist",
+    "growth", "growth marketing", "growth hacker", "business development", "bd intern", "product manager", "product management", "pm intern", "product intern",
+    "operations", "ops intern", "strategy", "gtm", "go-to-market", "sales intern", "software developer", "software engineer", "sde", "swe", "devops", "cloud", "kubernetes", "docker",
+    "android", "ios", "flutter", "react native", "mobile",
+]
+PRIORITY_FOUNDERS = ["founder", "office", "ai", "automation", "chief", "generalist"]
+PRIORITY_AI = ["founder", "office", "ai", "automation", "chief"]
+TABS = [
+    ("Frontend", ["frontend", "front end", "react", "vue", "angular", "javascript", "typescript", "next.js", "nuxt", "svelte", "css", "html"]),
+    ("Backend", ["backend", "back end", "node.js", "python", "django", "fastapi", "express", "java", "spring", "golang", "ruby", "php", "api developer"]),
+    ("Full Stack", ["full stack", "fullstack", "mern", "mean stack", "full-stack"]),
+    ("AI & ML", ["machine learning", "deep learning", "nlp", "computer vision", "data science", "ai researcher", "prompt engineer", "rag", "langchain", "fine tuning", "ai agent", "generative ai", "llm", "ai engineer", "ai product"]),
+    ("AI Automation", ["ai automation", "automation engineer", "rpa", "workflow automation", "zapier", "make.com", "n8n"]),
+    ("AI UGC & Content", ["ugc", "ai ugc", "ai video", "ai content", "content creator", "short form", "video content", "reels", "social media"]),
+    ("Founder's Office", ["founder", "chief of staff", "founder's office", "founder office"]),
+    ("Growth & BizDev", ["growth", "growth marketing", "growth hacker", "business development", "bd intern", "sales intern", "gtm", "go-to-market"]),
+    ("Product & Ops", ["product manager", "product management", "pm intern", "product intern", "operations", "ops intern", "strategy intern"]),
+    ("SDE & DevOps", ["software developer", "software engineer", "sde", "swe", "devops", "cloud engineer", "kubernetes", "docker", "aws", "gcp", "site reliability"]),
+    ("Mobile", ["android", "ios developer", "flutter", "react native", "mobile developer"]),
+]
+#: Places and conditions that the region policies look for; regexes on lower-cased text.
+NO_REMOTE = r"\b(no remote|not remote|on.?site only|in.?office only|must relocate|office mandatory)\b"
+HYBRID_ONLY = r"\bhybrid only\b"
+ABROAD = r"\b(usa|us only|uk only|united states|united kingdom|canada|australia|germany|france|europe|dubai|uae|singapore|malaysia|london|new york|san francisco|california|remote us|remote uk|remote canada|remote australia)\b"
+ABROAD_LOCATION = r"\b(usa|uk|united states|united kingdom|canada|australia|germany|france|europe|dubai|uae|singapore|malaysia|london|new york|san francisco|california|texas|amsterdam|remote us|remote uk|us only)\b"
+REMOTE = r"\b(remote|work from home|wfh|work.?from.?anywhere|fully remote|100.?remote|virtual)\b"
+HOME_CITY = r"\b(bangalore|bengaluru)\b"
+HOME = r"\b(india|indian|bangalore|bengaluru|mumbai|delhi|hyderabad|pune|chennai|kolkata|ahmedabad|jaipur|noida|gurgaon|gurugram|chandigarh|lucknow|indore|bhopal|surat|vadodara|kochi|thiruvananthapuram|coimbatore|nagpur|visakhapatnam|pan.?india)\b"
+REMOTE_WORDS = ["remote", "work from home", "wfh"]
+FALLBACK_ROLES = ["finance", "marketing", "operations", "hr", "sales", "business analyst", "data science"]
+INTERN_TITLES = ["intern", "trainee", "fresher", "graduate", "entry", "campus", "university"]
+PORTAL_TITLES = ["intern", "trainee", "fellowship", "apprentice", "young"]
+BLOCK_WORDS = ["intern", "hiring", "opportunity", "apply", "vacancy", "fellowship"]
+#: Points of the documented score by source.
+SOURCE_POINTS = {"LinkedIn Posts": 30, "LinkedIn Jobs": 25, "Niche Communities": 20, "Unstop": 15, "Company Career Pages": 15, "Government Portals": 10}
+#: An own short taxonomy; operators/taxonomy.py takes a full one as a table.
 TAXONOMY = [
     (["machine learning", "data scien", "analyst"], ["Data Intern", "ML Intern"], ["Software Engineering", "Research"]),
     (["backend", "full stack", "software", "developer"], ["Software Intern", "Backend Intern", "Web Intern"], ["Data Science & ML", "Product"]),

@@ -6,11 +6,14 @@ Column of one. Everything stays a built-in expression, so it runs inside generat
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_names = count()
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -27,8 +30,15 @@ class Dialect:
     def has(self, x: str, word: str) -> str:
         return f"contains({x}, {self.lit(word)})"
 
+    def let(self, x: str, body: Callable[[str], str]) -> str:
+        """body(x), with x evaluated once a row: where it is named many times in branches, Spark evaluates it for each."""
+        if re.fullmatch(r"\w+", x) or not self.spark:
+            return body(x)
+        v = f"_v{next(_names)}"
+        return f"transform(array({x}), {v} -> {body(v)})[0]"
+
     def any_of(self, x: str, words: Iterable[str]) -> str:
-        return "(" + " OR ".join(self.has(x, w) for w in words) + ")"
+        return self.let(x, lambda v: "(" + " OR ".join(self.has(v, w) for w in words) + ")")
 
     def matches(self, x: str, regex: str) -> str:
         return f"({x} RLIKE {self.lit(regex)})" if self.spark else f"regexp_matches({x}, {self.lit(regex)})"
@@ -104,7 +114,7 @@ class Dialect:
 
     def first_match(self, x: str, table: Iterable[tuple[str, Iterable[str]]], default: str) -> str:
         """The name of the first (name, words) whose words x holds any of."""
-        return self.cases(((self.any_of(x, words), self.lit(name)) for name, words in table), default)
+        return self.let(x, lambda v: self.cases(((self.any_of(v, words), self.lit(name)) for name, words in table), default))
 
 
 SPARK, DUCK = Dialect(True), Dialect(False)

@@ -7,9 +7,12 @@ from postsieve.functions.dialect import Dialect
 from postsieve.functions.text import normalize_text, title_case
 
 
+def _low(x: str) -> str:
+    return f"lower(coalesce({x}, ''))"
+
+
 def extract_role(q: Dialect, x: str) -> str:
-    t = f"lower(coalesce({x}, ''))"
-    return q.cases([(q.matches(t, rx), q.lit(name)) for rx, name in b.ROLE_PATTERNS], "'Internship'")
+    return q.let(_low(x), lambda t: q.cases([(q.matches(t, rx), q.lit(name)) for rx, name in b.ROLE_PATTERNS], "'Internship'"))
 
 
 def extract_emails(q: Dialect, x: str) -> str:
@@ -18,9 +21,9 @@ def extract_emails(q: Dialect, x: str) -> str:
 
 
 def extract_locations(q: Dialect, x: str) -> str:
-    t = f"lower({x})"
     shown = lambda p: q.lit(b.PLACE_NAMES.get(p, p.title()))
-    found = q.keep(q.array(*[f"CASE WHEN {q.has(t, p)} THEN {shown(p)} END" for p in b.EXTRACT_PLACES]), lambda v: f"{v} IS NOT NULL")
+    named = q.let(f"lower({x})", lambda t: q.array(*[f"CASE WHEN {q.has(t, p)} THEN {shown(p)} END" for p in b.EXTRACT_PLACES]))
+    found = q.keep(named, lambda v: f"{v} IS NOT NULL")
     return q.join(q.first(q.distinct(found), 2), ", ")
 
 
@@ -102,31 +105,25 @@ def related_terms(q: Dialect, title: str, which: int, taxonomy=None) -> str:
     return q.cases([(q.any_of(f"lower({title})", row[0]), q.lit(", ".join(row[which]))) for row in rows], "''")
 
 
-TABS = [
-    ("Software", ["software", "developer", "backend", "frontend", "full stack"]), ("Data & AI", ["data", "machine learning", " ai "]), ("Product", ["product"]), ("Design", ["design", "ux"]),
-    ("Marketing", ["marketing", "seo", "content"]), ("Finance", ["finance", "audit"]), ("Sales", ["sales", "business development"]), ("HR", ["hr ", "recruit", "talent"]),
-    ("Legal", ["legal", "law"]), ("Research", ["research"]), ("Operations", ["operations", "founder"]),
-]
-
-
 def assign_tab(q: Dialect, role: str, text: str, tabs=None) -> str:
-    return q.first_match(f"lower(concat({role}, ' ', {text}))", tabs or TABS, "'Other'")
+    return q.first_match(f"lower(concat({role}, ' ', {text}))", tabs or b.TABS, "'Other'")
 
 
-def work_mode(q: Dialect, x: str, city: str = "bangalore") -> str:
-    t = f"lower({x})"
-    here, remote = q.matches(t, rf"\b{city}\b"), q.matches(t, r"\b(remote|wfh|work from home)\b")
-    name = city.title()
-    return q.cases([(f"{here} AND {remote}", q.lit(f"{name} + Remote")), (here, q.lit(name)), (remote, "'Remote'")], "'Not specified'")
+def work_mode(q: Dialect, location: str, text: str) -> str:
+    def of(t: str) -> str:
+        here, remote = q.matches(t, b.HOME_CITY), q.matches(t, r"\b(remote|wfh|work from home)\b")
+        return q.cases([(f"{here} AND {remote}", "'Bangalore / Remote'"), (here, "'Bangalore (On-site)'")], "'Remote (India)'")
+
+    return q.let(f"lower(concat({location}, ' ', {text}))", of)
 
 
-def priority_boost(q: Dialect, role: str, company: str, words=("founder", "generalist", "chief of staff", "product")) -> str:
-    return f"CASE WHEN {q.any_of(f'lower(concat({role}, {q.lit(' ')}, {company}))', words)} THEN 5 ELSE 1 END"
+def priority_boost(q: Dialect, role: str, company: str, words=b.PRIORITY_TECH) -> str:
+    """5 where role and company, run together, hold a priority word, else 1."""
+    return f"CASE WHEN {q.any_of(f'lower(concat({role}, {company}))', words)} THEN 5 ELSE 1 END"
 
 
 def fallback_role(q: Dialect, x: str) -> str:
-    words = ["marketing", "finance", "hr", "sales", "data", "software", "design"]
-    return q.cases([(q.has(f"lower({x})", w), q.lit(("HR" if w == "hr" else w.title()) + " Intern")) for w in words], "'Internship'")
+    return q.let(_low(x), lambda t: q.cases([(q.has(t, w), q.lit(w.title() + " Intern")) for w in b.FALLBACK_ROLES], "'Internship'"))
 
 
 def flag_scam(q: Dialect, x: str) -> str:
@@ -165,7 +162,9 @@ def flag_region_hot(q: Dialect, location: str, text: str) -> str:
 
 def verdict(q: Dialect, text: str, location: str, company: str, normalized: str | None = None) -> str:
     """The reason for dropping a post, or ok. normalized: a column that already holds normalize_text(text)."""
-    n = normalized or normalize_text(q, text)
+    if normalized is None:
+        return q.let(normalize_text(q, text), lambda n: verdict(q, text, location, company, n))
+    n = normalized
     rules = [(flag_blacklist(q, company), "'blacklisted_company'"), (q.any_of(n, b.SCAM), "'scam'"), (q.any_of(n, b.STORY), "'personal_story'"), (f"NOT {q.any_of(n, [*b.HIRING, 'intern'])}", "'no_hiring_intent'"), (f"NOT ({flag_region_eligible(q, location, text)})", "'not_india_eligible'")]
     return q.cases(rules, "'ok'")
 
@@ -180,19 +179,36 @@ def early_filter(q: Dialect, author: str, posted: str, normalized: str) -> str:
     return f"NOT ({' OR '.join(drops)})"
 
 
-REMOTE = r"\b(remote|work from home|wfh|anywhere)\b"
-HOME = r"\b(india|bangalore|bengaluru|mumbai|delhi|chennai|hyderabad|pune|noida|gurgaon)\b"
-POLICIES = {
-    "remote_only": lambda q, loc, text: q.matches(f"concat({loc}, ' ', {text})", "(?i)" + REMOTE),
-    "city_or_home_or_remote": lambda q, loc, text: q.matches(f"concat({loc}, ' ', {text})", rf"(?i)\b(chennai|india)\b|{REMOTE}"),
-    "remote_home": lambda q, loc, text: f"({q.matches(f'concat({loc}, {q.lit(' ')}, {text})', '(?i)' + REMOTE)} AND {q.matches(f'concat({loc}, {q.lit(' ')}, {text})', '(?i)' + HOME)} AND NOT {q.any_of(f'lower({loc})', b.FOREIGN_PLACES)})",
-    "city_or_remote_home": lambda q, loc, text: f"({q.matches(loc, r'(?i)\b(bangalore|bengaluru)\b')} OR ({q.matches(loc, '(?i)' + REMOTE)} AND {q.matches(f'concat({loc}, {q.lit(' ')}, {text})', '(?i)' + HOME)}))",
-}
+def _both(location: str, text: str) -> str:
+    return f"lower(concat(coalesce({location}, ''), ' ', coalesce({text}, '')))"
+
+
+def remote_only(q: Dialect, location: str, text: str) -> str:
+    """Remote words in location or text, and the text doesn't rule remote work out."""
+    return f"({q.any_of(_both(location, text), b.REMOTE_WORDS)} AND NOT {q.any_of(_low(text), ['no remote', 'not remote'])})"
+
+
+def city_or_home_or_remote(q: Dialect, location: str, text: str) -> str:
+    """No foreign location, and Chennai, India or a remote word anywhere."""
+    return f"(NOT {q.matches(_low(location), b.ABROAD_LOCATION)} AND {q.any_of(_both(location, text), ['chennai', 'india', *b.REMOTE_WORDS])})"
+
+
+def remote_home(q: Dialect, location: str, text: str) -> str:
+    """Remote work with a home context; on-site only, hybrid only and foreign ones are out."""
+    return q.let(_both(location, text), lambda t: f"(NOT {q.matches(t, b.NO_REMOTE)} AND NOT {q.matches(t, b.HYBRID_ONLY)} AND NOT {q.matches(t, b.ABROAD)} AND {q.matches(t, b.REMOTE)} AND {q.matches(t, b.HOME)})")
+
+
+def city_or_remote_home(q: Dialect, location: str, text: str) -> str:
+    """The home city, or remote work with a home context; on-site only elsewhere and foreign ones are out."""
+    return q.let(_both(location, text), lambda t: f"(NOT ({q.matches(t, b.NO_REMOTE)} AND NOT {q.matches(t, b.HOME_CITY)}) AND NOT {q.matches(t, b.ABROAD)} AND ({q.matches(t, b.HOME_CITY)} OR ({q.matches(t, b.REMOTE)} AND {q.matches(t, b.HOME)})))")
+
+
+POLICIES = {f.__name__: f for f in (remote_only, city_or_home_or_remote, remote_home, city_or_remote_home)}
 
 
-def relevant_role(q: Dialect, x: str, words=("founder", "generalist", "chief of staff")) -> str:
-    return f"({q.any_of(f'lower({x})', words)} OR {q.matches(f'lower({x})', r'\bintern(ship)?\b')})"
+def relevant_role(q: Dialect, role: str, text: str, words=b.PRIORITY_REMOTE) -> str:
+    return q.let(_both(role, text), lambda t: f"({q.any_of(t, words)} OR {q.matches(t, r'\b(intern|internship)\b')})")
 
 
-def intern_title(q: Dialect, x: str) -> str:
-    return q.any_of(f"lower({x})", ["intern", "trainee", "apprentice", "fellow", "graduate", "entry level", "junior"])
+def intern_title(q: Dialect, x: str, words=b.INTERN_TITLES) -> str:
+    return q.any_of(f"lower({x})", words)

@@ -49,11 +49,11 @@ def normalize_title(q: Dialect, x: str) -> str:
 
 
 def role_bucket_8(q: Dialect, x: str) -> str:
-    return q.first_match(f"lower({x})", ROLE_BUCKETS_8, q.sub(f"lower({x})", r"[^\p{L}]"))
+    return q.let(f"lower({x})", lambda t: q.first_match(t, ROLE_BUCKETS_8, q.sub(t, r"[^\p{L}]")))
 
 
 def role_bucket_11(q: Dialect, x: str) -> str:
-    return q.first_match(f"lower({x})", ROLE_BUCKETS_11, f"substring(lower({x}), 1, 20)")
+    return q.let(f"lower({x})", lambda t: q.first_match(t, ROLE_BUCKETS_11, f"substring({t}, 1, 20)"))
 
 
 def _hours_between(q: Dialect, ts: str, as_of: str) -> str:
@@ -131,6 +131,24 @@ def tags_join(q: Dialect, a: str) -> str:
     return q.join(a, ", ")
 
 
+def url_role_key(q: Dialect, url: str, role: str) -> str:
+    return f"concat({url}, '|', {role_bucket_8(q, role)})"
+
+
+def company_role_key(q: Dialect, company: str, role: str) -> str:
+    """Null where the company is blank or unknown, or the role's bucket blank or just an internship."""
+    org, bucket = normalize_company_loose(q, company), role_bucket_8(q, role)
+    return f"CASE WHEN {org} IN ('', 'unknown') OR {bucket} IN ('', 'internship') THEN NULL ELSE concat({org}, '|', {bucket}) END"
+
+
+def text_role_key(q: Dialect, text: str, role: str) -> str:
+    return f"md5(concat(substring({text}, 1, 100), {role}))"
+
+
+def raw_engagement(q: Dialect, likes: str, comments: str) -> str:
+    return f"(coalesce({likes}, 0) + coalesce({comments}, 0))"
+
+
 def listing_id(q: Dialect, org: str, title: str) -> str:
     return f"concat('sh-', substring(md5(concat({org}, ':', {title})), 1, 8))"
 

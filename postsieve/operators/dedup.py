@@ -30,12 +30,13 @@ def dedup_author(df: DataFrame, author: str, order: list, exempt: tuple[str, ...
     return df.filter(free).unionByName(df.filter(~free).withColumn("_n", n).filter("_n = 1").drop("_n"))
 
 
-def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFrame | None = None) -> DataFrame:
     """Rows in order are kept unless one of their keys (array) belongs to a row kept before; rejected rows add no keys.
 
     order must be unique. A parallel greedy independent set: in each round the undecided rows that come first on all
     their keys are kept and those that share a key with them rejected, which gives the sequential answer. seen (key)
-    rejects at once. Rows without keys are all kept. Each round is a few shuffles of (key, order) pairs.
+    rejects at once. Rows without keys are all kept. Each round is a few shuffles of the (key, order) pairs still open and
+    decides one row of each chain of dependent rows at least, so the rounds end; in usual data they are few.
     """
     spark = df.sparkSession
     edges = df.select(F.col(order).alias("_o"), F.explode(F.array_distinct(F.col(keys))).alias("_k"))
@@ -46,11 +47,7 @@ def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFram
         edges = edges.join(lost, "_o", "left_anti")
     edges = materialise(edges, "edges")
     kept = spark.createDataFrame([], df.select(F.col(order).alias("_o")).schema)
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            alone = df.filter(F.coalesce(F.size(keys), F.lit(0)) <= 0).select(F.col(order).alias("_o"))
-            out = kept.unionByName(alone)
-            return df.join(out.withColumnRenamed("_o", order), order, "left_semi")
+    while not edges.isEmpty():
         first = edges.groupBy("_k").agg(F.min("_o").alias("_m"))
         now = edges.join(first, "_k").groupBy("_o").agg(F.bool_and(F.col("_o") == F.col("_m")).alias("_first")).filter("_first").select("_o")
         now = materialise(now, "kept")
@@ -58,7 +55,8 @@ def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFram
         out = edges.join(taken, "_k", "left_semi").select("_o").distinct()
         edges = materialise(edges.join(materialise(out, "decided"), "_o", "left_anti"), "edges")
         kept = kept.unionByName(now)
-    raise RuntimeError(f"undecided rows after {max_rounds} rounds: a chain of that length needs a higher max_rounds")
+    alone = df.filter(F.coalesce(F.size(keys), F.lit(0)) <= 0).select(F.col(order).alias("_o"))
+    return df.join(kept.unionByName(alone).withColumnRenamed("_o", order), order, "left_semi")
 
 
 def dedup_cross_query(df: DataFrame, query: str, url: str, text_key: str, order: list) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postsieve.functions.banks import SOURCE_POINTS
 from postsieve.functions.dialect import AS_OF, SPARK
 from postsieve.operators.dedup import ordered_multi_key_dedup
 from postsieve.operators.tables import materialise
@@ -36,17 +37,17 @@ def quota_select(df: DataFrame, sources: list[tuple[str, int]], target: int, key
     spark = df.sparkSession
     df = materialise(df, "items")
     seen = spark.createDataFrame([], "key string")
+    rank = F.struct((-F.col("score")).alias("by_score"), F.col(order).alias("by_order"))
     chosen = pool = df.limit(0)
-    by_score = Window.orderBy(F.desc("score"), F.col(order))
     for name, quota in sources:
         mine = df.filter(F.col("source") == name)
-        ranked = mine.withColumn("_rank", -F.col("score").cast("bigint") * 10_000_000_000 + F.col(order))
+        ranked = mine.withColumn("_rank", rank)
         if quota > 0:
             fresh = ordered_multi_key_dedup(ranked, keys, "_rank", seen=seen)
             picked = materialise(fresh.orderBy("_rank").limit(quota), "picked")
             last = picked.agg(F.max("_rank"), F.count("*")).first()
             taken = materialise(seen.unionByName(picked.select(F.explode(keys).alias("key"))).distinct(), "seen")
-            rest = ranked.filter(F.col("_rank") > last[0]) if last[1] == quota else ranked.limit(0)
+            rest = ranked.filter(F.col("_rank") > F.struct(F.lit(last[0][0]).alias("by_score"), F.lit(last[0][1]).alias("by_order"))) if last[1] == quota else ranked.limit(0)
             chosen, seen = chosen.unionByName(picked.drop("_rank")), taken
         else:
             rest = ranked
@@ -55,7 +56,7 @@ def quota_select(df: DataFrame, sources: list[tuple[str, int]], target: int, key
     chosen = materialise(chosen, "chosen")
     need = target - chosen.count()
     if need > 0:
-        ranked = pool.withColumn("_rank", -F.col("score").cast("bigint") * 10_000_000_000 + F.col(order))
+        ranked = materialise(pool.withColumn("_rank", rank), "pool")
         more = ordered_multi_key_dedup(ranked, keys, "_rank", seen=seen).orderBy("_rank").limit(need).drop("_rank")
         chosen = chosen.unionByName(more)
     return chosen.orderBy(F.desc("score"), order).limit(target)
@@ -82,8 +83,15 @@ def misclassified(df: DataFrame, kept: str, expected: str, text: str = "text") -
 
 
 def rank_continue(df: DataFrame, order: list, existing: int) -> DataFrame:
-    """rank: existing rows plus the place of the row in the input; filters that follow leave gaps."""
-    return df.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + existing).cast("bigint"))
+    """rank: existing rows plus the place of the row in the input; filters that follow leave gaps.
+
+    Rows are dealt into ranges of the order and numbered in each, from where the ranges before it end.
+    """
+    d = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    ends = ends.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return d.withColumn("_place", place).join(F.broadcast(ends), "_part").withColumn("rank", (F.col("_before") + F.col("_place") + existing).cast("bigint")).drop("_part", "_place", "_before")
 
 
 def topup_plan(published: DataFrame, target: int = 105, spare: int = 15, attempt: int = 1, attempts: int = 3) -> DataFrame:
@@ -92,13 +100,21 @@ def topup_plan(published: DataFrame, target: int = 105, spare: int = 15, attempt
     return d.withColumn("next_target", F.when((F.col("deficit") > 0) & (F.lit(attempt) < attempts), F.col("deficit") + spare).otherwise(0).cast("bigint"))
 
 
-def score_100(df: DataFrame, priority: str, age: str, applicants: str, engagement: str) -> DataFrame:
-    """The documented 100-point score: source 40, freshness 30, competition 20, engagement 10, with its parts."""
+def score_100(df: DataFrame, source: str, age: str, applicants: str, engagement: str) -> DataFrame:
+    """The documented 100-point score with its parts: source 30, freshness 25, competition 25, engagement 20.
+
+    Competition counts for job rows, engagement (signals, 0 to 3) for post rows only; an unknown source or age has no points.
+    """
+    tiers = lambda _, *steps: F.coalesce(*[F.when(t, F.lit(p)) for t, p in steps], F.lit(0)).cast("bigint")
+    age, applicants, engagement = F.col(age), F.col(applicants), F.col(engagement)
+    is_source = lambda name: F.coalesce(F.col(source) == name, F.lit(False))
+    competition = tiers(applicants, (applicants < 50, 25), (applicants <= 100, 20), (applicants <= 200, 15), (applicants <= 300, 10), (applicants > 300, 5))
+    signals = tiers(engagement, (engagement >= 3, 20), (engagement == 2, 15), (engagement == 1, 10), (engagement <= 0, 5))
     parts = F.struct(
-        F.least(F.lit(40), F.col(priority)).cast("bigint").alias("source"),
-        F.when(F.col(age) < 6, 30).when(F.col(age) < 24, 20).when(F.col(age) < 72, 10).otherwise(5).cast("bigint").alias("freshness"),
-        F.when(F.col(applicants) < 10, 20).when(F.col(applicants) < 50, 10).otherwise(5).cast("bigint").alias("competition"),
-        F.least(F.lit(10), F.col(engagement)).cast("bigint").alias("engagement"),
+        tiers(None, *[(F.col(source) == n, p) for n, p in SOURCE_POINTS.items()]).alias("source"),
+        tiers(age, (age < 6, 25), (age < 12, 20), (age < 24, 15), (age <= 48, 10), (age > 48, 5)).alias("freshness"),
+        F.when(is_source("LinkedIn Jobs"), competition).otherwise(0).alias("competition"),
+        F.when(is_source("LinkedIn Posts"), signals).otherwise(0).alias("engagement"),
     )
     d = df.withColumn("breakdown", parts)
     return d.withColumn("score_100", F.col("breakdown.source") + F.col("breakdown.freshness") + F.col("breakdown.competition") + F.col("breakdown.engagement"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from postsieve.functions import extract as x
 from postsieve.functions import text as t
 from postsieve.functions.dialect import AS_OF, column
+from postsieve.operators.tables import materialise
+
 
 def listings_view(published: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Published rows with a title, in the serving shape, freshest first."""
@@ -66,14 +68,22 @@ def read_subscribers(df: DataFrame) -> DataFrame:
     return df.filter(~F.coalesce("unsubscribed", F.lit(False))).select("email", split("roles").alias("roles"), split("cities").alias("cities"))
 
 
+def _first_of(df: DataFrame, by: list[str], order: list, n: int, groups: int = 64) -> DataFrame:
+    """The first n rows of each key: of its share in each of some groups of rows first, so that no key is one task's."""
+    spread = F.pmod(F.xxhash64(*order), F.lit(groups))
+    d = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, spread).orderBy(*order))).filter(F.col("_n") <= n)
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
 def match_subscribers(listings: DataFrame, subscribers: DataFrame, limit: int = 8) -> DataFrame:
     """(email, place, row_no): per subscriber the freshest listings that match roles and cities, else the freshest of all.
 
-    Subscribers are grouped by their preferences, so listings are matched once for each distinct pair of lists; per
-    listing side a partial top-n keeps at most limit rows a preference before the shuffle.
+    What matches depends on the lower-cased cluster, title and location alone, so the freshest rows of each of their values
+    are held against each distinct pair of preferences.
     """
     prefs = subscribers.select("roles", "cities").distinct()
     fresh = listings.select("row_no", "hours_ago", F.lower(F.concat_ws(" ", "cluster", "title")).alias("_role"), F.lower("location").alias("_city"))
+    fresh = _first_of(fresh, ["_role", "_city"], ["hours_ago", "row_no"], limit)
     any_of = lambda prefs, hay: (F.size(prefs) == 0) | F.exists(prefs, lambda p: F.contains(F.col(hay), p))
     hits = fresh.join(prefs, any_of("roles", "_role") & any_of("cities", "_city")).select("roles", "cities", "row_no", "hours_ago")
     place = F.row_number().over(Window.partitionBy("roles", "cities").orderBy("hours_ago", "row_no"))
@@ -93,18 +103,32 @@ def digest_rows(listings: DataFrame, matches: DataFrame) -> DataFrame:
     return d.select("email", F.size("lines").cast("bigint").alias("n"), F.concat(F.size("lines").cast("string"), F.lit(" new internships for you")).alias("subject"), F.array_join(lines, "\n").alias("body"))
 
 
+#: More heads than this (some 20 a cluster) are not sent to every task.
+MAX_HEADS = 100_000
+
+
 def related_listings(listings: DataFrame, limit: int = 4) -> DataFrame:
     """(row_no, place, other): the first rows of the same cluster with another id, in serving order.
 
-    Only the first rows of a cluster by distinct id can be among them, so each listing meets limit + 1 rows.
+    Only the first rows of a cluster by distinct id can be among them; these are sought in groups of its rows first, and
+    each listing then takes its own from its cluster's short list.
     """
-    order = Window.partitionBy("cluster").orderBy("hours_ago", "row_no")
-    each = Window.partitionBy("cluster", "id").orderBy("hours_ago", "row_no")
-    d = listings.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= limit)
-    d = d.withColumn("_ids", F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(order)).filter(F.col("_ids") <= limit + 1)
-    heads = d.select("cluster", F.col("id").alias("other_id"), F.col("row_no").alias("other"), F.col("hours_ago").alias("_h"))
-    d = listings.select("row_no", "id", "cluster").join(heads, "cluster").filter("id <> other_id")
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("row_no").orderBy("_h", "other")).cast("bigint")).filter(F.col("place") <= limit).select("row_no", "place", "other")
+
+    def heads(d: DataFrame, *group) -> DataFrame:
+        each = Window.partitionBy("cluster", "id", *group).orderBy("hours_ago", "row_no")
+        order = Window.partitionBy("cluster", *group).orderBy("hours_ago", "row_no")
+        d = d.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= limit)
+        d = d.withColumn("_ids", F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(order)).filter(F.col("_ids") <= limit + 1)
+        return d.drop("_n", "_ids")
+
+    d = listings.select("row_no", "id", "cluster", "hours_ago")
+    first = heads(heads(d, F.pmod(F.xxhash64("row_no"), F.lit(64))))
+    first = first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("hours_ago", "row_no", "id"))).alias("first"))
+    first = materialise(first, "heads")
+    first = F.broadcast(first) if first.count() <= MAX_HEADS // (limit * (limit + 1)) else first
+    others = F.transform(F.slice(F.filter("first", lambda x: x["id"] != F.col("id")), 1, limit), lambda x: x["row_no"])
+    d = d.join(first, "cluster").select("row_no", F.posexplode(others).alias("place", "other"))
+    return d.select("row_no", (F.col("place") + 1).cast("bigint").alias("place"), "other")
 
 
 def site_stats(listings: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or of an own one where that is unset."""
+    """A new path in the folder of spark.checkpoint.dir, or, with a local master, of an own one where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         where = _own[0]

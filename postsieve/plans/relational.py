@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from postsieve.functions import extract as x
 from postsieve.functions import text as t
-from postsieve.functions.banks import SOURCES
+from postsieve.functions.banks import HEADERS, SOURCES, TABS
 from postsieve.functions.dialect import AS_OF, DUCK, SPARK, column
-from postsieve.operators import dedup, rank, serve
+from postsieve.operators import dedup, rank, serve, taxonomy
+from postsieve.operators import posts as jobs
 from postsieve.operators.tables import materialise, shared_path
 from postsieve.plans.fixtures import view, with_views
 from postsieve.sources import readers, sinks
@@ -108,9 +109,36 @@ def s8_property_bag(spark, sf_dir):
     return readers.from_property_bag(published(spark, sf_dir).select(bag.alias("properties")))
 
 
-@query()
+_PARTS = ", ".join(f"('{n}', {k}, {p})" for k, (n, p, _) in enumerate(SOURCES[:4]))
+
+
+@query(f"SELECT post_id, text, url, s.name AS source, CAST(s.priority AS BIGINT) AS priority FROM fx_posts JOIN (VALUES {_PARTS}) s(name, k, priority) ON query_seq % 5 = s.k")
+def s2_load_sources(spark, sf_dir):
+    """Each source but the last lands as JSON lines; the last one's files are missing."""
+    p = posts(spark, sf_dir).select(F.col("post_id").cast("string").alias("title"), F.col("text").alias("post_text"), "url", (F.col("query_seq") % 5).alias("k"))
+    paths = {name: shared_path(spark, f"source{k}") for k, (name, *_) in enumerate(SOURCES)}
+    for k, name in enumerate([*paths][:4]):
+        p.filter(F.col("k") == k).drop("k").write.json(paths[name])
+    return readers.load_sources(spark, paths, lines=True).select(F.col("title").cast("bigint").alias("post_id"), F.col("post_text").alias("text"), "url", "source", "priority")
+
+
+@query("SELECT row_no, title, 'said \"' || hiring_organization || '\",' || chr(10) || 'and more' AS description, stipend, tags, posted_date FROM fx_published WHERE title <> ''")
+def s3_read_published(spark, sf_dir):
+    """The published table lands as CSV with quotes and line breaks in its cells."""
+    p = published(spark, sf_dir).withColumn("description", F.concat(F.lit('said "'), "hiring_organization", F.lit('",\nand more'))).withColumn("duration", F.col("row_no").cast("string"))
+    columns = [readers.snake(h) for h in HEADERS]
+    path = shared_path(spark, "published_csv")
+    p.select(*[F.col(c) if c in p.columns else F.lit("").alias(c) for c in columns]).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_published(spark, path).select(F.col("duration").cast("bigint").alias("row_no"), "title", "description", "stipend", "tags", "posted_date")
+
+
+_CARDS_D = r"""(SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS site, unnest(range(0, len(m))) AS idx, unnest(list_transform(m, lambda x: regexp_extract(x, '^<li><a href="([^"]*)"', 1))) AS href, unnest(list_transform(m, lambda x: trim(regexp_extract(x, '">([^<]*)</a></li>$', 1)))) AS title
+ FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS m FROM pages))"""
+
+
+@query(f"SELECT page_id, CAST(idx AS BIGINT) AS idx, substring(title, 1, 200) AS title, 'See listing' AS company, 'India' AS location, regexp_extract(url, '^[a-z]+://[^/]+') || href AS url, site AS source FROM (SELECT * FROM {_CARDS_D} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, idx) <= 15) WHERE length(title) >= 5")
 def s9_extract_cards(spark, sf_dir):
-    return readers.extract_cards(view(spark, sf_dir, "pages"))
+    return readers.extract_cards(view(spark, sf_dir, "pages"), ("li",), ("a",))
 
 
 @query()
@@ -118,9 +146,9 @@ def s10_extract_blocks(spark, sf_dir):
     return readers.extract_blocks(view(spark, sf_dir, "pages"), ("the", "la", "der"))
 
 
-@query()
+@query(f"SELECT page_id, CAST(idx AS BIGINT) AS idx, substring(title, 1, 200) AS title, site AS company, 'India' AS location, regexp_extract(url, '^[a-z]+://[^/]+') || href AS url, 'Government' AS source FROM (SELECT * FROM {_CARDS_D} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, idx) <= 10) WHERE length(title) >= 5 AND regexp_matches(lower(title), 'the|la|der')")
 def s11_gov_cards(spark, sf_dir):
-    return readers.gov_cards(view(spark, sf_dir, "pages"), ("the", "la", "der"))
+    return readers.gov_cards(view(spark, sf_dir, "pages"), ("the", "la", "der"), ("li",), ("a",))
 
 
 @query("SELECT page_id, string_agg(CASE WHEN type = 'paragraph' THEN plain_text || chr(10) ELSE chr(10) || '# ' || plain_text || chr(10) END, '' ORDER BY idx) AS text FROM fx_blocks GROUP BY page_id")
@@ -128,14 +156,17 @@ def s12_assemble_page_text(spark, sf_dir):
     return readers.assemble_page_text(view(spark, sf_dir, "fx_blocks"))
 
 
-@query()
+@query("SELECT row_no, title, hiring_organization, post_url, substring(date_added, 1, 10) AS date_added FROM fx_published UNION ALL SELECT row_no, title, hiring_organization, post_url, substring(date_added, 1, 10) FROM fx_published WHERE row_no % 2 = 0")
 def s13_write_published(spark, sf_dir):
-    path = shared_path(spark, "published")
-    sinks.write_published(published(spark, sf_dir).select("row_no", "title", "hiring_organization", "post_url", F.substring("date_added", 1, 10).alias("date_added")), path)
-    return spark.read.parquet(path).select("row_no", "title", "hiring_organization", "post_url")
+    """Two runs append; days without a date lie in Spark's default partition and are read as blank."""
+    path, p = shared_path(spark, "published"), published(spark, sf_dir).select("row_no", "title", "hiring_organization", "post_url", F.substring("date_added", 1, 10).alias("date_added"))
+    sinks.write_published(p, path)
+    sinks.write_published(p.filter("row_no % 2 = 0"), path)
+    d = spark.read.schema("row_no bigint, title string, hiring_organization string, post_url string, date_added string").parquet(path)
+    return d.select("row_no", "title", "hiring_organization", "post_url", F.coalesce("date_added", F.lit("")).alias("date_added"))
 
 
-_TAB_PLACE = "CASE tab " + " ".join(f"WHEN '{n}' THEN {k + 1}" for k, (n, _) in enumerate(x.TABS)) + f" ELSE {len(x.TABS) + 1} END"
+_TAB_PLACE = "CASE tab " + " ".join(f"WHEN {DUCK.lit(n)} THEN {k + 1}" for k, (n, _) in enumerate(TABS)) + f" ELSE {len(TABS) + 1} END"
 
 
 @query(f"WITH tabbed AS (SELECT {x.assign_tab(DUCK, 'title', 'tags')} AS tab FROM fx_published) SELECT CAST({_TAB_PLACE} AS BIGINT) AS place, tab, count(*) AS n FROM tabbed GROUP BY tab UNION ALL SELECT 0, 'All', count(*) FROM tabbed")
@@ -157,14 +188,16 @@ def s16_export_dedup_keys(spark, sf_dir):
     return sinks.export_dedup_keys(published(spark, sf_dir))
 
 
-@query("SELECT row_no, title, hiring_organization AS company, coalesce(nullif(stipend, ''), 'Unpaid') AS stipend_text, CASE WHEN stipend <> '' AND stipend <> 'unpaid' THEN 'Yes' ELSE 'No' END AS paid, '3-6 months' AS duration, 'Fresher' AS experience, location AS \"where\" FROM fx_published")
-def s17_layout_wide(spark, sf_dir):
-    return sinks.project_layout(published(spark, sf_dir), "wide")
+@query("""SELECT row_no, title AS "Role", CASE WHEN type = '' THEN 'Internship' ELSE type END AS "Type", '' AS "Work Mode", timing AS "Timing", '' AS "Description", CASE WHEN stipend = '' THEN 'Not Specified' ELSE stipend END AS "Stipend", CASE WHEN stipend = '' THEN 'No' ELSE 'Yes' END AS "Stipend Available",
+ '' AS "Duration", '' AS "Experience", location AS "Location", '' AS "Deadline", tags AS "Tags", hiring_organization AS "Company", '' AS "Author", post_url AS "Post URL", apply_link AS "Apply Link", contact_email AS "Contact Email", date_added AS "Date Added" FROM fx_published""")
+def s17_layout_city(spark, sf_dir):
+    return sinks.project_layout(published(spark, sf_dir), "city")
 
 
-@query("SELECT row_no, title AS role, hiring_organization AS org, coalesce(nullif(apply_link, ''), nullif(post_url, ''), 'N/A') AS link, coalesce(nullif(contact_email, ''), 'N/A') AS contact, 'Fresher' AS experience FROM fx_published")
-def s17_layout_narrow(spark, sf_dir):
-    return sinks.project_layout(published(spark, sf_dir), "narrow")
+@query("""SELECT row_no, title AS "Title", 'Internship' AS "Type", CASE WHEN timing = '' THEN 'Full-time' ELSE timing END AS "Timing", '' AS "Description", CASE WHEN stipend = '' THEN 'Unpaid' ELSE stipend END AS "Stipend", '3-6 months' AS "Duration", 'Fresher' AS "Experience", location AS "Location",
+ 'N/A' AS "Deadline", tags AS "Tags", hiring_organization AS "HiringOrganization", 'N/A' AS "HiringManager", post_url AS "Post URL", apply_link AS "Apply Link", contact_email AS "Contact Email", date_added AS "Date Added" FROM fx_published""")
+def s17_layout_remote(spark, sf_dir):
+    return sinks.project_layout(published(spark, sf_dir), "remote")
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -173,10 +206,9 @@ def s18_read_with_fallback(spark, sf_dir):
     return readers.read_with_fallback(spark, f"{sf_dir}/not_there.parquet", f"{sf_dir}/documents.parquet", schema)
 
 
-@query("SELECT post_id, text, url, CAST(likes + comments AS BIGINT) AS engagement, 'company' AS author_type FROM fx_posts WHERE text <> '' OR url <> ''")
+@query("SELECT post_id, text, url, CAST(likes + comments AS BIGINT) AS engagement, 'Company' AS author_type FROM fx_posts WHERE text <> '' AND url <> ''")
 def s19_company_page_posts(spark, sf_dir):
-    p = posts(spark, sf_dir).filter("text <> '' OR url <> ''")
-    return p.select("post_id", "text", "url", (F.col("likes") + F.col("comments")).cast("bigint").alias("engagement"), F.lit("company").alias("author_type"))
+    return readers.company_page_posts(posts(spark, sf_dir)).select("post_id", "text", "url", "engagement", "author_type")
 
 
 # Extraction and filters over rows.
@@ -186,15 +218,37 @@ def s19_company_page_posts(spark, sf_dir):
 def c12_join_analysis(spark, sf_dir):
     p = posts(spark, sf_dir)
     analysis = p.filter("post_id % 5 <> 0").select("post_id", F.when(F.col("post_id") % 4 == 0, "Bluepeak").otherwise("Kite").alias("found"), F.when(F.col("post_id") % 4 == 1, False).alias("should_include"))
-    return p.select("post_id").join(analysis, "post_id", "left").filter(F.coalesce("should_include", F.lit(True))).drop("should_include")
+    return jobs.join_analysis(p.select("post_id"), analysis)
+
+
+@query()
+def c10_structure_posts(spark, sf_dir):
+    return jobs.structure_posts(posts(spark, sf_dir)).select("post_id", "role", "places", "emails", "link", "org", "work_type", "signals", "short", "engagement", "bonus")
+
+
+@query(
+    "SELECT post_id, strength FROM (SELECT post_id, CAST(CASE WHEN company NOT IN ('', 'Unknown') THEN 2 ELSE 0 END + CASE WHEN post_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN post_id % 2 = 0 THEN 2 ELSE -2 END + CASE WHEN regexp_matches(lower(text), 'hiring|openings|recruiting|vacancy|join our team|apply here') THEN 1 ELSE 0 END AS BIGINT) AS strength FROM fx_posts) WHERE strength >= 3"
+)
+def c13_strong_posts(spark, sf_dir):
+    p = posts(spark, sf_dir).withColumn("roles", F.array(F.when(F.col("post_id") % 3 == 0, "Data Intern").otherwise("Internship"))).withColumn("contact", F.when(F.col("post_id") % 2 == 0, "a@b.in").otherwise(""))
+    return jobs.strong_posts(p, "company", "roles", "contact").select("post_id", "strength")
+
+
+@query("SELECT row_no, CASE WHEN trim(title) = '' THEN 'Internship' ELSE trim(title) END AS title_or, CASE WHEN type = '' THEN 'Onsite' ELSE type END AS type_or, CASE WHEN timing = '' THEN 'Full-time' ELSE timing END AS timing_or, CASE WHEN trim(title) = '' THEN 'Internship' ELSE trim(title) END || ' at ' || hiring_organization || '.' AS description FROM fx_published")
+def n12_fill_defaults(spark, sf_dir):
+    d = jobs.fill_defaults(published(spark, sf_dir))
+    return d.select("row_no", F.col("title").alias("title_or"), F.col("type").alias("type_or"), F.col("timing").alias("timing_or"), "description")
+
+
+@query("SELECT row_no, hiring_organization AS ats, 'company_career' AS source FROM fx_published WHERE title <> ''")
+def f10_rename_source(spark, sf_dir):
+    return jobs.filter_intern_titles(published(spark, sf_dir).withColumn("source", F.col("hiring_organization"))).select("row_no", "ats", "source")
 
 
 @query("SELECT post_id, CAST(k AS BIGINT) AS place, role FROM (SELECT post_id, 0 AS k, CASE WHEN post_id % 3 = 0 THEN 'Data Intern' ELSE 'Internship' END AS role FROM fx_posts UNION ALL SELECT post_id, 1, 'ML Intern' FROM fx_posts WHERE post_id % 3 = 0)")
 def c14_explode_roles(spark, sf_dir):
     roles = F.when(F.col("post_id") % 3 == 0, F.array(F.lit(" Data Intern "), F.lit("  "), F.lit("ML Intern"))).when(F.col("post_id") % 3 == 1, F.array(F.lit("")))
-    clean = F.filter(F.transform(F.coalesce(roles, F.array().cast("array<string>")), lambda r: F.trim(r)), lambda r: r != "")
-    clean = F.when(F.size(clean) > 0, clean).otherwise(F.array(F.lit("Internship")))
-    return posts(spark, sf_dir).select("post_id", F.posexplode(clean).alias("place", "role")).withColumn("place", F.col("place").cast("bigint"))
+    return jobs.explode_roles(posts(spark, sf_dir).select("post_id", roles.alias("roles")))
 
 
 @query(f"SELECT post_id FROM (SELECT *, {NORM_D} AS n FROM fx_posts) WHERE {x.early_filter(DUCK, 'author_name', 'posted_time', 'n')} AND NOT (url <> '' AND url IN (SELECT url FROM fx_posts WHERE query_seq < 10)) AND query_seq >= 10")
@@ -204,18 +258,14 @@ def f7_prefilter_posts(spark, sf_dir):
     return dedup.anti_seen(p.filter("query_seq >= 10").filter(x.early_filter(SPARK, "author_name", "posted_time", "n")), F.nullif("url", F.lit("")), seen).select("post_id")
 
 
-UNKNOWN = ("Unknown", "N/A", "Confidential", "Company", "Stealth", "null")
-
-
-@query(f"SELECT post_id, company FROM fx_posts WHERE company <> '' AND company NOT IN {UNKNOWN}")
+@query("SELECT post_id, company FROM fx_posts WHERE company NOT IN ('', 'Unknown', 'N/A', 'Confidential', 'Company', 'Stealth', 'null')")
 def f11_drop_unknown_company(spark, sf_dir):
-    return posts(spark, sf_dir).filter(F.col("company").isin(*UNKNOWN) == F.lit(False)).filter("company <> ''").select("post_id", "company")
+    return jobs.drop_unknown_company(posts(spark, sf_dir)).select("post_id", "company")
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?]+)', 1) AS host FROM pages WHERE url <> '' AND html <> '' AND regexp_matches(regexp_extract(url, '^[a-z]+://([^/?]+)', 1), '(^|\\.)example\\.com$')")
+@query("SELECT page_id, host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages WHERE url <> '' AND html <> '') WHERE host IN ('example.com', 'example.org') OR host LIKE '%.example.com' OR host LIKE '%.example.org'")
 def f12_require_fields(spark, sf_dir):
-    p = view(spark, sf_dir, "pages").filter("url <> '' AND html <> ''").withColumn("host", F.parse_url("url", F.lit("HOST")))
-    return p.filter(F.col("host").rlike(r"(^|\.)example\.com$")).select("page_id", "host")
+    return jobs.official_domain(jobs.require_fields(view(spark, sf_dir, "pages"), "url", "html"), domains=("example.com", "example.org")).select("page_id", "host")
 
 
 _SIGNALS_D = f"len(string_split(nullif({x.hiring_signals(DUCK, 'text')}, ''), ','))"
@@ -223,8 +273,15 @@ _SIGNALS_D = f"len(string_split(nullif({x.hiring_signals(DUCK, 'text')}, ''), ',
 
 @query(f"SELECT post_id FROM fx_posts WHERE {_SIGNALS_D} >= 2 AND coalesce({t.age_hours(DUCK, 'posted_time')} <= 48, false)")
 def f13_quality_gate(spark, sf_dir):
-    signals = F.size(F.split(F.nullif(column(x.hiring_signals, "text"), F.lit("")), ","))
-    return posts(spark, sf_dir).filter((signals >= 2) & (column(t.age_hours, "posted_time") <= 48)).select("post_id")
+    p = posts(spark, sf_dir).withColumn("signals", column(x.hiring_signals, "text")).withColumn("age", column(t.age_hours, "posted_time"))
+    return jobs.quality_gate(p, "signals", "age").select("post_id")
+
+
+@query(f"SELECT post_id FROM fx_posts WHERE {_SIGNALS_D} >= 2 AND coalesce({t.age_hours(DUCK, 'posted_time')} <= 48, false) AND post_id % 3 <> 0 AND author_headline <> 'Engineer'")
+def f13_quality_gate_status(spark, sf_dir):
+    p = posts(spark, sf_dir).withColumn("signals", column(x.hiring_signals, "text")).withColumn("age", column(t.age_hours, "posted_time"))
+    p = p.withColumn("status", F.when(F.col("post_id") % 3 == 0, "Closed")).withColumn("kind", F.when(F.col("author_headline") == "Engineer", "Job").otherwise("Internship"))
+    return jobs.quality_gate(p, "signals", "age", "status", "kind").select("post_id")
 
 
 # Deduplication.
@@ -286,11 +343,16 @@ def j6_ordered_multi_key_dedup(spark, sf_dir):
 
 @query()
 def j7_fuzzy_title_dedup(spark, sf_dir):
-    p = posts(spark, sf_dir).select("post_id", F.substring(F.expr(t.normalize_title(SPARK, "text")), 60, 40).alias("title"))
-    return dedup.fuzzy_title_dedup(p, "title", "post_id")
+    """Titles of the pages, whole."""
+    p = view(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+    return dedup.fuzzy_title_dedup(p.withColumn("title", column(t.normalize_title, "title")), "title", "page_id")
 
 
-@query()
+_WALK_D = "walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL SELECT k.n, CASE WHEN list_has_any(w.used, k.keys) THEN w.used ELSE list_concat(w.used, k.keys) END, CASE WHEN list_has_any(w.used, k.keys) THEN NULL ELSE k.post_id END FROM walk w JOIN fresh k ON k.n = w.n + 1)"
+_NEW_D = f"WITH RECURSIVE keyed AS ({_KEYED_D}), old AS (SELECT DISTINCT unnest(keys) AS key FROM keyed WHERE post_id % 10 = 0), hit AS (SELECT DISTINCT post_id FROM (SELECT post_id, unnest(keys) AS key FROM keyed WHERE post_id % 10 <> 0) WHERE key IN (SELECT key FROM old)), fresh AS (SELECT post_id, keys, row_number() OVER (ORDER BY post_id) AS n FROM keyed WHERE post_id % 10 <> 0 AND post_id NOT IN (SELECT post_id FROM hit)), {_WALK_D}"
+
+
+@query(f"{_NEW_D} SELECT kept AS post_id FROM walk WHERE kept IS NOT NULL")
 def j9_append_only_new(spark, sf_dir):
     p = materialise(_keyed(spark, sf_dir), "keyed")
     keys = p.filter("post_id % 10 = 0").select(F.explode("keys").alias("key"))
@@ -368,10 +430,17 @@ def a13_rank_continue(spark, sf_dir):
 _CHIPS_D = x.related_terms(DUCK, "title", 1)
 
 
-@query(f"SELECT count(*) AS titles, count(*) FILTER (WHERE {_CHIPS_D} <> '') AS matched, count(DISTINCT title) FILTER (WHERE {_CHIPS_D} = '') AS unmatched_titles FROM fx_published")
+_COVERED_D = "FROM fx_published WHERE title <> ''"
+
+
+@query(f"SELECT row_no, {_CHIPS_D} AS subchips, {x.related_terms(DUCK, 'title', 2)} AS similar_fields {_COVERED_D}")
+def a14_taxonomy_backfill(spark, sf_dir):
+    return taxonomy.backfill(published(spark, sf_dir), taxonomy.own_taxonomy(spark)).select("row_no", "subchips", "similar_fields")
+
+
+@query(f"SELECT count(*) AS titles, count(*) FILTER (WHERE {_CHIPS_D} <> '') AS matched, count(DISTINCT title) FILTER (WHERE {_CHIPS_D} = '') AS unmatched_titles {_COVERED_D}")
 def a14_taxonomy_coverage(spark, sf_dir):
-    p = published(spark, sf_dir).select("title", F.expr(x.related_terms(SPARK, "title", 1)).alias("chips"))
-    return p.agg(F.count("*").alias("titles"), F.count_if(F.col("chips") != "").alias("matched"), F.count_distinct(F.when(F.col("chips") == "", F.col("title"))).alias("unmatched_titles"))
+    return taxonomy.coverage(taxonomy.backfill(published(spark, sf_dir), taxonomy.own_taxonomy(spark)))
 
 
 @query("SELECT post_id FROM fx_posts WHERE label = 'real' ORDER BY query_seq, post_id LIMIT 50")
@@ -384,12 +453,13 @@ def a16_topup_deficit(spark, sf_dir):
     return rank.topup_plan(posts(spark, sf_dir).filter("label = 'scam'"))
 
 
-@query(
-    f"SELECT post_id, CAST(30 + (CASE WHEN age < 6 THEN 30 WHEN age < 24 THEN 20 WHEN age < 72 THEN 10 ELSE 5 END) + (CASE WHEN comments < 10 THEN 20 WHEN comments < 50 THEN 10 ELSE 5 END) + least(10, likes) AS BIGINT) AS score_100 FROM (SELECT *, {t.age_hours(DUCK, 'posted_time')} AS age FROM fx_posts)"
-)
+@query()
 def a17_score_100(spark, sf_dir):
-    p = posts(spark, sf_dir).withColumn("age", column(t.age_hours, "posted_time")).withColumn("priority", F.lit(30))
-    return rank.score_100(p, "priority", "age", "comments", "likes").select("post_id", "score_100")
+    source = "CASE query_seq % 5 WHEN 0 THEN 'LinkedIn Posts' WHEN 1 THEN 'LinkedIn Jobs' WHEN 2 THEN 'Niche Communities' WHEN 3 THEN 'Unstop' ELSE 'Government Portals' END"
+    p = posts(spark, sf_dir).select("post_id", F.expr(source).alias("source"), column(t.age_hours, "posted_time").alias("age"), (F.col("likes") * 3).alias("applicants"), column(x.engagement_score, "likes", "comments", "reposts").alias("signals"))
+    d = rank.score_100(p, "source", "age", "applicants", "signals")
+    part = lambda c: F.col(f"breakdown.{c}").cast("bigint").alias("source_points" if c == "source" else c)
+    return d.select("post_id", "source", *[part(c) for c in ("source", "freshness", "competition", "engagement")], F.col("score_100").cast("bigint").alias("score_100"))
 
 
 _RUNS = "SELECT event_type AS source, CAST(ts AS DATE) AS run, sum(CASE WHEN user_id % 50 = 3 THEN 1 ELSE 0 END) AS yielded, sum(CASE WHEN user_id % 50 = 3 AND value > 5 THEN 1 ELSE 0 END) AS removed FROM {events} GROUP BY event_type, CAST(ts AS DATE)"
@@ -413,6 +483,10 @@ LISTINGS_D = f"""listings AS (SELECT row_no, {t.listing_id(DUCK, 'hiring_organiz
  contact_email AS contact, apply_link, post_url, title || ' at ' || hiring_organization || '.' AS description FROM fx_published WHERE trim(title) <> '')"""
 
 
+#: At this time some listings are a few hours old.
+_NOON = "TIMESTAMP '2024-01-28 12:00:00'"
+
+
 def listings(spark, sf_dir):
     return serve.listings_view(published(spark, sf_dir))
 
@@ -432,14 +506,14 @@ def q3_search_board_extended(spark, sf_dir):
     return serve.search_board_extended(listings(spark, sf_dir), "design", paid=True, part_time=True).select("row_no")
 
 
-@query(f"WITH {LISTINGS_D} SELECT row_no FROM listings WHERE hours_ago < 24 AND hours_ago <= 12")
+@query(f"WITH {LISTINGS_D.replace(AS_OF, _NOON)} SELECT row_no FROM listings WHERE hours_ago < 24 AND hours_ago <= 12")
 def q3_search_fresh(spark, sf_dir):
-    return serve.search_board_extended(listings(spark, sf_dir), fresh24=True, today=True).select("row_no")
+    return serve.search_board_extended(serve.listings_view(published(spark, sf_dir), _NOON), fresh24=True, today=True).select("row_no")
 
 
-@query(f"WITH {LISTINGS_D} SELECT row_no FROM listings WHERE cluster = 'Finance' AND contains(lower(title || ' ' || org || ' ' || tags_text || ' ' || location), 'mumbai')")
+@query(f"WITH {LISTINGS_D} SELECT row_no FROM listings WHERE cluster = 'Finance' AND contains(lower(title || ' ' || org || ' ' || tags_text || ' ' || location), 'engineering')")
 def q4_search_dashboard(spark, sf_dir):
-    return serve.search_dashboard(listings(spark, sf_dir), "mumbai", "Finance").select("row_no")
+    return serve.search_dashboard(listings(spark, sf_dir), "engineering", "Finance").select("row_no")
 
 
 _MATCH_D = f"""{LISTINGS_D}, subs AS ({SUBSCRIBERS_D}), prefs AS (SELECT DISTINCT roles, cities FROM subs),
@@ -518,18 +592,11 @@ def l2_expire_listings(spark, sf_dir):
     return kept.select("row_no", F.lit(False).alias("removed")).unionByName(removed.select("row_no", F.lit(True).alias("removed")))
 
 
-def publish_run(candidates: DataFrame, table: DataFrame) -> DataFrame:
-    """The published table (post_id, keys, date_added) after a run: new candidates appended, stale rows pruned."""
-    new = dedup.append_only_new(candidates, "keys", "post_id", table.select(F.explode("keys").alias("key")))
-    added = new.withColumn("date_added", F.lit("2024-01-31 00:00")).select(*table.columns)
-    return rank.prune_stale(table.unionByName(added))
-
-
-@query()
+@query(f"{_NEW_D} SELECT kept AS post_id, '2024-01-31 00:00' AS date_added FROM walk WHERE kept IS NOT NULL UNION ALL SELECT post_id, '2024-01-30 09:00' FROM keyed WHERE post_id % 20 = 10")
 def l3_publish_run(spark, sf_dir):
     p = materialise(_keyed(spark, sf_dir), "keyed")
     table = p.filter("post_id % 10 = 0").withColumn("date_added", F.when(F.col("post_id") % 20 == 0, "2024-01-02 09:00").otherwise("2024-01-30 09:00"))
-    return publish_run(p.filter("post_id % 10 <> 0"), table).select("post_id", "date_added")
+    return jobs.publish_run(p.filter("post_id % 10 <> 0"), table, "2024-01-31 00:00").select("post_id", "date_added")
 
 
 def _landed(spark, df: DataFrame, name: str) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from postsieve.functions import extract as x
 from postsieve.functions import text as t
+from postsieve.functions.banks import PORTAL_TITLES, PRIORITY_AI, PRIORITY_FOUNDERS, PRIORITY_REMOTE
 from postsieve.functions.dialect import DUCK, SPARK, Dialect
 from postsieve.plans.fixtures import view, with_views
 
@@ -80,7 +81,6 @@ scalar("n8_safe_count", P, "post_id", n=safe_count)
 scalar("n9_blank_sentinels", P, "post_id", company_or_null=lambda q: t.blank_sentinels(q, "company"))
 scalar("n10_tags", L, "row_no", n_tags=lambda q: f"CAST({q.size(t.tags_split(q, 'tags'))} AS BIGINT)", joined=lambda q: t.tags_join(q, t.tags_split(q, "tags")))
 scalar("n11_listing_id", L, "row_no", id=lambda q: t.listing_id(q, "hiring_organization", "title"))
-scalar("n12_fill_defaults", L, "row_no", title_or=lambda q: q.nonblank("trim(title)", "'Internship'"), type_or=lambda q: q.nonblank("trim(type)", "'Onsite'"), timing_or=lambda q: q.nonblank("trim(timing)", "'Full-time'"), description=lambda q: "concat(title, ' at ', hiring_organization, '.')")
 scalar("n13_truncate_text", P, "post_id", short=lambda q: t.truncate_text(q, "text", 300), description=lambda q: "CASE WHEN length(author_headline) > 20 THEN author_headline ELSE substring(text, 1, 5000) END")
 scalar("n14_formats", L, "row_no", stipend_text=lambda q: t.format_stipend(q, t.parse_stipend(q, "stipend")), age_text=lambda q: t.format_age(q, t.hours_since(q, "date_added")))
 scalar("n15_apply_target", L, "row_no", target=lambda q: t.apply_target(q, "apply_link", "CASE WHEN row_no % 4 = 0 THEN '' ELSE post_url END", "contact_email"), label=lambda q: t.apply_label(q, "apply_link", "CASE WHEN row_no % 4 = 0 THEN '' ELSE post_url END", "contact_email"))
@@ -106,8 +106,9 @@ scalar("c15_fallback_role", P, "post_id", role=lambda q: x.fallback_role(q, "tex
 scalar("c16_infer_cluster", L, "row_no", cluster=lambda q: x.infer_cluster(q, "title", t.tags_split(q, "tags")))
 scalar("c17_related_terms", L, "row_no", subchips=lambda q: x.related_terms(q, "title", 1), similar_fields=lambda q: x.related_terms(q, "title", 2))
 scalar("c18_assign_tab", L, "row_no", tab=lambda q: x.assign_tab(q, "title", "tags"))
-scalar("c19_work_mode", P, "post_id", mode=lambda q: x.work_mode(q, "concat(location, ' ', text)"))
-scalar("c20_priority_boost", L, "row_no", boost=lambda q: x.priority_boost(q, "title", "hiring_organization"))
+scalar("c18_assign_tab_posts", P, "post_id", tab=lambda q: x.assign_tab(q, "author_headline", "text"))
+scalar("c19_work_mode", P, "post_id", mode=lambda q: x.work_mode(q, "location", "text"))
+scalar("c20_priority_boost", L, "row_no", boost=lambda q: x.priority_boost(q, "title", "hiring_organization"), boost_remote=lambda q: x.priority_boost(q, "title", "hiring_organization", PRIORITY_REMOTE), boost_founders=lambda q: x.priority_boost(q, "title", "hiring_organization", PRIORITY_FOUNDERS), boost_ai=lambda q: x.priority_boost(q, "title", "hiring_organization", PRIORITY_AI))
 scalar("f1_flag_scam", P, "post_id", scam=lambda q: x.flag_scam(q, "text"), scam_raw=lambda q: x.flag_scam_raw(q, "text"))
 scalar("f2_flag_story", P, "post_id", story=lambda q: x.flag_story(q, "text"))
 scalar("f3_flag_hiring_intent", P, "post_id", intent=lambda q: x.flag_hiring_intent(q, "text"))
@@ -116,10 +117,10 @@ scalar("f5_flag_region_eligible", P, "post_id", eligible=lambda q: x.flag_region
 scalar("f5b_flag_region_hot", P, "post_id", eligible=lambda q: x.flag_region_hot(q, "location", "text"))
 scalar("f6_classify_posts", P, "post_id", reason=lambda q: x.verdict(q, "text", "location", "company"))
 scalar("f8_region_policies", P, "post_id", **{name: (lambda q, f=f: f(q, "location", "text")) for name, f in x.POLICIES.items()})
-scalar("f9_relevant_role", P, "post_id", relevant=lambda q: x.relevant_role(q, "text"))
-scalar("f10_intern_titles", L, "row_no", intern_title=lambda q: x.intern_title(q, "title"))
+scalar("f9_relevant_role", P, "post_id", relevant=lambda q: x.relevant_role(q, "author_headline", "text"))
+scalar("f10_intern_titles", L, "row_no", intern_title=lambda q: x.intern_title(q, "title"), portal_title=lambda q: x.intern_title(q, "title", PORTAL_TITLES))
 scalar("a1_source_score", P, "post_id", points=lambda q: f"CAST({t.freshness_points(q, t.age_hours_simple(q, 'posted_time'))} AS BIGINT)", score=lambda q: f"CAST({t.freshness_points(q, t.age_hours_simple(q, 'posted_time'))} + CASE query_seq % 5 WHEN 0 THEN 50 WHEN 1 THEN 45 WHEN 2 THEN 40 WHEN 3 THEN 35 ELSE 15 END AS BIGINT)")
 scalar("a6_listing_score", L, "row_no", score=lambda q: f"CAST({t.listing_score(q, t.hours_since(q, 'date_added'), t.parse_stipend(q, 'stipend'))} AS BIGINT)")
-scalar("a19_raw_engagement", P, "post_id", engagement=lambda q: "CAST(coalesce(likes, 0) + coalesce(comments, 0) AS BIGINT)")
+scalar("a19_raw_engagement", P, "post_id", engagement=lambda q: f"CAST({t.raw_engagement(q, 'likes', 'comments')} AS BIGINT)")
 scalar("q6_fresh_flag", L, "row_no", fresh=lambda q: t.fresh_flag(q, t.hours_since(q, "date_added")))
-scalar("j8_composite_keys", L, "row_no", url_role=lambda q: f"concat(post_url, '|', {t.role_bucket_8(q, 'title')})", company_role=lambda q: f"CASE WHEN {t.normalize_company_loose(q, 'hiring_organization')} IN ('', 'unknown') OR {t.role_bucket_8(q, 'title')} IN ('', 'internship') THEN NULL ELSE concat({t.normalize_company_loose(q, 'hiring_organization')}, '|', {t.role_bucket_8(q, 'title')}) END", text_key=lambda q: "md5(concat(substring(tags, 1, 100), title))")
+scalar("j8_composite_keys", L, "row_no", url_role=lambda q: t.url_role_key(q, "post_url", "title"), company_role=lambda q: t.company_role_key(q, "hiring_organization", "title"), text_key=lambda q: t.text_role_key(q, "tags", "title"))

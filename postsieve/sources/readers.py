@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsieve.functions.banks import HEADERS, SOURCES
+from postsieve.functions.banks import BLOCK_WORDS, HEADERS, PORTAL_TITLES, SOURCES
 from postsieve.functions.dialect import column
 from postsieve.functions.text import title_case
 
@@ -53,16 +53,19 @@ def read_raw_posts(spark: SparkSession, path: str, aliases: dict[str, list[str]]
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "company", "location", "url", "posted_time", "posted_date", "role", "author_name", "post_text")])
 
 
-def load_sources(spark: SparkSession, paths: dict[str, str], sources=SOURCES) -> DataFrame:
-    """Union of the sources' JSON files, tagged with source and priority; a missing file adds no rows."""
+def load_sources(spark: SparkSession, paths: dict[str, str], sources=SOURCES, lines: bool = False) -> DataFrame:
+    """Union of the sources' JSON files (arrays, or a row a line), tagged with source and priority.
+
+    A missing file adds no rows, nor does one that isn't JSON.
+    """
     out = spark.createDataFrame([], T.StructType([*ITEM.fields, T.StructField("source", T.StringType()), T.StructField("priority", T.LongType())]))
     for name, priority, _ in sources:
         if name in paths:
             reader = spark.read.schema(ITEM).option("ignoreMissingFiles", "true").option("mode", "DROPMALFORMED")
             try:
-                rows = reader.json(paths[name], multiLine=True)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
+                rows = reader.json(paths[name], multiLine=not lines)
+            except AnalysisException as e:
+                if not _missing(e):
                     raise
                 continue
             out = out.unionByName(rows.withColumn("source", F.lit(name)).withColumn("priority", F.lit(priority).cast("bigint")))
@@ -89,6 +92,12 @@ def read_run_metrics(df: DataFrame) -> DataFrame:
     return last.filter("m IS NOT NULL").select("m.*")
 
 
+def company_page_posts(df: DataFrame) -> DataFrame:
+    """Posts of company pages: text and url required, likes and comments summed, the author's type fixed."""
+    d = df.filter("coalesce(text, '') <> '' AND coalesce(url, '') <> ''")
+    return d.withColumn("engagement", (F.coalesce("likes", F.lit(0)) + F.coalesce("comments", F.lit(0))).cast("bigint")).withColumn("author_type", F.lit("Company"))
+
+
 def flatten_items(df: DataFrame, value: str = "value") -> DataFrame:
     """JSON items: lists are flattened, objects kept only with a title."""
     item = "struct<title:string,company:string,url:string>"
@@ -130,84 +139,115 @@ def assemble_page_text(blocks: DataFrame) -> DataFrame:
 
 
 class _Cards(HTMLParser):
-    """Text and first link of elements of the given tags; nested elements belong to the outer one too."""
+    """Elements of the card tags: stripped text, text of the first title element in it, and its first links."""
 
-    def __init__(self, tags: set[str]):
+    def __init__(self, cards: set[str], titles: set[str]):
         super().__init__(convert_charrefs=True)
-        self.tags, self.open, self.found, self.skip = tags, [], [], 0
+        self.cards, self.titles, self.open, self.found, self.skip = cards, titles, [], [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.skip += 1
-        if tag in self.tags:
-            card = [tag, [], None]
+        if tag in self.titles:
+            for card in self.open:
+                if card["title"] is None:
+                    card["title"], card["in"] = [], [tag, 0]
+        for card in self.open:
+            if card["in"] and card["in"][0] == tag:
+                card["in"][1] += 1
+        if tag == "a":
+            href = dict(attrs).get("href")
+            for card in self.open:
+                card["first"] = (href or "") if card["first"] is None else card["first"]
+                card["href"] = href if card["href"] is None else card["href"]
+        if tag in self.cards:
+            card = {"tag": tag, "text": [], "title": None, "in": None, "first": None, "href": None}
             self.open.append(card)
             self.found.append(card)
-        if tag == "a" and (href := dict(attrs).get("href")):
-            for card in self.open:
-                card[2] = card[2] or href
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
+        for card in self.open:
+            if card["in"] and card["in"][0] == tag:
+                card["in"][1] -= 1
+                card["in"] = card["in"] if card["in"][1] else None
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k]["tag"] == tag:
                 del self.open[k:]
                 break
 
     def handle_data(self, data):
         if not self.skip:
             for card in self.open:
-                card[1].append(data)
+                card["text"].append(data.strip())
+                if card["in"]:
+                    card["title"].append(data.strip())
 
 
-def _elements(pages: DataFrame, tags: set[str]) -> DataFrame:
-    """(page_id, url, idx, text, href) of the elements of each page in order."""
+def _elements(pages: DataFrame, cards: tuple[str, ...], titles: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, site, idx, text, title, first, href) of the elements of each page in order.
+
+    first: the address of the first link, blank if it has none, null without a link; href: of the first link with one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for page, url, html in zip(p["page_id"], p["url"], p["html"], strict=True):
-                parser = _Cards(tags)
+                parser = _Cards(set(cards), set(titles))
                 parser.feed(html or "")
-                for k, (_, text, href) in enumerate(parser.found):
-                    out.append((page, url, k, " ".join("".join(text).split()), urljoin(url or "", href) if href else ""))
-            yield pd.DataFrame(out, columns=["page_id", "url", "idx", "text", "href"])
+                out += [(page, url, k, "".join(c["text"]), "".join(c["title"] or []), c["first"], c["href"]) for k, c in enumerate(parser.found)]
+            yield pd.DataFrame(out, columns=["page_id", "url", "idx", "text", "title", "first", "href"])
+
+    d = pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, idx bigint, text string, title string, first string, href string")
+    return d.withColumn("site", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1))
+
+
+def _first_of_site(d: DataFrame, n: int) -> DataFrame:
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("page_id", "idx"))).filter(F.col("_n") <= n).drop("_n")
+
+
+def _host(url: str) -> Column:
+    return F.regexp_extract(url, "^[^/]*//[^/]*", 0)
+
+
+def _has_word(c: str, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(c), w))
+
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, idx bigint, text string, href string")
+def extract_cards(pages: DataFrame, cards: tuple[str, ...] = ("article",), titles: tuple[str, ...] = ("h2", "h3"), per_site: int = 15) -> DataFrame:
+    """Of the first cards of each site those with a title of 5 characters or more, cut at 200.
 
+    Addresses: absolute ones stay, those from the root get the site's, others the page's; blank without a link.
+    """
+    d = _first_of_site(_elements(pages, cards, titles), per_site).filter(F.length("title") >= 5)
+    link = F.when(F.col("first").isNull(), "").when(F.col("first").startswith("http"), F.col("first")).when(F.col("first").startswith("/"), F.concat(_host("url"), "first"))
+    return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.lit("See listing").alias("company"), F.lit("India").alias("location"), link.otherwise(F.concat(F.rtrim("url", F.lit("/")), F.lit("/"), "first")).alias("url"), F.col("site").alias("source"))
 
-def _site(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1)
 
+def extract_blocks(pages: DataFrame, words: tuple[str, ...] = tuple(BLOCK_WORDS), per_site: int = 10) -> DataFrame:
+    """Texts of article, div and li of 50 to 3000 characters that hold a keyword, each once a site, the first of a site."""
+    d = _elements(pages, ("article", "div", "li")).filter(F.length("text").between(50, 3000) & _has_word("text", words))
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("site", "text").orderBy("page_id", "idx"))).filter("_n = 1").drop("_n")
+    href = F.coalesce(F.nullif("first", F.lit("")), F.col("url"))
+    link = F.when(href.startswith("http"), href).otherwise(F.concat("url", href))
+    return _first_of_site(d, per_site).select("page_id", "idx", "text", link.alias("url"), F.col("site").alias("source"), F.lit("Today").alias("posted_time"))
 
-def extract_cards(pages: DataFrame, tag: str = "li", per_site: int = 15) -> DataFrame:
-    """The first cards of each site: titles of 5 characters or more, cut at 200, with their first link resolved."""
-    d = _elements(pages, {tag}).filter(F.length("text") >= 5).withColumn("site", _site(F.col("url")))
-    n = F.row_number().over(Window.partitionBy("site").orderBy("page_id", "idx"))
-    return d.withColumn("_n", n).filter(F.col("_n") <= per_site).select("site", "page_id", "idx", F.substring("text", 1, 200).alias("title"), "href")
 
+def gov_cards(pages: DataFrame, words: tuple[str, ...] = tuple(PORTAL_TITLES), cards: tuple[str, ...] = ("article",), titles: tuple[str, ...] = ("h3", "h4"), per_site: int = 10) -> DataFrame:
+    """Of the first cards of each portal those with a title of 5 characters or more that holds a keyword, cut at 200.
 
-def extract_blocks(pages: DataFrame, words: tuple[str, ...] = ("hiring", "intern", "apply", "opening"), per_site: int = 10) -> DataFrame:
-    """Texts of article, div and li of 50 to 3000 characters that hold a keyword; repeated texts of a site once."""
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(F.lower("text"), F.lit(w))
-    d = _elements(pages, {"article", "div", "li"}).filter(F.length("text").between(50, 3000) & hit).withColumn("site", _site(F.col("url")))
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("site", "text").orderBy("page_id", "idx"))).filter("_n = 1")
-    n = F.row_number().over(Window.partitionBy("site").orderBy("page_id", "idx"))
-    return d.withColumn("_n", n).filter(F.col("_n") <= per_site).select("site", "page_id", "idx", "text", F.coalesce(F.nullif("href", F.lit("")), F.col("url")).alias("link"))
+    The company is the portal; addresses that aren't absolute get the portal's in front, a missing one is the page's.
+    """
+    d = _first_of_site(_elements(pages, cards, titles), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
+    href = F.coalesce("href", F.lit(""))
+    link = F.when(href == "", F.col("url")).when(href.startswith("http"), href).otherwise(F.concat(_host("url"), href))
+    return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.col("site").alias("company"), F.lit("India").alias("location"), link.alias("url"), F.lit("Government").alias("source"))
 
 
-def gov_cards(pages: DataFrame, words: tuple[str, ...] = ("intern", "training", "fellow"), per_site: int = 10) -> DataFrame:
-    """The first raw cards of each site, then the keyword gate; a missing link falls back to the page."""
-    d = _elements(pages, {"li"}).withColumn("site", _site(F.col("url")))
-    n = F.row_number().over(Window.partitionBy("site").orderBy("page_id", "idx"))
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(F.lower("text"), F.lit(w))
-    d = d.withColumn("_n", n).filter(F.col("_n") <= per_site).filter(hit)
-    return d.select("site", "page_id", "idx", F.col("text").alias("title"), F.coalesce(F.nullif("href", F.lit("")), F.col("url")).alias("link"), F.lit("Government of India").alias("company"), F.lit("India").alias("location"), F.lit("government").alias("source"))
+def _missing(e: AnalysisException) -> bool:
+    return (e.getCondition() or "").split(".")[0] in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def read_with_fallback(spark: SparkSession, primary: str, seed: str, schema: T.StructType) -> DataFrame:
@@ -215,7 +255,7 @@ def read_with_fallback(spark: SparkSession, primary: str, seed: str, schema: T.S
     for path in (primary, seed):
         try:
             return spark.read.schema(schema).parquet(path).select(*schema.names)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+        except AnalysisException as e:
+            if not _missing(e):
                 raise
     return spark.createDataFrame([], schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postsieve.functions import extract as x
 from postsieve.functions import text as t
+from postsieve.functions.banks import TABS
 from postsieve.functions.dialect import SPARK, column
 
 
@@ -20,7 +21,7 @@ def write_tabs(df: DataFrame, path: str, role: str = "title", text: str = "locat
 
 def tab_inventory(df: DataFrame, role: str, text: str, tabs=None) -> DataFrame:
     """(place, tab, n): All first, tabs in rule order, Other last; empty tabs are left out."""
-    names = [n for n, _ in (tabs or x.TABS)]
+    names = [n for n, _ in (tabs or TABS)]
     place = F.coalesce(*[F.when(F.col("tab") == n, k + 1) for k, n in enumerate(names)], F.lit(len(names) + 1)).cast("bigint")
     each = df.groupBy(F.expr(x.assign_tab(SPARK, role, text, tabs)).alias("tab")).agg(F.count("*").alias("n")).select(place.alias("place"), "tab", "n")
     return each.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(0).cast("bigint").alias("place"), F.lit("All").alias("tab"), "n"))
@@ -38,14 +39,27 @@ def export_dedup_keys(published: DataFrame) -> DataFrame:
     return published.select(F.inline(both)).filter("key IS NOT NULL").distinct()
 
 
-#: Layout -> (column, expression) with the display defaults of its header.
-LAYOUTS = {
-    "wide": [("title", "title"), ("company", "coalesce(nullif(hiring_organization, ''), 'N/A')"), ("stipend_text", "coalesce(nullif(stipend, ''), 'Unpaid')"), ("paid", "CASE WHEN stipend <> '' AND stipend <> 'unpaid' THEN 'Yes' ELSE 'No' END"), ("duration", "'3-6 months'"), ("experience", "'Fresher'"), ("where", "location")],
-    "narrow": [("role", "title"), ("org", "coalesce(nullif(hiring_organization, ''), 'N/A')"), ("link", "coalesce(nullif(apply_link, ''), nullif(post_url, ''), 'N/A')"), ("contact", "coalesce(nullif(contact_email, ''), 'N/A')"), ("experience", "'Fresher'")],
-}
+def _or(default: str, *columns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({c}, '')" for c in columns) + f", '{default}')"
 
 
-def project_layout(df: DataFrame, layout: str, keep: tuple[str, ...] = ("row_no",)) -> DataFrame:
-    return df.selectExpr(*keep, *[f"{e} AS `{n}`" for n, e in LAYOUTS[layout]])
+#: Layout -> (header, expression) with its display defaults; the inputs are columns of the published table.
+LAYOUTS = {
+    "city": [
+        ("Role", "title"), ("Type", _or("Internship", "type")), ("Work Mode", "work_mode"), ("Timing", "timing"), ("Description", "description"), ("Stipend", _or("Not Specified", "stipend")),
+        ("Stipend Available", "CASE WHEN stipend <> '' THEN 'Yes' ELSE 'No' END"), ("Duration", "duration"), ("Experience", "experience"), ("Location", "location"), ("Deadline", "deadline"), ("Tags", "tags"),
+        ("Company", "hiring_organization"), ("Author", "hiring_manager"), ("Post URL", "post_url"), ("Apply Link", "apply_link"), ("Contact Email", "contact_email"), ("Date Added", "date_added"),
+    ],
+    "remote": [
+        ("Title", "title"), ("Type", "'Internship'"), ("Timing", _or("Full-time", "timing")), ("Description", "description"), ("Stipend", _or("Unpaid", "stipend")), ("Duration", _or("3-6 months", "duration")),
+        ("Experience", _or("Fresher", "experience")), ("Location", "location"), ("Deadline", _or("N/A", "deadline")), ("Tags", "tags"), ("HiringOrganization", "hiring_organization"), ("HiringManager", _or("N/A", "hiring_manager")),
+        ("Post URL", _or("", "post_url", "source_url")), ("Apply Link", "apply_link"), ("Contact Email", "contact_email"), ("Date Added", "date_added"),
+    ],
+}
 
 
+def project_layout(df: DataFrame, layout: str, keep: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """The columns of a layout under its headers; columns that df lacks are blank."""
+    needed = ("title", "type", "work_mode", "timing", "description", "stipend", "duration", "experience", "location", "deadline", "tags", "hiring_organization", "hiring_manager", "post_url", "source_url", "apply_link", "contact_email", "date_added")
+    d = df.select("*", *[F.lit("").alias(c) for c in needed if c not in df.columns])
+    return d.selectExpr(*keep, *[f"{e} AS `{n}`" for n, e in LAYOUTS[layout]])

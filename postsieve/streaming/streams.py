@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,18 +20,21 @@ def dedup_stream(posts: DataFrame, time: str = "posted_ts", key: str = "url", da
 def publish_stream(posts: DataFrame, path: str, checkpoint: str, keys: str = "keys", order: str = "post_id") -> StreamingQuery:
     """Publish the new rows of each micro-batch: keys of earlier batches are anti-joined, then those of the batch.
 
-    A batch overwrites its own partition, so a batch that is delivered again changes nothing.
+    A batch overwrites its own partition, named by the checkpoint's query and the batch, so a batch that is delivered again
+    changes nothing, and one of a new checkpoint only adds to what older ones published.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         try:
-            seen = spark.read.parquet(path).filter(F.col("batch_id") != batch_id).select(F.explode(keys).alias("key")).distinct()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            table = spark.read.parquet(path).filter((F.col("run") != run) | (F.col("batch_id") != batch_id))
+            seen = table.select(F.explode(keys).alias("key")).distinct()
+        except AnalysisException as e:
+            if (e.getCondition() or "").split(".")[0] not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             seen = spark.createDataFrame([], "key string")
-        new = append_only_new(batch, keys, order, seen).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        new = append_only_new(batch, keys, order, seen).withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_id").parquet(path)
 
     return posts.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -22,7 +22,16 @@ CASES = [
     (x.flag_region_eligible, ["London, UK", "x"], False), (x.flag_region_eligible, ["Dubai / India", "x"], True), (x.flag_region_eligible, ["Remote", "Indian candidates"], True), (x.flag_region_eligible, ["Remote", "anyone"], False), (x.flag_region_eligible, ["Pan India", ""], True),
     (x.flag_scam, ["a" * 150 + " registration fee"], False), (x.flag_scam, ["Pay a Registration-Fee"], False), (x.flag_scam, ["pay a registration fee!"], True), (x.work_type, ["full time or part-time"], "Part-time"),
     (x.extract_role, ["nothing"], "Internship"), (x.company_from_headline, ["", "Recruiter at Northwind Labs", "me"], "Northwind Labs"), (x.company_from_headline, ["", "CEO | Manager Hub", "me"], "me"), (x.hiring_signals, ["hiring, mail a@b.c"], "role_keyword,contact_method"),
-    (x.verdict, ["Hiring a developer intern", "Pan India", "GAO Tek"], "blacklisted_company"), (x.verdict, ["Hiring a developer intern", "Pan India", "Kite"], "ok"), (x.work_mode, ["Bangalore or remote"], "Bangalore + Remote"),
+    (x.verdict, ["Hiring a developer intern", "Pan India", "GAO Tek"], "blacklisted_company"), (x.verdict, ["Hiring a developer intern", "Pan India", "Kite"], "ok"), (x.work_mode, ["Bangalore", "or remote"], "Bangalore / Remote"), (x.work_mode, ["", "in Bengaluru"], "Bangalore (On-site)"), (x.work_mode, ["Pune", "office"], "Remote (India)"),
+    (x.fallback_role, ["HR and data science"], "Hr Intern"), (x.fallback_role, ["a business analyst"], "Business Analyst Intern"), (x.fallback_role, ["software"], "Internship"),
+    (x.assign_tab, ["SEO Intern", "Vue and CSS"], "Frontend"), (x.assign_tab, ["Founder's Office", "nothing"], "Founder's Office"), (x.assign_tab, ["Cook", "kitchen"], "Other"),
+    (x.priority_boost, ["Growth Intern", "Kite"], 5), (x.priority_boost, ["Cook", "Kite"], 1), (x.priority_boost, ["Cook ba", "cke"], 1), (x.priority_boost, ["fro", "ntend"], 5),
+    (x.remote_only, ["Remote", "not remote"], False), (x.remote_only, ["not remote", "wfh"], True), (x.remote_only, ["Pune", "on site"], False),
+    (x.city_or_home_or_remote, ["London, UK", "india"], False), (x.city_or_home_or_remote, ["Ukraine", "remote"], True), (x.city_or_home_or_remote, ["Pune", "office"], False),
+    (x.remote_home, ["Remote", "for indian students"], True), (x.remote_home, ["Remote", "india, on-site only"], False), (x.remote_home, ["Remote", "india, hybrid only"], False), (x.remote_home, ["Remote", "india or london"], False), (x.remote_home, ["Remote", "anyone"], False),
+    (x.city_or_remote_home, ["Bengaluru", "office mandatory"], True), (x.city_or_remote_home, ["Pune", "remote, office mandatory"], False), (x.city_or_remote_home, ["Bangalore", "or Dubai"], False), (x.city_or_remote_home, ["Pune", "virtual"], True),
+    (x.relevant_role, ["Intern", ""], True), (x.relevant_role, ["", "international"], False), (x.relevant_role, ["Ops", ""], True), (x.intern_title, ["Campus Hire"], True), (x.intern_title, ["Junior Fellow"], False),
+    (t.company_role_key, ["Kite Pvt Ltd", "Data Intern"], "kite|data"), (t.company_role_key, ["Unknown", "Data Intern"], None), (t.company_role_key, ["Kite", "Internship"], None),
 ]
 
 

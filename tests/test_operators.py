@@ -6,8 +6,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from postsieve.operators import dedup, rank, serve
-from postsieve.plans import relational
+from postsieve.operators import dedup, posts, rank, serve, taxonomy
 from postsieve.sources import readers, sinks
 from postsieve.streaming import streams
 
@@ -42,10 +41,10 @@ def test_multi_key_random(spark, seed):
     assert sorted(r.pos for r in again.collect()) == kept
 
 
-def test_multi_key_raises_on_long_chains(spark):
-    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(12)]
-    with pytest.raises(RuntimeError):
-        dedup.ordered_multi_key_dedup(keyed(spark, rows), "keys", "pos", max_rounds=2)
+def test_multi_key_long_chain(spark):
+    """Each row depends on the one before it: every second one stays, whatever the number of rounds."""
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(24)]
+    assert sorted(r.pos for r in dedup.ordered_multi_key_dedup(keyed(spark, rows), "keys", "pos").collect()) == list(range(0, 24, 2))
 
 
 def test_cross_query(spark):
@@ -145,7 +144,7 @@ def test_files(spark, tmp_path):
 def test_layout_and_tabs(spark, tmp_path):
     d = spark.createDataFrame([("Backend developer", "Pune"), ("Zookeeper", "")], "title string, location string")
     sinks.write_tabs(d, str(tmp_path / "tabs"))
-    assert {r.tab for r in spark.read.parquet(str(tmp_path / "tabs")).select("tab").collect()} == {"Software", "Other"}
+    assert {r.tab for r in spark.read.parquet(str(tmp_path / "tabs")).select("tab").collect()} == {"Backend", "Other"}
 
 
 def test_publish_stream_twice(spark, sf_dir, tmp_path):
@@ -168,6 +167,94 @@ def test_publish_run_is_idempotent(spark):
     rows = [(i, [f"u{i % 7}"]) for i in range(20)]
     table = keyed(spark, rows[:3]).withColumnRenamed("pos", "post_id").selectExpr("post_id", "keys", "'2024-01-30 09:00' AS date_added")
     fresh = keyed(spark, rows).withColumnRenamed("pos", "post_id")
-    once = relational.publish_run(fresh, table)
-    twice = relational.publish_run(fresh, once)
+    once = posts.publish_run(fresh, table, "2024-01-31 00:00")
+    twice = posts.publish_run(fresh, once, "2024-01-31 00:00")
     assert sorted(r.post_id for r in once.collect()) == sorted(r.post_id for r in twice.collect()) == list(range(7))
+
+
+def test_publish_stream_with_a_new_checkpoint_keeps_older_rows(spark, tmp_path):
+    d = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "post_id bigint, keys array<string>")
+    out = str(tmp_path / "out")
+    for k in (1, 2):
+        d.filter(f"post_id = {k}").write.parquet(str(tmp_path / f"in{k}"))
+        source = spark.readStream.schema(d.schema).parquet(str(tmp_path / f"in{k}"))
+        streams.publish_stream(source, out, str(tmp_path / f"state{k}")).awaitTermination()
+    assert sorted(r.post_id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_dedup_stream(spark, tmp_path):
+    """The first row of each address stays; one seen again within the retention doesn't come back."""
+    rows = [(1, "u1", "2024-01-01 00:00:00"), (2, "u2", "2024-01-01 01:00:00"), (3, "u1", "2024-01-02 00:00:00"), (4, "u3", "2024-01-03 00:00:00"), (5, "u2", "2024-01-04 00:00:00")]
+    d = spark.createDataFrame(rows, "post_id int, url string, at string").selectExpr("post_id", "url", "CAST(at AS TIMESTAMP) AS posted_ts")
+    d.filter("post_id < 4").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        source = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+        writer = streams.dedup_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        writer.start().awaitTermination()
+        d.filter("post_id >= 4").write.mode("append").parquet(str(tmp_path / "in"))
+    got = [r.url for r in spark.read.schema(d.schema).parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == ["u1", "u2", "u3"]
+
+
+SHOP = """<html><body><article><h2> First <b>offer</b> here </h2><p>text</p><a href="/one">x</a></article><article><h2>Tiny</h2><a href="/two">x</a></article>
+<article><p>no title at all</p></article><article><h3>Absolute address</h3><a href="https://b.in/z">x</a><a href="/no">y</a></article><article><h2>Relative address</h2><a name="n">x</a><a href="deep">y</a></article>
+<article><h2>Without any link</h2></article></body></html>"""
+
+
+def page(spark, *html):
+    return spark.createDataFrame([(k, "https://a.in/jobs/list/", h) for k, h in enumerate(html)], "page_id bigint, url string, html string")
+
+
+def test_cards(spark):
+    got = [(r.title, r.url, r.company, r.location, r.source) for r in readers.extract_cards(page(spark, SHOP, None)).orderBy("page_id", "idx").collect()]
+    same = ("See listing", "India", "a.in")
+    assert got == [("Firstofferhere", "https://a.in/one", *same), ("Absolute address", "https://b.in/z", *same), ("Relative address", "https://a.in/jobs/list/", *same), ("Without any link", "", *same)]
+    few = readers.extract_cards(page(spark, SHOP), per_site=2).collect()
+    assert [r.title for r in few] == ["Firstofferhere"]  # the cut comes before the short title goes
+
+
+def test_portal_cards(spark):
+    html = "".join(f"<article><h3>{t}</h3>{a}</article>" for t, a in [("Young fellows", '<a name="x">n</a><a href="apply">y</a>'), ("A trainee job", ""), ("Other thing", ""), ("Intern" + "x" * 300, '<a href="https://c.in">y</a>')])
+    got = [(r.title, r.url, r.company, r.source) for r in readers.gov_cards(page(spark, html)).orderBy("idx").collect()]
+    assert got == [("Young fellows", "https://a.inapply", "a.in", "Government"), ("A trainee job", "https://a.in/jobs/list/", "a.in", "Government"), ("Intern" + "x" * 194, "https://c.in", "a.in", "Government")]
+    assert readers.gov_cards(page(spark, html), per_site=1).count() == 1
+
+
+def test_blocks(spark):
+    body = "We are hiring people for this and that, and for much more of it"
+    html = f'<div>{body}<a href="/x">go</a></div><li>{body}<a href="/x">go</a></li><li>short hiring</li><article>{"no word of it " * 9}</article><div>{body} again</div>'
+    got = [(r.idx, r.url) for r in readers.extract_blocks(page(spark, html)).orderBy("idx").collect()]
+    assert got == [(0, "https://a.in/jobs/list//x"), (4, "https://a.in/jobs/list/")]
+
+
+def test_bad_source_files(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("this is not JSON")
+    (tmp_path / "good.json").write_text('[{"title": "a"}]')
+    got = readers.load_sources(spark, {"LinkedIn Posts": str(tmp_path / "bad.json"), "Unstop": str(tmp_path / "good.json")}).collect()
+    assert [(r.title, r.source, r.priority) for r in got] == [("a", "Unstop", 40)]
+
+
+def test_score_100(spark):
+    rows = [("LinkedIn Posts", 5, 400, 3), ("LinkedIn Jobs", 48, 300, 3), ("LinkedIn Jobs", 49, 301, 0), ("Unstop", None, 10, 2), ("elsewhere", 12, 10, 2)]
+    d = rank.score_100(spark.createDataFrame(rows, "source string, age int, applicants int, signals int"), "source", "age", "applicants", "signals")
+    assert [(tuple(r.breakdown), r.score_100) for r in d.collect()] == [((30, 25, 0, 20), 75), ((25, 10, 10, 0), 45), ((25, 5, 5, 0), 35), ((15, 0, 0, 0), 15), ((0, 15, 0, 0), 15)]
+
+
+def test_taxonomy_as_a_table(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"place": 2, "keywords": ["data"], "subchips": ["D"], "similar_fields": ["E"]}\n{"place": 1, "keywords": ["data eng", "etl"], "subchips": ["A", "B"], "similar_fields": ["C"]}\n')
+    d = spark.createDataFrame([("Data Engineer",), ("Data Entry",), ("Cook",), (None,)], "title string")
+    got = taxonomy.related_terms(d, taxonomy.read_taxonomy(spark, str(tmp_path / "t.json"))).collect()
+    assert {tuple(r) for r in got} == {("Data Engineer", "A, B", "C"), ("Data Entry", "D", "E"), ("Cook", "", ""), (None, "", "")}
+
+
+def test_rank_continue_over_ranges(spark):
+    d = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "pos bigint")
+    got = rank.rank_continue(d, ["pos"], 10).collect()
+    assert len(got) == 1000 and all(r["rank"] == r.pos + 11 for r in got)
+
+
+def test_cards_and_rows_of_posts(spark):
+    d = spark.createDataFrame([(1, [" a ", "", "b"]), (2, None), (3, [" "])], "post_id int, roles array<string>")
+    assert [(r.post_id, r.place, r.role) for r in posts.explode_roles(d).orderBy("post_id", "place").collect()] == [(1, 0, "a"), (1, 1, "b"), (2, 0, "Internship"), (3, 0, "Internship")]
+    d = spark.createDataFrame([("https://niti.gov.in/x",), ("https://gov.in.evil.com",), ("http://NIC.in/",), ("not a url",), (None,)], "url string")
+    assert [r.url for r in posts.official_domain(d).collect()] == ["https://niti.gov.in/x", "http://NIC.in/"]

@@ -36,7 +36,7 @@ def test_query(spark, sf_dir, duck, name):
     found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
-    assert got == Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
+    assert got and got == Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
