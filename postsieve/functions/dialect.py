@@ -90,8 +90,15 @@ class Dialect:
 
     def when_parsed(self, x: str, formats: Iterable[tuple[str, str]]) -> str:
         """The first format that fits, of (Spark pattern, strptime format) pairs; else null."""
-        each = [f"try_to_timestamp({x}, {self.lit(a)})" if self.spark else f"try_strptime({x}, {self.lit(b)})" for a, b in formats]
-        return f"coalesce({', '.join(each)})"
+        if not self.spark:
+            return f"coalesce({', '.join(f'try_strptime({x}, {self.lit(b)})' for _, b in formats)})"
+        # A text of another shape is turned away by a regex: a parse that fails is an exception inside Spark.
+        return self.let(x, lambda v: f"coalesce({', '.join(f'CASE WHEN {self.matches(v, self._shape(a))} THEN try_to_timestamp({v}, {self.lit(a)}) END' for a, _ in formats)})")
+
+    @staticmethod
+    def _shape(pattern: str) -> str:
+        parts = {"yyyy": r"[0-9]{4}", "MMM": "[A-Za-z]{3}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}", "m": "[0-9]{1,2}", "s": "[0-9]{1,2}", "MM": "[0-9]{1,2}", "dd": "[0-9]{1,2}", "HH": "[0-9]{1,2}", "mm": "[0-9]{1,2}", "ss": "[0-9]{1,2}", "'T'": "T"}
+        return "^" + re.sub(r"'T'|([A-Za-z])\1*", lambda m: parts[m.group()], pattern) + "$"
 
     def seconds(self, ts: str) -> str:
         return f"unix_seconds({ts})" if self.spark else f"CAST(floor(epoch({ts})) AS BIGINT)"

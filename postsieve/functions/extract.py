@@ -17,7 +17,8 @@ def extract_role(q: Dialect, x: str) -> str:
 
 def extract_emails(q: Dialect, x: str) -> str:
     found = q.extract_all(x, r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}")
-    return q.join(q.distinct(q.keep(found, lambda e: f"NOT {q.matches(e, r'\.(png|jpg|gif|svg)$')}")), ", ")
+    kept = q.join(q.distinct(q.keep(found, lambda e: f"NOT {q.matches(e, r'\.(png|jpg|gif|svg)$')}")), ", ")
+    return f"CASE WHEN {q.has(x, '@')} THEN {kept} ELSE '' END"
 
 
 def extract_locations(q: Dialect, x: str) -> str:

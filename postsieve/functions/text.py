@@ -104,7 +104,7 @@ def parse_listing_date(q: Dialect, x: str, as_of: str = AS_OF) -> str:
 def hours_since(q: Dialect, x: str, as_of: str = AS_OF) -> str:
     """Whole hours, 1 at least; 24 where nothing parses."""
     hours = q.div(_hours_between(q, q.when_parsed(f"trim({x})", SERVING_FORMATS), as_of), 3600)
-    return f"CASE WHEN {hours} IS NULL THEN 24 ELSE greatest(1, {hours}) END"
+    return q.let(hours, lambda h: f"CASE WHEN {h} IS NULL THEN 24 ELSE greatest(1, {h}) END")
 
 
 def resolve_posted_date(q: Dialect, age: str, as_of: str = AS_OF) -> str:

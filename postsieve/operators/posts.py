@@ -11,6 +11,7 @@ from postsieve.functions.banks import INTERN_TITLES
 from postsieve.functions.dialect import AS_OF, column
 from postsieve.operators.dedup import append_only_new
 from postsieve.operators.rank import prune_stale
+from postsieve.operators.tables import materialise
 
 #: Names that stand for an unknown company.
 UNKNOWN = ("Unknown", "N/A", "Confidential", "Company", "Stealth", "null")
@@ -23,7 +24,8 @@ def structure_posts(posts: DataFrame, as_of: str = AS_OF) -> DataFrame:
         column(x.company_from_headline, "company", "author_headline", "author_name").alias("org"), column(x.work_type, "text").alias("work_type"), column(x.hiring_signals, "text").alias("signals"),
         column(t.truncate_text, "text").alias("short"), column(x.engagement_score, "likes", "comments", "reposts").cast("bigint").alias("engagement"), column(t.age_hours, "posted_time", as_of=as_of).alias("age"),
     )
-    return d.withColumn("bonus", column(x.freshness_bonus, "age").cast("bigint")).orderBy(F.desc("bonus"), F.desc("engagement"), "post_id")
+    d = materialise(d.withColumn("bonus", column(x.freshness_bonus, "age").cast("bigint")), "structured")  # read once, as sorting samples it first
+    return d.orderBy(F.desc("bonus"), F.desc("engagement"), "post_id")
 
 
 def join_analysis(posts: DataFrame, analysis: DataFrame) -> DataFrame:
