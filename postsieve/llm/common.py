@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: \x20 and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: A side of a join may be broadcast up to this many rows (of a few dozen bytes each).
-BROADCAST_ROWS = 200_000
+#: A side of a join may be broadcast up to this many rows, in files of so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _own_dir: list[str] = []
 
@@ -57,8 +58,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised table with a broadcast hint if its counted rows are within the bound, else without."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A materialised table with a broadcast hint if its counted rows and the bytes of its files are within bounds, else without."""
+    if df.count() > rows:
+        return df
+    size = 0
+    for f in df.inputFiles():
+        where, local = filesystem(f)
+        size += where.get_file_info(unquote(local)).size or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def row_key(*columns: str) -> Column:
+    """A 128-bit key of a row's values; null differs from blank, and a value from its neighbour's."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws(";", *map(part, columns))))
 
 
 def let(value: Column, body) -> Column:

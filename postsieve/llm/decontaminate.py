@@ -108,7 +108,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
 
 def phrases(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, pos) of the exact occurrences of each query's (query_id, text) whole word sequence."""
+    """(query_id, doc_id, pos) of the exact occurrences of each query's (query_id, text) whole word sequence, listed once.
+
+    Null and empty texts and queries give nothing; rows that repeat a doc_id are each held against their own words.
+    """
     items = materialise(_items(queries.withColumnRenamed("query_id", "item_id")), "items")
     found = alignments(docs, items, window=1_000_000).join(small(items), "item")
     rows = docs.select("doc_id", tokens(F.col("text")).alias("_w")).join(found.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")))
@@ -117,7 +120,12 @@ def phrases(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def near(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
-    """(query_id, doc_id, pos) where all terms of a query lie within `within` words of an occurrence of its rarest, at pos."""
+    """(query_id, doc_id, pos) where all terms of a query lie within `within` words of an occurrence of its rarest, at pos.
+
+    Each row of docs is looked at on its own, also where rows repeat a doc_id or have none; ties for the rarest go to the
+    least term. Null and empty texts and queries give nothing.
+    """
+    docs = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     terms = materialise(asked.select("term").distinct(), "terms")
     counts = term_counts(docs, terms)
@@ -127,7 +135,7 @@ def near(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     head = index.join(small(materialise(per, "rarest")), index["term"] == F.col("rarest")).select("query_id", "terms", "doc_id", F.col("pos").alias("at"))
     rest = index.join(small(asked), "term").select(F.col("query_id").alias("_q"), F.col("doc_id").alias("_d"), "term", "pos")
     both = head.join(rest, (F.col("query_id") == F.col("_q")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.abs(F.col("pos") - F.col("at")) <= within))
-    return both.groupBy("query_id", "doc_id", "at", "terms").agg(F.count_distinct("term").alias("met")).filter("met = terms").select("query_id", "doc_id", F.col("at").alias("pos"))
+    return both.groupBy("query_id", "doc_id", "at", "terms").agg(F.count_distinct("term").alias("met")).filter("met = terms").select("query_id", "doc_id.doc_id", F.col("at").alias("pos"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

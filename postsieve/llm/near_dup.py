@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, small, table
+from postsieve.llm.common import materialise, row_key, small, table
 
 
 @dataclass(frozen=True)
@@ -200,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame, p: Shingling = Shingling(), keyed: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, and if keyed key = xxhash64(doc_id, text).
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, and if keyed key = row_key(doc_id, text).
 
     component_id is the smallest doc_id of the rows reachable over links; kept is doc_id = component_id. Null, empty and
     blank texts have empty sets, form components of their own and are kept. Rows that repeat a doc_id with equal sets
@@ -243,7 +243,7 @@ def group(docs: DataFrame, p: Shingling = Shingling(), keyed: bool = False) -> D
     by_class = of(classes.select("node", "smallest", "fingerprint"))
     ids = by_class.groupBy("component").agg(F.min("smallest").alias("component_id"))
     by_class = materialise(by_class.join(ids, "component").select(F.col("fingerprint").alias("_print"), "component_id", F.lit(True).alias("_in")), "memberships")
-    key = [F.xxhash64("doc_id", "text").alias("key")] * keyed
+    key = [row_key("doc_id", "text").alias("key")] * keyed
     out = rows.select("doc_id", "n_shingles", "fingerprint", *key).join(small(by_class), F.col("fingerprint") == F.col("_print"), "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *["key"] * keyed)

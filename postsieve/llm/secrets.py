@@ -36,7 +36,7 @@ BASE_RULES = (
 )
 #: Further published token shapes, found through the same index.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),  # with its body, or the header alone
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
 
     kind is the rule's place in rules; offsets are code points, end exclusive. Null and empty texts have no secrets.
     Rows that repeat a doc_id, and null doc_ids, are matched each on their own text. An empty table gives an empty
-    result. A column of docs named secrets is replaced.
+    result. A column of docs named secrets is replaced. Very long texts are matched whole.
     """
     docs = docs.drop("secrets")
     indexed = tuple(r for r in rules if trigram_query(r.regex))

@@ -58,6 +58,19 @@ def test_phrases_and_proximity(spark, awkward):
     assert close[6] == whole and close[7] == whole | {(2, d) for _, d in whole}  # kappa and gamma are 7 words apart
 
 
+def test_proximity_within_one_row(spark):
+    docs = spark.createDataFrame([(1, "kappa one two"), (1, "gamma one two"), (2, "kappa gamma")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "kappa gamma"), (2, None)], "query_id bigint, text string")
+    assert {tuple(r)[:2] for r in decontaminate.near(docs, asked, 5).collect()} == {(1, 2)}
+
+
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq" + "x" * 45] * 20)
+    text = f"a -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- b -----BEGIN PRIVATE KEY----- c"
+    got = secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text
+    assert got == "a [private_key] b [private_key] c"
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.regex) for r in secrets.BASE_RULES + secrets.MORE_RULES}
     assert q["hex"] == [] and q["access"] == [frozenset({"aki", "kia"})]
