@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, small, table
+from postsieve.llm.common import materialise, row_key, small, table
 from postsieve.llm.decontaminate import decontaminate
 from postsieve.llm.near_dup import Shingling, group
 from postsieve.llm.quality_rules import assess
@@ -18,8 +18,11 @@ from postsieve.llm.sentencepieces import encode_decode
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, each row judged on its own."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang"))
+    """Documents that the quality rules keep, each row judged on its own.
+
+    Null and empty texts go; rows that repeat each other stay or go together. An empty table stays empty.
+    """
+    keyed = docs.withColumn("_key", row_key("doc_id", "text", "lang"))
     rejected = small(materialise(assess(keyed.select("doc_id", "text", "lang", "_key")).filter("NOT kept").select("_key").distinct(), "rejected"))
     return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
 
@@ -34,7 +37,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     again = materialise(again, "repeated")
     others = found.join(small(again.select("component_id", F.col("key").alias("stays"))), "component_id").filter("kept AND key <> stays").select("key")
     dropped = small(materialise(found.filter("NOT kept").select("key").union(others).distinct(), "dropped"))
-    d = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).join(dropped, "key", "left_anti")
+    d = docs.withColumn("key", row_key("doc_id", "text")).join(dropped, "key", "left_anti")
     if not again.isEmpty():
         twice = small(again.select("key"))
         d = d.join(twice, "key", "left_anti").unionByName(d.join(twice, "key", "left_semi").dropDuplicates(["key"]))
@@ -42,13 +45,13 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage contaminates."""
+    """Documents that no benchmark passage contaminates; null and empty texts are clean, repeated rows are judged alike."""
     d = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return d.filter("NOT contaminated").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kinds; n_chars follows the new text."""
+    """All documents, secrets replaced by their kinds; n_chars follows the new text. Null texts stay null."""
     d = redact(docs.withColumn("_was", F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("_was") != F.col("text"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
@@ -56,7 +59,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the digests of ids and of the decoded text, and the ids."""
+    """doc_id, n_tokens, the digests of ids and of the decoded text, and the ids; a null or empty text has begin and end id."""
     return encode_decode(docs, decoded=False)
 
 
