@@ -248,6 +248,15 @@ def chain_model(x, y, p):
     return max(f.values())
 
 
+def test_passages_whose_words_are_fetched_again(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(150)
+    shared = " ".join(f"s{i}" for i in range(700))
+    longer = [(10**6 + k, " ".join(f"x{k}y{i}" for i in range(90)) + " " + shared + " " + " ".join(f"z{k}y{i}" for i in range(90))) for k in range(3)]
+    docs = docs.unionByName(spark.createDataFrame(longer, "doc_id long, text string"))
+    near, whole = (sorted(map(tuple, passages.passages(docs, passages.Passages(margin=m)).collect())) for m in (13, 10**7))
+    assert near == whole and any(r[0] > 10**6 and r[3] - r[2] == 700 for r in near)
+
+
 def test_chains_are_best():
     rng, p = np.random.default_rng(3), passages.Passages()
     for _ in range(60):
