@@ -52,15 +52,44 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM digest)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, b AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM m
 """
 
-OP7 = rf"""
+def _linked(words: int) -> str:
+    """component_id by row (rid) and n by rid, for links at 85 % of the union of shingles of some words."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOW}, '{SPACED}') AS w FROM documents),
-s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + {words - 1}], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - {words - 1}) + 1)) AS i FROM d WHERE len(w) > 0)),
 z AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
 shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
 link AS (SELECT a, b FROM shared JOIN z x ON x.rid = a JOIN z y ON y.rid = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
 reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 c AS (SELECT reach.a AS rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.b GROUP BY reach.a)
-SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id, d.doc_id IS NOT DISTINCT FROM c.component_id AS kept FROM d JOIN c ON d.rid = c.rid LEFT JOIN z ON d.rid = z.rid
+"""
+
+
+OP7 = _linked(3) + "SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id, d.doc_id IS NOT DISTINCT FROM c.component_id AS kept FROM d JOIN c ON d.rid = c.rid LEFT JOIN z ON d.rid = z.rid"
+OP12 = _linked(4) + "SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id FROM d JOIN c ON d.rid = c.rid LEFT JOIN z ON d.rid = z.rid"
+
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id AS other, a.label = x.label AS same, CAST(list_inner_product(a.e, x.e) AS BIGINT) AS score FROM v a JOIN v x ON a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS k FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+ AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+OP13 = rf"""
+WITH piece AS (SELECT row_number() OVER () AS pid, lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)) WHERE len(w) > 0),
+total AS (SELECT lang, sum(len(w)) AS n FROM piece GROUP BY lang),
+gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY lang, k, phrase HAVING count(*) >= 100),
+part AS (SELECT lang, k, f, w, i, m, array_to_string(w[i:i + m - 1], ' ') AS part FROM (SELECT lang, k, f, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+most AS (SELECT lang, part, max(f) AS f FROM part GROUP BY lang, part),
+cand AS (SELECT f.lang, f.phrase, f.k, f.f AS a, string_split(f.phrase, ' ') AS w FROM f LEFT JOIN most m ON f.lang = m.lang AND f.phrase = m.part WHERE f.k > 1 AND (m.f IS NULL OR 100 * m.f < 100 * f.f)),
+cut AS (SELECT *, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+scored AS (SELECT cut.lang, cut.phrase, c, a, l.f AS l, r.f AS r, CAST(t.n AS BIGINT) AS n, CAST(CAST(1000 AS HUGEINT) * a * t.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM cut JOIN f l ON cut.lang = l.lang AND cut.x = l.phrase JOIN f r ON cut.lang = r.lang AND cut.y = r.phrase JOIN total t ON cut.lang = t.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
 
@@ -90,4 +119,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT base_failed AND NOT ((usable AND chars >= {_R.guard_chars} AND coalesce(cd > {_R.max_char_distance}, false)) OR (usable AND n_words >= {_R.guard_words} AND coalesce(wd > {_R.max_word_distance}, false))) AS kept FROM j
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op2_secrets": OP2, "op4_warc_zip": OP4, "op7_near_dup": OP7, "op9_quality_rules": OP9}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op2_secrets": OP2, "op4_warc_zip": OP4, "op7_near_dup": OP7, "op9_quality_rules": OP9, "op11_hard_negatives": OP11, "op12_jaccard_join": OP12, "op13_collocations": OP13}
