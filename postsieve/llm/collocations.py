@@ -45,9 +45,9 @@ class Collocations:
     often: int = 100
     top: int = 2000
     filter_bits: int = 26
-    entries: int = 1_000_000
+    entries: int = 300_000
     burst: int = 4096
-    tokens: int = 1 << 20
+    tokens: int = 1 << 19
     partition_words: int = 2_000_000
 
 
@@ -222,7 +222,7 @@ def bitmap(sequences: DataFrame, name: str, p: Collocations) -> str:
 class Ids(dict):
     """Word to id in one language; 0 for words that aren't frequent."""
 
-    def __init__(self, lang: bytes, seed: int, passed: Passed, most: int = 400_000):
+    def __init__(self, lang: bytes, seed: int, passed: Passed, most: int = 150_000):
         self.lang, self.seed, self.passed, self.most = lang, seed, passed, most
 
     def __missing__(self, word: bytes) -> int:
