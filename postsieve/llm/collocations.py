@@ -1,8 +1,8 @@
 """Phrases of two to five words that occur together more often than their parts make likely, per language.
 
-Phrases are counted level by level: a phrase can be frequent only if the phrases of one word less at its start and at its
-end are, so a level counts the windows whose shorter phrases passed the level before. What passed is sent to the tasks as
-a bitmap of fixed size, which lets some too many through and none too few.
+Phrases are counted level by level, pairs, then triples, then all longer ones: a phrase can be frequent only if all shorter
+phrases in it are, so a level counts the windows whose shorter phrases passed the level before. What passed is sent to the
+tasks as a bitmap of fixed size, which lets some too many through and none too few.
 
 A task counts in a HAT-trie: a shallow trie over word ids (64-bit hashes of language and word, checked for clashes) with
 hash containers of word sequences under it; a container that grows too large bursts into one for each next word. When the
@@ -275,11 +275,11 @@ def count_words(docs: DataFrame, p: Collocations, seed: int) -> DataFrame:
     return d.select("id", "w.lang", "w.word", "n", (F.col("w") != F.col("v")).alias("clash"))
 
 
-def count_phrases(docs: DataFrame, length: int, words: str, shorter: str, partitions: int, p: Collocations, seed: int) -> DataFrame:
-    """(words, f): frequent phrases of a length as packed ids. words and shorter: folders of bitmaps."""
-    schema = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+def count_phrases(docs: DataFrame, lengths: tuple[int, ...], words: str, shorter: str, known_length: int, partitions: int, p: Collocations, seed: int) -> DataFrame:
+    """(words, f): frequent phrases of some lengths as packed ids. words, shorter: folders of bitmaps, of words and of phrases of known_length."""
+    schema = pa.schema([("part", pa.int64()), ("length", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
-    def runs(spilled: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    def runs(length: int, spilled: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         if spilled is None:
             return
         w, n = spilled
@@ -287,26 +287,29 @@ def count_phrases(docs: DataFrame, length: int, words: str, shorter: str, partit
         order = np.argsort(part, kind="stable")  # in each, the run stays sorted
         w, n, part = w[order], n[order], part[order]
         ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part)).tolist()
-        rows = [(int(part[a]), np.ascontiguousarray(w[a:b].T).tobytes(), n[a:b].astype(np.uint32).tobytes() if n[a:b].max() < 2**32 else n[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+        rows = [(int(part[a]), length, np.ascontiguousarray(w[a:b].T).tobytes(), n[a:b].astype(np.uint32).tobytes() if n[a:b].max() < 2**32 else n[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, ids), passed = ids_of(words, seed, p), Passed(shorter, p)
-        trie, held, size = HatTrie(length, p), [], 0
+        tries, held, size = [HatTrie(n, p) for n in lengths], [], 0
 
         def insert() -> None:
             x = np.concatenate(held)
             held.clear()
-            k = len(x) - length + 1
-            if k < 1:
+            least = lengths[0]
+            if len(x) < least:
                 return
-            columns = [x[i : i + k] for i in range(length)]
-            may = np.flatnonzero(np.logical_and.reduce([c != 0 for c in columns]))
-            if length > 2:
-                may = may[passed.has(fold([c[may] for c in columns[:-1]]))]
-                may = may[passed.has(fold([c[may] for c in columns[1:]]))]
-            if len(may):
-                trie.add(*distinct(np.stack([c[may] for c in columns], axis=1)))
+            may = np.flatnonzero(np.logical_and.reduce([x[i : len(x) - least + 1 + i] != 0 for i in range(least)]))
+            for trie in tries:
+                if trie.length > least:  # of the shorter ones, those that go on
+                    may = may[may + trie.length <= len(x)]
+                    may = may[x[may + trie.length - 1] != 0]
+                first = 0 if trie.length == least else trie.length - known_length
+                for i in range(first, trie.length - known_length + 1) if known_length > 1 else ():
+                    may = may[passed.has(fold([x[may + i + j] for j in range(known_length)]))]
+                if len(may):
+                    trie.add(*distinct(np.stack([x[may + i] for i in range(trie.length)], axis=1)))
 
         gap = np.zeros(1, np.uint64)
         for batch in batches:
@@ -319,11 +322,13 @@ def count_phrases(docs: DataFrame, length: int, words: str, shorter: str, partit
                 if size >= p.tokens:
                     insert()
                     size = 0
-                    if trie.entries > p.entries:
-                        yield from runs(trie.spill(p.entries // 2))
+                    for trie in tries:
+                        if trie.entries > p.entries // len(tries):
+                            yield from runs(trie.length, trie.spill(trie.entries // 2))
         if held:
             insert()
-        yield from runs(trie.spill(0))
+        for trie in tries:
+            yield from runs(trie.length, trie.spill(0))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, []
@@ -334,17 +339,17 @@ def count_phrases(docs: DataFrame, length: int, words: str, shorter: str, partit
             return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in w], pa.binary()), pa.array(n)], names=["words", "f"])
 
         for batch in batches:
-            for part, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != at and found:
+            for part, length, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, length) != at and found:
                     yield frequent()
                     found = []
-                at, w = part, np.frombuffer(w, np.uint64).reshape(length, -1).T
+                at, w = (part, length), np.frombuffer(w, np.uint64).reshape(length, -1).T
                 found.append((w, np.frombuffer(n, np.uint32 if len(n) == 4 * len(w) else np.int64).astype(np.int64)))
         if found:
             yield frequent()
 
-    spilled = _texts(docs).mapInArrow(count, "part bigint, words binary, counts binary")
-    return spilled.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(merge, "words binary, f bigint")
+    spilled = _texts(docs).mapInArrow(count, "part bigint, length int, words binary, counts binary")
+    return spilled.repartition(partitions, "part").sortWithinPartitions("part", "length").mapInArrow(merge, "words binary, f bigint")
 
 
 def phrases(docs: DataFrame, p: Collocations = Collocations()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -363,11 +368,13 @@ def phrases(docs: DataFrame, p: Collocations = Collocations()) -> tuple[DataFram
 
     found = [materialise(names.select("id", F.col("n").alias("f")).mapInArrow(pack, "words binary, f bigint"), "phrases-1")]
     known = shorter = bitmap(found[0], "bitmap-1", p)
-    for length in range(2, p.longest + 1):
-        if found[-1].isEmpty():
+    for before, lengths in enumerate(((2,), (3,), tuple(range(4, p.longest + 1))), 1):
+        lengths = tuple(n for n in lengths if n <= p.longest)
+        if not lengths or found[-1].isEmpty():
             break
-        found.append(materialise(count_phrases(docs, length, known, shorter, partitions, p, seed), f"phrases-{length}"))
-        shorter = bitmap(found[-1], f"bitmap-{length}", p)
+        found.append(materialise(count_phrases(docs, lengths, known, shorter, before, partitions, p, seed), f"phrases-{lengths[0]}"))
+        if before < 3:
+            shorter = bitmap(found[-1], f"bitmap-{lengths[0]}", p)
     out = found[0]
     for d in found[1:]:
         out = out.unionByName(d)
