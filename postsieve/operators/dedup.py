@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postsieve.operators.matching import near_titles
+from postsieve.operators.selection import ordered_selection
 from postsieve.operators.tables import materialise
 
 
@@ -62,65 +61,36 @@ def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFram
 def dedup_cross_query(df: DataFrame, query: str, url: str, text_key: str, order: list) -> DataFrame:
     """Within a query the first row of each URL; URLs and texts of kept rows block later queries.
 
-    Rows without a URL are blocked by the texts kept so far, those of their own query included. There are few queries;
-    each is one pass on the keys kept before it.
-    """
-    spark = df.sparkSession
-    df = materialise(df, "posts")
-    seen = spark.createDataFrame([], "key string")
-    out = None
-    for q in [r[0] for r in df.select(query).distinct().orderBy(query).collect()]:
-        d = anti_seen(anti_seen(df.filter(F.col(query) == q), F.concat(F.lit("u:"), F.nullif(F.col(url), F.lit(""))), seen), F.concat(F.lit("t:"), F.nullif(F.col(text_key), F.lit(""))), seen)
-        has_url = F.coalesce(F.col(url) != "", F.lit(False))
-        d = d.withColumn("_u", F.row_number().over(Window.partitionBy(has_url, url).orderBy(*order))).filter(~has_url | (F.col("_u") == 1)).drop("_u")
-        free = F.coalesce(F.col(text_key) == "", F.lit(True))
-        before = F.row_number().over(Window.partitionBy(text_key).orderBy(*order))
-        d = d.withColumn("_t", before).filter(has_url | free | (F.col("_t") == 1)).drop("_t")
-        d = materialise(d, "kept")
-        keys = F.array_compact(F.array(F.concat(F.lit("u:"), F.nullif(F.col(url), F.lit(""))), F.concat(F.lit("t:"), F.nullif(F.col(text_key), F.lit("")))))
-        seen = materialise(seen.unionByName(d.select(F.explode(keys).alias("key"))).distinct(), "seen")
-        out = d if out is None else out.unionByName(d)
-    return df.limit(0) if out is None else out
-
-
-def similar_titles(titles: DataFrame, ratio: float = 0.85) -> DataFrame:
-    """Pairs (earlier, later) of titles (order, title) with a Ratcliff-Obershelp ratio(later, earlier) above ratio.
-
-    ratio is at most 2 min / (a + b) of the lengths, so only titles of near lengths meet: a loss-free equi-join on length.
+    Rows without a URL are blocked by all texts kept so far, those of their own query included; rows without either are
+    kept. Queries go in their order, a null one first; all are worked on at once (ordered_selection).
     """
-    least = ratio / (2 - ratio)
-    t = titles.select("order", "title", F.length("title").alias("len")).filter("len > 0")
-    near = t.withColumn("len", F.explode(F.sequence(F.ceil(F.col("len") * least).cast("int"), F.floor(F.col("len") / least).cast("int"))))
-    pairs = near.alias("a").join(t.alias("b"), (F.col("a.len") == F.col("b.len")) & (F.col("a.order") < F.col("b.order"))).select(F.col("a.order").alias("earlier"), F.col("b.order").alias("later"), F.col("a.title").alias("x"), F.col("b.title").alias("y"))
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        for p in parts:
-            m, keep = SequenceMatcher(), []
-            for x, y in zip(p["x"], p["y"], strict=True):
-                if m.b != x:
-                    m.set_seq2(x)  # what it learns of this one serves the pairs that follow
-                m.set_seq1(y)
-                keep.append(m.real_quick_ratio() > ratio and m.quick_ratio() > ratio and m.ratio() > ratio)  # upper bounds first
-            yield p.loc[keep, ["earlier", "later"]]
-
-    return pairs.mapInPandas(score, "earlier long, later long")
+    at = [(F.col(c) if isinstance(c, str) else c).alias(f"c{k}") for k, c in enumerate(order)]
+    place = lambda inside: F.struct(F.col(query).alias("q"), F.lit(inside).alias("inside"), *at)
+    d = materialise(df.withColumn("_o", place(1)).withColumn("_begin", place(0)), "posts")
+    key = lambda kind, c: F.concat(F.lit(kind), F.nullif(F.col(c), F.lit("")))
+    u, t = key("u:", url), key("t:", text_key)
+    check = lambda token, bound: F.when(token.isNotNull(), F.struct(token.alias("token"), bound.alias("bound")))
+    marks = d.select(F.col("_o").alias("o"), F.explode(F.array_compact(F.array(u, t))).alias("token"))
+    own = check(t, F.when(u.isNull(), F.col("_o")).otherwise(F.col("_begin")))
+    checks = d.select(F.col("_o").alias("o"), F.explode(F.array_compact(F.array(check(u, F.col("_o")), own))).alias("c")).select("o", "c.token", "c.bound")
+    taken = ordered_selection(d.select(F.col("_o").alias("o")), marks, checks)
+    return d.join(taken.withColumnRenamed("o", "_o"), "_o", "left_semi").select(*df.columns)
 
 
 def fuzzy_title_dedup(df: DataFrame, title: str, order: str, ratio: float = 0.85, exempt: tuple[str, ...] = ("", "internship")) -> DataFrame:
     """Rows in order are kept unless their title is near that of a row kept before; exempt titles are all kept.
 
-    Equal titles go first, so that pairs are made of distinct titles only; each near pair is then a shared key.
+    An exempt title that isn't blank still counts for the titles behind it. Equal titles go first, so that near ones are
+    sought among distinct titles only (near_titles, loss-free).
     """
     free = F.coalesce(F.col(title).isin(*exempt), F.lit(True))
-    rest = dedup_first(df.filter(~free), title, [order])
-    rest = materialise(rest, "titles")
-    pairs = materialise(similar_titles(rest.select(F.col(order).cast("long").alias("order"), F.col(title).alias("title")), ratio), "near_titles")
-    both = pairs.select(F.col("earlier").alias(order), F.concat_ws("-", "earlier", "later").alias("k")).unionByName(pairs.select(F.col("later").alias(order), F.concat_ws("-", "earlier", "later").alias("k")))
-    keys = both.groupBy(order).agg(F.collect_list("k").alias("_keys"))
-    d = rest.join(keys, order, "left").withColumn("_keys", F.coalesce("_keys", F.array().cast("array<string>")))
-    return df.filter(free).unionByName(ordered_multi_key_dedup(d, "_keys", order).drop("_keys").select(*df.columns))
+    rest = dedup_first(df.filter(~free), title, [order]).select(F.col(order).alias("o"), F.col(title).alias("token"), F.lit(True).alias("checked"))
+    known = df.filter(free & (F.col(title) != "")).groupBy(F.col(title).alias("token")).agg(F.min(order).alias("o"), F.lit(False).alias("checked"))
+    rows = materialise(rest.unionByName(known), "titles")
+    near = near_titles(rows.select(F.col("token").alias("title")), ratio)
+    checks = rows.filter("checked").select("o", F.col("token").alias("new")).join(near, "new").select("o", F.col("kept").alias("token"), F.col("o").alias("bound"))
+    taken = ordered_selection(rows.select("o"), rows.select("o", "token"), checks)
+    return df.filter(free).unionByName(df.filter(~free).join(taken.withColumnRenamed("o", order), order, "left_semi").select(*df.columns))
 
 
 def append_only_new(candidates: DataFrame, keys: str, order: str, published_keys: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.banks import SOURCE_POINTS
 from postsieve.functions.dialect import AS_OF, SPARK
-from postsieve.operators.dedup import ordered_multi_key_dedup
+from postsieve.operators.matching import near_titles
+from postsieve.operators.selection import ordered_selection
 from postsieve.operators.tables import materialise
 
 
@@ -28,38 +29,48 @@ def run_funnel(scanned: DataFrame, verified: DataFrame, added: DataFrame) -> Dat
     return d.withColumn("rejected", F.greatest(F.lit(0), F.col("scanned") - F.col("verified")).cast("bigint")).select("scanned", "verified", "rejected", "added")
 
 
-def quota_select(df: DataFrame, sources: list[tuple[str, int]], target: int, keys: str = "keys", order: str = "pos") -> DataFrame:
-    """Per source, in the given order and by score, rows whose keys are new, up to the quota; then the pool up to target.
+def quota_select(df: DataFrame, sources: list[tuple[str, int]], target: int, keys: str = "keys", order: str = "pos", title: str | None = None, ratio: float = 0.85, exempt: str = "internship") -> DataFrame:
+    """Per source, in the given order and by score, rows that are new, up to the quota; then the best of the rest up to target.
 
-    sources: (name, quota). A row counts as seen by the keys of rows selected before; rows beyond a quota pool. The pool
-    refills by score, then all are sorted by score and trimmed to target. order is unique.
+    sources: (name, quota); rows of others take no part. A row is new unless a row selected before has one of its keys.
+    Rows without keys are compared by title, if one is named: a title whose ratio against that of such a row selected
+    before is above ratio isn't new; the exempt title always is. Sorted by score, ties as selected, trimmed to target.
+    order is unique.
+
+    Rows are tied by the keys they share and by near titles; all sources are decided at once, in rounds (ordered_selection).
     """
-    spark = df.sparkSession
-    df = materialise(df, "items")
-    seen = spark.createDataFrame([], "key string")
-    rank = F.struct((-F.col("score")).alias("by_score"), F.col(order).alias("by_order"))
-    chosen = pool = df.limit(0)
-    for name, quota in sources:
-        mine = df.filter(F.col("source") == name)
-        ranked = mine.withColumn("_rank", rank)
-        if quota > 0:
-            fresh = ordered_multi_key_dedup(ranked, keys, "_rank", seen=seen)
-            picked = materialise(fresh.orderBy("_rank").limit(quota), "picked")
-            last = picked.agg(F.max("_rank"), F.count("*")).first()
-            taken = materialise(seen.unionByName(picked.select(F.explode(keys).alias("key"))).distinct(), "seen")
-            rest = ranked.filter(F.col("_rank") > F.struct(F.lit(last[0][0]).alias("by_score"), F.lit(last[0][1]).alias("by_order"))) if last[1] == quota else ranked.limit(0)
-            chosen, seen = chosen.unionByName(picked.drop("_rank")), taken
-        else:
-            rest = ranked
-        hit = rest.select("_rank", F.explode(keys).alias("key")).join(seen, "key", "left_semi").select("_rank").distinct()
-        pool = pool.unionByName(rest.join(hit, "_rank", "left_anti").drop("_rank"))
-    chosen = materialise(chosen, "chosen")
+    place = F.coalesce(*[F.when(F.col("source") == name, F.lit(k)) for k, (name, _) in enumerate(sources)])
+    items = df.withColumn("_place", place).filter("_place IS NOT NULL")
+    items = items.withColumn("_by_source", F.struct("_place", (-F.col("score")).alias("by_score"), F.col(order).alias("at")))
+    items = items.withColumn("_by_score", F.struct((-F.col("score")).alias("by_score"), "_place", F.col(order).alias("at")))
+    bare = F.coalesce(F.size(keys), F.lit(0)) <= 0
+    items = materialise(items.withColumn("_title", F.when(bare & (F.col(title) != ""), F.col(title)) if title else F.lit(None).cast("string")), "items")
+    titles = items.select(F.col("_title").alias("title")).filter("title IS NOT NULL").distinct()
+    blocks = titles.select(F.col("title").alias("kept"), F.col("title").alias("new"))
+    if title:
+        blocks = materialise(blocks.unionByName(near_titles(titles, ratio)), "near_titles")
+
+    def marks(d: DataFrame, o: str) -> DataFrame:
+        own = d.select(F.col(o).alias("o"), F.explode(keys).alias("key")).select("o", F.concat(F.lit("k:"), "key").alias("token"))
+        return own.unionByName(d.filter("_title IS NOT NULL").select(F.col(o).alias("o"), F.concat(F.lit("t:"), "_title").alias("token")))
+
+    def checks(d: DataFrame, o: str) -> DataFrame:
+        own = d.select(F.col(o).alias("o"), F.explode(keys).alias("key")).select("o", F.concat(F.lit("k:"), "key").alias("token"))
+        near = d.filter(F.col("_title") != exempt).select(F.col(o).alias("o"), F.col("_title").alias("new")).join(blocks, "new")
+        return own.unionByName(near.select("o", F.concat(F.lit("t:"), "kept").alias("token"))).withColumn("bound", F.col("o"))
+
+    rows = items.select(F.col("_by_source").alias("o"), "source")
+    taken = ordered_selection(rows, marks(items, "_by_source"), checks(items, "_by_source"), dict(sources))
+    chosen = materialise(items.join(taken.withColumnRenamed("o", "_by_source"), "_by_source", "left_semi"), "chosen")
     need = target - chosen.count()
+    out = chosen.withColumn("_round", F.lit(0))
     if need > 0:
-        ranked = materialise(pool.withColumn("_rank", rank), "pool")
-        more = ordered_multi_key_dedup(ranked, keys, "_rank", seen=seen).orderBy("_rank").limit(need).drop("_rank")
-        chosen = chosen.unionByName(more)
-    return chosen.orderBy(F.desc("score"), order).limit(target)
+        seen = marks(chosen, "_by_source").select("token").distinct()
+        old = checks(items, "_by_source").join(seen, "token", "left_semi").select(F.col("o").alias("_by_source")).unionByName(chosen.select("_by_source"))
+        pool = materialise(items.join(old.distinct(), "_by_source", "left_anti"), "pool")
+        more = ordered_selection(pool.select(F.col("_by_score").alias("o"), F.lit("pool").alias("source")), marks(pool, "_by_score"), checks(pool, "_by_score"), {"pool": need})
+        out = out.unionByName(pool.join(more.withColumnRenamed("o", "_by_score"), "_by_score", "left_semi").withColumn("_round", F.lit(1)))
+    return out.orderBy(F.desc("score"), "_round", "_place", order).limit(target).select(*df.columns)
 
 
 def evaluate_classifier(df: DataFrame, kept: str, expected: str, at_least: float = 0.85) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postsieve.functions import extract as x
 from postsieve.functions import text as t
 from postsieve.functions.dialect import AS_OF, column
+from postsieve.operators.matching import dictionary_matches
 from postsieve.operators.tables import materialise
 
 
@@ -78,18 +79,31 @@ def _first_of(df: DataFrame, by: list[str], order: list, n: int, groups: int = 6
 def match_subscribers(listings: DataFrame, subscribers: DataFrame, limit: int = 8) -> DataFrame:
     """(email, place, row_no): per subscriber the freshest listings that match roles and cities, else the freshest of all.
 
-    What matches depends on the lower-cased cluster, title and location alone, so the freshest rows of each of their values
-    are held against each distinct pair of preferences.
+    What matches depends on the lower-cased cluster, title and location alone. Each distinct term of the preferences is
+    sought once in each of their distinct values (dictionary_matches); the rest are joins on equal values: a set of roles
+    keeps the freshest rows of each location, which then meet the locations of its sets of cities.
     """
-    prefs = subscribers.select("roles", "cities").distinct()
-    fresh = listings.select("row_no", "hours_ago", F.lower(F.concat_ws(" ", "cluster", "title")).alias("_role"), F.lower("location").alias("_city"))
-    fresh = _first_of(fresh, ["_role", "_city"], ["hours_ago", "row_no"], limit)
-    any_of = lambda prefs, hay: (F.size(prefs) == 0) | F.exists(prefs, lambda p: F.contains(F.col(hay), p))
-    hits = fresh.join(prefs, any_of("roles", "_role") & any_of("cities", "_city")).select("roles", "cities", "row_no", "hours_ago")
-    place = F.row_number().over(Window.partitionBy("roles", "cities").orderBy("hours_ago", "row_no"))
-    hits = hits.withColumn("place", place).filter(F.col("place") <= limit).select("roles", "cities", "row_no", "place")
-    top = listings.orderBy("hours_ago", "row_no").limit(limit)
-    top = top.withColumn("place", F.row_number().over(Window.orderBy("hours_ago", "row_no"))).select("row_no", "place")
+    by = ["hours_ago", "row_no"]
+    prefs = materialise(subscribers.select("roles", "cities").distinct(), "preferences")
+    fresh = materialise(listings.select("row_no", "hours_ago", F.lower(F.concat_ws(" ", "cluster", "title")).alias("_role"), F.lower("location").alias("_city")), "fresh")
+    heads = materialise(_first_of(fresh, ["_role", "_city"], by, limit), "heads")
+
+    def matched(side: str, hay: str) -> DataFrame:
+        terms = prefs.select(side).distinct().select(side, F.explode(side).alias("term"))
+        return terms.join(dictionary_matches(heads.select(F.col(hay).alias("hay")), terms), "term").select(side, F.col("hay").alias(hay)).distinct()
+
+    cities = materialise(matched("cities", "_city"), "city_matches")
+    by_role = materialise(_first_of(heads.join(matched("roles", "_role"), "_role"), ["roles", "_city"], by, limit), "role_matches")
+    asks = lambda side: F.size(side) > 0
+    cols = ["roles", "cities", "row_no", "hours_ago"]
+    hits = prefs.filter(asks("roles") & ~asks("cities")).join(by_role, "roles").select(*cols)
+    hits = hits.unionByName(prefs.filter(asks("roles") & asks("cities")).join(by_role, "roles").join(cities, ["cities", "_city"]).select(*cols))
+    by_city = _first_of(heads.join(cities, "_city"), ["cities"], by, limit)
+    hits = hits.unionByName(prefs.filter(~asks("roles") & asks("cities")).join(by_city, "cities").select(*cols))
+    place = F.row_number().over(Window.partitionBy("roles", "cities").orderBy(*by))
+    hits = materialise(hits.withColumn("place", place).filter(F.col("place") <= limit).select("roles", "cities", "row_no", "place"), "hits")
+    top = fresh.orderBy(*by).limit(limit)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(*by))).select("row_no", "place")
     none = prefs.join(hits.select("roles", "cities").distinct(), ["roles", "cities"], "left_anti").crossJoin(F.broadcast(top))  # limit rows
     found = hits.unionByName(none.select("roles", "cities", "row_no", "place"))
     return subscribers.join(found, ["roles", "cities"]).select("email", F.col("place").cast("bigint").alias("place"), "row_no")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.banks import TAXONOMY
+from postsieve.operators.matching import dictionary_matches
 
 SCHEMA = "place int, keywords array<string>, subchips array<string>, similar_fields array<string>"
-#: A taxonomy of more rows than this is no taxonomy; it is sent to every task.
-MAX_ROWS = 10_000
 
 
 def own_taxonomy(spark: SparkSession) -> DataFrame:
@@ -22,15 +21,15 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def related_terms(df: DataFrame, taxonomy: DataFrame, title: str = "title") -> DataFrame:
-    """df with subchips and similar_fields (comma-joined, blank where nothing matches) in place of any it has."""
-    if taxonomy.count() > MAX_ROWS:
-        raise ValueError(f"a taxonomy of over {MAX_ROWS} rows")
+    """df with subchips and similar_fields (comma-joined, blank where nothing matches) in place of any it has.
+
+    Each keyword is sought once in the distinct titles; neither the taxonomy nor the titles have a bound.
+    """
     df = df.drop("subchips", "similar_fields")
-    titles = df.select(F.col(title).alias("_title")).distinct()
-    words = taxonomy.select("place", F.explode("keywords").alias("_word"), F.array_join("subchips", ", ").alias("subchips"), F.array_join("similar_fields", ", ").alias("similar_fields"))
-    hits = titles.join(F.broadcast(words), F.contains(F.lower("_title"), F.col("_word")))
-    first = hits.groupBy("_title").agg(F.min_by(F.struct("subchips", "similar_fields"), "place").alias("_terms"))
-    d = df.join(first, F.col(title) == F.col("_title"), "left")
+    words = taxonomy.select("place", F.explode("keywords").alias("term"), F.array_join("subchips", ", ").alias("subchips"), F.array_join("similar_fields", ", ").alias("similar_fields"))
+    hits = dictionary_matches(df.select(F.lower(title).alias("hay")), words.select("term")).join(words, "term")
+    first = hits.groupBy("hay").agg(F.min_by(F.struct("subchips", "similar_fields"), "place").alias("_terms"))
+    d = df.join(first, F.lower(title) == F.col("hay"), "left")
     return d.select(*df.columns, *[F.coalesce(f"_terms.{c}", F.lit("")).alias(c) for c in ("subchips", "similar_fields")])
 
 

@@ -41,7 +41,7 @@ HANDWRITTEN = {
  WHEN regexp_matches(w, 'product|pm') THEN 'product' WHEN regexp_matches(w, 'marketing|seo|social media|content') THEN 'marketing' WHEN regexp_matches(w, 'design|ui|ux|graphic|video|animation') THEN 'design' WHEN regexp_matches(w, 'finance|audit|accounting|ca ') THEN 'finance'
  WHEN regexp_matches(w, 'sales|business development|bd|bdr') THEN 'sales' WHEN regexp_matches(w, 'hr|human resources|talent|recruitment') THEN 'hr' ELSE regexp_replace(w, '[^a-z]', '', 'g') END AS bucket FROM (SELECT row_no, lower(title) AS w FROM fx_published)""",
     "n7_parse_stipend": "SELECT row_no, r AS rupees, coalesce(r, 0) AS rupees_or_0 FROM (SELECT row_no, CAST(CASE stipend WHEN '10k' THEN 10000 WHEN '5L' THEN 500000 WHEN '2.3L' THEN 229999 WHEN '5,000/month' THEN 5000 WHEN '15000' THEN 15000 WHEN '10-15k' THEN 15000 WHEN '12 K' THEN 12000 END AS BIGINT) AS r FROM fx_published)",
-    "n5a_age_hours": f"SELECT post_id, CAST(CASE WHEN post_id % 10 = 0 THEN (1706659200 - (1706600000 + post_id * 60)) // 3600 + CASE WHEN post_id * 60 > 59200 AND (1706659200 - (1706600000 + post_id * 60)) % 3600 <> 0 THEN 1 ELSE 0 END ELSE {_AGE} END AS BIGINT) AS age FROM fx_posts",
+    "n5a_age_hours": f"SELECT post_id, CAST(CASE WHEN post_id % 10 = 0 THEN (1706659200 - (1706600000 + post_id * 60)) // 3600 ELSE {_AGE} END AS BIGINT) AS age FROM fx_posts",
     "c6_work_type": "SELECT post_id, CASE WHEN regexp_matches(lower(text), 'part[- ]time') THEN 'Part-time' WHEN regexp_matches(lower(text), 'full[- ]time') THEN 'Full-time' ELSE '' END AS work_type FROM fx_posts",
     "c8_engagement_score": "SELECT post_id, CAST((likes > 50)::INT + (comments > 10)::INT + (reposts > 5)::INT AS BIGINT) AS engagement FROM fx_posts",
     "c15_fallback_role": "SELECT post_id, CASE WHEN w LIKE '%finance%' THEN 'Finance Intern' WHEN w LIKE '%marketing%' THEN 'Marketing Intern' WHEN w LIKE '%operations%' THEN 'Operations Intern' WHEN w LIKE '%hr%' THEN 'Hr Intern' WHEN w LIKE '%sales%' THEN 'Sales Intern' WHEN w LIKE '%business analyst%' THEN 'Business Analyst Intern' WHEN w LIKE '%data science%' THEN 'Data Science Intern' ELSE 'Internship' END AS role FROM (SELECT post_id, lower(text) AS w FROM fx_posts)",

@@ -307,7 +307,13 @@ def j2_anti_seen(spark, sf_dir):
     return dedup.anti_seen(p.filter("query_seq >= 10"), "h", p.filter("query_seq < 10").select(F.col("h").alias("key"))).select("post_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE p AS (SELECT post_id, query_seq AS q, CASE WHEN url <> '' THEN hash('u' || url) END AS u, CASE WHEN norm <> '' THEN hash('t' || norm) END AS t, row_number() OVER (ORDER BY query_seq, post_id) AS n FROM (SELECT post_id, query_seq, url, {NORM_D} AS norm FROM fx_posts)),
+ walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS INT) AS q, CAST([] AS UBIGINT[]) AS old, CAST([] AS UBIGINT[]) AS seen, CAST(NULL AS BIGINT) AS kept UNION ALL
+ SELECT n, q, old, CASE WHEN blocked THEN seen ELSE list_concat(seen, list_filter([u, t], lambda v: v IS NOT NULL)) END, CASE WHEN blocked THEN NULL ELSE post_id END
+ FROM (SELECT *, coalesce(list_contains(seen, u), false) OR coalesce(list_contains(CASE WHEN u IS NULL THEN seen ELSE old END, t), false) AS blocked FROM (SELECT p.*, w.seen, CASE WHEN p.q = w.q THEN w.old ELSE w.seen END AS old FROM walk w JOIN p ON p.n = w.n + 1)))
+ SELECT kept AS post_id FROM walk WHERE kept IS NOT NULL"""
+)
 def j3_dedup_cross_query(spark, sf_dir):
     p = posts(spark, sf_dir).select("post_id", "query_seq", "url", F.expr(NORM).alias("norm"))
     return dedup.dedup_cross_query(p, "query_seq", "url", "norm", ["post_id"]).select("post_id")
@@ -321,6 +327,7 @@ def j4_dedup_author(spark, sf_dir):
 @query(f"WITH k AS (SELECT post_id, query_seq, {CKEY_D} || ':' || {BUCKET_D} AS key FROM fx_posts) SELECT post_id, key FROM k WHERE query_seq > 0 AND key NOT IN (SELECT key FROM k WHERE query_seq = 0) QUALIFY row_number() OVER (PARTITION BY key ORDER BY post_id) = 1")
 def j5_dedup_company_role(spark, sf_dir):
     k = posts(spark, sf_dir).select("post_id", "query_seq", F.expr(f"concat({CKEY}, ':', {BUCKET})").alias("key"))
+    k = materialise(k, "role_keys")  # else the filters compute the key anew
     return dedup.dedup_first(dedup.anti_seen(k.filter("query_seq > 0"), "key", k.filter("query_seq = 0").select("key")), "key", ["post_id"]).select("post_id", "key")
 
 
@@ -367,7 +374,20 @@ def j11_union_sources(spark, sf_dir):
 # Ranking and reports.
 
 
-@query()
+_POINTS_D = t.freshness_points(DUCK, t.age_hours_simple(DUCK, "posted_time"))
+
+
+@query(
+    f"""WITH RECURSIVE keyed AS ({_KEYED_D}), items AS (SELECT f.post_id AS pos, {SOURCE} AS source, query_seq % 5 AS src, CAST({_POINTS_D} + 30 AS BIGINT) AS score, k.keys, CASE query_seq % 5 WHEN 0 THEN 12 WHEN 2 THEN 4 ELSE 0 END AS quota FROM fx_posts f JOIN keyed k ON f.post_id = k.post_id),
+ one AS (SELECT *, row_number() OVER (ORDER BY src, score DESC, pos) AS n FROM items),
+ walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS INT) AS src, CAST(0 AS INT) AS cnt, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL
+ SELECT n, src, CASE WHEN ok THEN cnt + 1 ELSE cnt END, CASE WHEN ok THEN list_concat(used, keys) ELSE used END, CASE WHEN ok THEN pos END
+ FROM (SELECT *, NOT list_has_any(used, keys) AND cnt < quota AS ok FROM (SELECT one.*, w.used, CASE WHEN one.src = w.src THEN w.cnt ELSE 0 END AS cnt FROM walk w JOIN one ON one.n = w.n + 1))),
+ pool AS (SELECT pos, keys, row_number() OVER (ORDER BY score DESC, src, pos) AS n FROM items WHERE pos NOT IN (SELECT kept FROM walk WHERE kept IS NOT NULL) AND NOT list_has_any((SELECT used FROM walk ORDER BY n DESC LIMIT 1), keys)),
+ fill AS (SELECT CAST(0 AS BIGINT) AS n, (SELECT count(kept) FROM walk) AS cnt, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL
+ SELECT n, CASE WHEN ok THEN cnt + 1 ELSE cnt END, CASE WHEN ok THEN list_concat(used, keys) ELSE used END, CASE WHEN ok THEN pos END FROM (SELECT pool.*, w.used, w.cnt, NOT list_has_any(w.used, pool.keys) AND w.cnt < 60 AS ok FROM fill w JOIN pool ON pool.n = w.n + 1))
+ SELECT pos, source, score FROM items WHERE pos IN (SELECT kept FROM walk UNION SELECT kept FROM fill)"""
+)
 def a2_quota_select(spark, sf_dir):
     score = F.expr(f"{t.freshness_points(SPARK, t.age_hours_simple(SPARK, 'posted_time'))} + 30").cast("bigint")
     k = _keyed(spark, sf_dir).withColumnRenamed("post_id", "pos")

@@ -79,13 +79,13 @@ def quota_model(items, sources, target):
                 n += 1
             else:
                 pool.append(it)
-    for it in sorted(pool, key=lambda i: (-i[2], i[0])):
+    for it in sorted(pool, key=lambda i: -i[2]):  # ties as they came
         if len(chosen) >= target:
             break
         if not used & set(it[3]):
             chosen.append(it)
             used |= set(it[3])
-    return [i[0] for i in sorted(chosen, key=lambda i: (-i[2], i[0]))][:target]
+    return [i[0] for i in sorted(chosen, key=lambda i: -i[2])][:target]
 
 
 def test_quota_select(spark):
