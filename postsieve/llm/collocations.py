@@ -77,7 +77,7 @@ class HatTrie:
         self.length, self.p, self.root, self.entries = length, p, {}, 0
 
     def add(self, words: np.ndarray, counts: np.ndarray) -> None:
-        """Add distinct sequences, rows of words, which are sorted."""
+        """Add distinct sequences, rows of words, those of a first word together."""
         ends = np.append(np.flatnonzero(words[1:, 0] != words[:-1, 0]) + 1, len(words)).tolist()
         rest = words[:, 1] if self.length == 2 else np.ascontiguousarray(words[:, 1:]).view(f"V{8 * (self.length - 1)}")[:, 0]
         heads, rest, counts, start = words[:, 0].tolist(), rest.tolist(), counts.tolist(), 0
@@ -145,18 +145,19 @@ class Burst:
 
 
 def distinct(words: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, sorted, with the sums of their counts."""
+    """Distinct rows, those of a first word together, with the sums of their counts."""
     key = fold(list(words.T))
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order][1:] != key[order][:-1])
-    same = (words[order][1:] == words[order][:-1]).all(axis=1)
-    if (same == new[1:]).any():  # two sequences of one hash
+    order = np.argsort(key)
+    key, sorted_ = key[order], words[order]
+    new = np.append(True, key[1:] != key[:-1])
+    if (new[1:] == (sorted_[1:] == sorted_[:-1]).all(axis=1)).any():  # two sequences of one hash
         order = np.lexsort(words.T[::-1])
-        new = np.append(True, (words[order][1:] != words[order][:-1]).any(axis=1))
+        sorted_ = words[order]
+        new = np.append(True, (sorted_[1:] != sorted_[:-1]).any(axis=1))
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    words = words[order[first]]
-    order = np.lexsort(words.T[::-1])
+    words = sorted_[first]
+    order = np.argsort(words[:, 0])
     return words[order], n[order]
 
 
@@ -220,18 +221,30 @@ def bitmap(sequences: DataFrame, name: str, p: Collocations) -> str:
 
 
 class Ids(dict):
-    """Word to id in one language; 0 for words that aren't frequent."""
+    """Ids of the words of texts in one language; 0 for words that aren't frequent. Kept by place, as small numbers are fast to look up."""
 
     def __init__(self, lang: bytes, seed: int, passed: Passed, most: int = 150_000):
         self.lang, self.seed, self.passed, self.most = lang, seed, passed, most
+        self.known = np.zeros(1024, np.uint64)
+        self.n = 1
 
     def __missing__(self, word: bytes) -> int:
         h = word_id(self.lang, word, self.seed) if word != BREAK else 0
-        if h and not self.passed.has_word(h):
-            h = 0
-        if len(self) < self.most:
-            self[word] = h
-        return h
+        at = 0
+        if h and self.passed.has_word(h):
+            if self.n == len(self.known):
+                self.known = np.append(self.known, np.zeros_like(self.known))
+            self.known[self.n], at = h, self.n
+            self.n += 1
+        self[word] = at
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+            self.n = 1
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.known[at]
 
 
 @functools.lru_cache(1)
@@ -317,7 +330,7 @@ def count_phrases(docs: DataFrame, lengths: tuple[int, ...], words: str, shorter
                 if lang not in ids:
                     ids[lang] = Ids(lang, seed, known)
                 w = pieces(text)
-                held += [np.fromiter(map(ids[lang].__getitem__, w), np.uint64, len(w)), gap]
+                held += [ids[lang].of(w), gap]
                 size += len(w) + 1
                 if size >= p.tokens:
                     insert()
