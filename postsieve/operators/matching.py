@@ -52,7 +52,10 @@ def candidate_titles(titles: DataFrame, ratio: float = 0.85) -> DataFrame:
     characters. Titles that share as many tokens as they need share one of their rarest, and from the place of the first
     shared one on enough are left in both.
     """
-    t = titles.select("title").filter("title <> ''").distinct().withColumn("a", F.length("title"))
+    spread = titles.sparkSession.sparkContext.defaultParallelism  # numbering grams is work even for few titles
+    named = titles.select("title").filter("title <> ''").distinct().repartition(spread, "title").withColumn("id", F.monotonically_increasing_id())
+    named = materialise(named, "named_titles")
+    t = named.withColumn("a", F.length("title"))
     low, high = f"greatest(1, CAST(ceil(a * {ratio / (2 - ratio)} - 1e-9) AS INT))", f"CAST(floor(a * {(2 - ratio) / ratio} + 1e-9) AS INT)"
     grams, chars = _blocks("a + b", ratio), _shared("a + b", ratio)
     need = {
@@ -63,16 +66,18 @@ def candidate_titles(titles: DataFrame, ratio: float = 0.85) -> DataFrame:
     for (kind, least), n in zip(need.items(), (3, 1), strict=True):
         d = t.withColumn("need", F.expr(least)).filter("need IS NOT NULL").withColumn("g", _grams(F.col("title"), n))
         numbered = F.transform("g", lambda x, i: F.concat(F.lit(kind[0]), x, F.size(F.filter(F.slice("g", 1, i), lambda y: y == x)).cast("string")))
-        parts.append(d.select("title", "a", F.lit(kind).alias("kind"), "need", F.size("g").alias("n"), F.explode(numbered).alias("token")))
+        parts.append(d.select("id", "a", F.lit(kind).alias("kind"), "need", F.size("g").alias("n"), F.explode(numbered).alias("token")))
     tokens = materialise(parts[0].unionByName(parts[1]), "title_tokens")
     held = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(held, "token").groupBy("title", "a", "kind", "need", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    prefix = ranked.select("title", "a", "kind", "n", F.posexplode(F.slice("s", 1, F.greatest(F.col("n") - F.col("need") + 1, F.lit(0)))).alias("at", "s"))
-    prefix = materialise(prefix.filter("s.df > 1").select("title", "a", "kind", (F.col("n") - F.col("at")).alias("left"), F.col("s.token").alias("token")), "title_prefixes")
-    x, y = (prefix.select("token", "kind", F.col("title").alias(c), F.col("a").alias(f"{c}_a"), F.col("left").alias(f"{c}_left")) for c in "xy")
+    ranked = tokens.join(held, "token").groupBy("id", "a", "kind", "need", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    prefix = ranked.select("id", "a", "kind", "n", F.posexplode(F.slice("s", 1, F.greatest(F.col("n") - F.col("need") + 1, F.lit(0)))).alias("at", "s"))
+    prefix = materialise(prefix.filter("s.df > 1").select("id", "a", "kind", (F.col("n") - F.col("at")).alias("left"), F.col("s.token").alias("token")), "title_prefixes")
+    x, y = (prefix.select("token", "kind", F.col("id").alias(c), F.col("a").alias(f"{c}_a"), F.col("left").alias(f"{c}_left")) for c in "xy")
     total = "x_a + y_a"
     near = f"x < y AND {_shared(total, ratio)} <= least(x_a, y_a) AND least(x_left, y_left) >= CASE kind WHEN 'gram' THEN {_blocks(total, ratio)} ELSE {_shared(total, ratio)} END AND (kind = 'gram') = ({_blocks(total, ratio)} > 0)"
-    return x.join(y.drop("kind"), "token").filter(near).select("x", "y").distinct()
+    pairs = x.join(y.drop("kind"), "token").filter(near).select("x", "y").distinct()
+    name = lambda c: named.select(F.col("id").alias(c), F.col("title").alias(f"{c}_title"))
+    return pairs.join(name("x"), "x").join(name("y"), "y").select(F.least("x_title", "y_title").alias("x"), F.greatest("x_title", "y_title").alias("y"))
 
 
 def near_titles(titles: DataFrame, ratio: float = 0.85) -> DataFrame:
