@@ -13,6 +13,8 @@ from itertools import count
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postsieve.functions.factors import factors
+
 _names = count()
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -43,6 +45,15 @@ class Dialect:
     def matches(self, x: str, regex: str) -> str:
         return f"({x} RLIKE {self.lit(regex)})" if self.spark else f"regexp_matches({x}, {self.lit(regex)})"
 
+    def seek(self, x: str, regex: str) -> str:
+        """matches for long texts: Spark looks for the regex's literals first, and runs it where they leave it open."""
+        if not self.spark:
+            return self.matches(x, regex)
+        enough, needed = factors(regex)
+        any_of = lambda words: "(" + " OR ".join(self.has(x, w) for w in words) + ")"
+        left = [] if needed is None else [" AND ".join([*map(any_of, needed), self.matches(x, regex)])]
+        return "(" + " OR ".join([*([any_of(enough)] if enough else []), *left]) + ")"
+
     def extract(self, x: str, regex: str, group: int = 0) -> str:
         return f"regexp_extract({x}, {self.lit(regex)}, {group})"
 

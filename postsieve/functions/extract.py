@@ -12,11 +12,13 @@ def _low(x: str) -> str:
 
 
 def extract_role(q: Dialect, x: str) -> str:
-    return q.let(_low(x), lambda t: q.cases([(q.matches(t, rx), q.lit(name)) for rx, name in b.ROLE_PATTERNS], "'Internship'"))
+    return q.let(_low(x), lambda t: q.cases([(q.seek(t, rx), q.lit(name)) for rx, name in b.ROLE_PATTERNS], "'Internship'"))
 
 
 def extract_emails(q: Dialect, x: str) -> str:
-    found = q.extract_all(x, r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}")
+    # Spark's engine would try each place of a word: it is led to where words begin and where the last address ended.
+    before, local = (r"(?:\G|(?<![a-zA-Z0-9._%+\-]))", r"[a-zA-Z0-9._%+\-]++") if q.spark else ("", r"[a-zA-Z0-9._%+\-]+")
+    found = q.extract_all(x, before + local + r"@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}")
     kept = q.join(q.distinct(q.keep(found, lambda e: f"NOT {q.matches(e, r'\.(png|jpg|gif|svg)$')}")), ", ")
     return f"CASE WHEN {q.has(x, '@')} THEN {kept} ELSE '' END"
 
@@ -43,15 +45,17 @@ def company_from_headline(q: Dialect, company: str, headline: str, author: str)
 
 
 def work_type(q: Dialect, x: str) -> str:
-    t = f"lower({x})"
-    return q.cases([(q.any_of(t, ["part-time", "part time"]), "'Part-time'"), (q.any_of(t, ["full-time", "full time"]), "'Full-time'")], "''")
+    return q.first_match(f"lower({x})", [("Part-time", ["part-time", "part time"]), ("Full-time", ["full-time", "full time"])], "''")
 
 
 def hiring_signals(q: Dialect, x: str) -> str:
     """Comma-joined tags of the kinds of signals found."""
-    t = f"lower({x})"
-    kinds = [("role_keyword", q.any_of(t, b.ROLE_SIGNALS)), ("role_type", q.any_of(t, b.TYPE_SIGNALS)), ("action_word", q.any_of(t, b.ACTION_SIGNALS)), ("urgency", q.any_of(t, b.URGENCY_SIGNALS)), ("contact_method", q.matches(t, "|".join(b.CONTACT_SIGNALS)))]
-    return q.join(q.keep(q.array(*[f"CASE WHEN {c} THEN '{k}' END" for k, c in kinds]), lambda v: f"{v} IS NOT NULL"), ",")
+
+    def of(t: str) -> str:
+        kinds = [("role_keyword", q.any_of(t, b.ROLE_SIGNALS)), ("role_type", q.any_of(t, b.TYPE_SIGNALS)), ("action_word", q.any_of(t, b.ACTION_SIGNALS)), ("urgency", q.any_of(t, b.URGENCY_SIGNALS)), ("contact_method", q.seek(t, "|".join(b.CONTACT_SIGNALS)))]
+        return q.join(q.keep(q.array(*[f"CASE WHEN {c} THEN '{k}' END" for k, c in kinds]), lambda v: f"{v} IS NOT NULL"), ",")
+
+    return q.let(f"lower({x})", of)
 
 
 def engagement_score(q: Dialect, likes: str, comments: str, reposts: str) -> str:
