@@ -187,3 +187,21 @@ HEADERS = [
     "Title", "Type", "Timing", "Description", "Stipend", "Duration", "Experience", "Location", "Deadline", "Tags", "HiringOrganization", "HiringManager",
     "Post URL", "Apply Link", "Contact Email", "Date Added", "Subchips", "Similar Fields", "PostedDate",
 ]
+
+#: Sites with cards of postings: name, address, selectors of cards, titles and links (fixed values).
+NICHE_SITES = [
+    ("Lawctopus", "https://www.lawctopus.com/internships/", "article, .post, .entry", "h2, h3, .entry-title", "a"),
+    ("LawBhoomi", "https://lawbhoomi.com/category/internships/", "article, .post, .entry", "h2, h3, .entry-title", "a"),
+    ("HelloIntern", "https://www.hellointern.com/internships", ".internship-card, .job-card, article", "h2, h3, .title, .job-title", "a"),
+    ("LetsIntern", "https://www.letsintern.com/internships", ".internship-item, .listing, article", "h2, h3, .title", "a"),
+    ("FreshersWorld", "https://www.freshersworld.com/internship-jobs", ".job-container, .listing, article", "h2, h3, .job-title, a", "a"),
+    ("Twenty19", "https://www.twenty19.com/internships", ".internship-card, .card, article", "h2, h3, .title", "a"),
+    ("StudentTribe", "https://studenttribe.in/internships/", ".job-listing, article, .post", "h2, h3, .listing-title", "a"),
+    ("SkillIndiaDigital", "https://www.skillindiadigital.gov.in/internships", ".card, article, .internship-item", "h2, h3, .title", "a"),
+]
+#: Government portals, likewise; their links are those with an address.
+PORTALS = [
+    ("NITI Aayog", "https://www.niti.gov.in/careers", ".views-row, .career-item, article", "h3, h4, .title, a", "a[href]"),
+    ("MyGov", "https://www.mygov.in/task/", ".views-row, .task-item, article", "h3, h4, .title, a", "a[href]"),
+    ("AICTE Internship", "https://internship.aicte-india.org/", ".internship-card, .opportunity, article", "h3, h4, .title", "a[href]"),
+]

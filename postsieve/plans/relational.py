@@ -136,9 +136,21 @@ _CARDS_D = r"""(SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1)
  FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS m FROM pages))"""
 
 
-@query(f"SELECT page_id, CAST(idx AS BIGINT) AS idx, substring(title, 1, 200) AS title, 'See listing' AS company, 'India' AS location, regexp_extract(url, '^[a-z]+://[^/]+') || href AS url, site AS source FROM (SELECT * FROM {_CARDS_D} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, idx) <= 15) WHERE length(title) >= 5")
+def _sites(spark, sf_dir):
+    """A table of sites: each host of the pages; those under .org have cards of another kind."""
+    host = readers.site_of("url")
+    d = view(spark, sf_dir, "pages").select(host.alias("host")).distinct()
+    org = F.col("host").endswith(".org")
+    return d.select(F.concat(F.lit("Site "), "host").alias("name"), F.concat(F.lit("https://"), "host").alias("url"), F.when(org, "div.add, article").otherwise("li, .ad[href]").alias("cards"), F.when(org, ".none, h1").otherwise("a[href^='/']").alias("titles"), F.when(~org, "a").alias("links"))
+
+
+_SITE_CARDS_D = rf"""(SELECT page_id, idx, site, link, replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM (SELECT page_id, idx, title, site, regexp_extract(url, '^[a-z]+://[^/]+') || href AS link FROM {_CARDS_D} WHERE site NOT LIKE '%.org'
+ UNION ALL SELECT page_id, 0, trim(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)), regexp_extract(url, '^[a-z]+://([^/]+)', 1), '' FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/]+)', 1) LIKE '%.org'))"""
+
+
+@query(f"SELECT page_id, CAST(idx AS BIGINT) AS idx, substring(title, 1, 200) AS title, 'See listing' AS company, 'India' AS location, link AS url, 'Site ' || site AS source FROM (SELECT * FROM {_SITE_CARDS_D} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, idx) <= 15) WHERE length(title) >= 5")
 def s9_extract_cards(spark, sf_dir):
-    return readers.extract_cards(view(spark, sf_dir, "pages"), ("li",), ("a",))
+    return readers.extract_cards(view(spark, sf_dir, "pages"), sites=_sites(spark, sf_dir))
 
 
 @query()
@@ -146,9 +158,9 @@ def s10_extract_blocks(spark, sf_dir):
     return readers.extract_blocks(view(spark, sf_dir, "pages"), ("the", "la", "der"))
 
 
-@query(f"SELECT page_id, CAST(idx AS BIGINT) AS idx, substring(title, 1, 200) AS title, site AS company, 'India' AS location, regexp_extract(url, '^[a-z]+://[^/]+') || href AS url, 'Government' AS source FROM (SELECT * FROM {_CARDS_D} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, idx) <= 10) WHERE length(title) >= 5 AND regexp_matches(lower(title), 'the|la|der')")
+@query(f"SELECT page_id, CAST(idx AS BIGINT) AS idx, substring(title, 1, 200) AS title, 'Site ' || site AS company, 'India' AS location, CASE WHEN site LIKE '%.org' THEN (SELECT url FROM pages p WHERE p.page_id = c.page_id) ELSE link END AS url, 'Government' AS source FROM (SELECT * FROM {_SITE_CARDS_D} QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, idx) <= 10) c WHERE length(title) >= 5 AND regexp_matches(lower(title), 'the|la|der')")
 def s11_gov_cards(spark, sf_dir):
-    return readers.gov_cards(view(spark, sf_dir, "pages"), ("the", "la", "der"), ("li",), ("a",))
+    return readers.gov_cards(view(spark, sf_dir, "pages"), ("the", "la", "der"), sites=_sites(spark, sf_dir))
 
 
 @query("SELECT page_id, string_agg(CASE WHEN type = 'paragraph' THEN plain_text || chr(10) ELSE chr(10) || '# ' || plain_text || chr(10) END, '' ORDER BY idx) AS text FROM fx_blocks GROUP BY page_id")

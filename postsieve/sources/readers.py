@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from postsieve.functions.banks import BLOCK_WORDS, HEADERS, PORTAL_TITLES, SOURCES
 from postsieve.functions.dialect import column
 from postsieve.functions.text import title_case
+from postsieve.sources.selectors import select
 
 _S = ["authorName", "authorHeadline", "authorCompany", "text", "postText", "content", "url", "postUrl", "post_url", "link", "postedTime", "publishedAt", "postedAtISO", "time"]
 _COUNTS = ["likes", "comments", "reposts", "likeCount", "numLikes", "commentCount", "numComments", "repostCount"]
@@ -138,70 +138,41 @@ def assemble_page_text(blocks: DataFrame) -> DataFrame:
     return d.select("page_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
 
 
-class _Cards(HTMLParser):
-    """Elements of the card tags: stripped text, text of the first title element in it, and its first links."""
-
-    def __init__(self, cards: set[str], titles: set[str]):
-        super().__init__(convert_charrefs=True)
-        self.cards, self.titles, self.open, self.found, self.skip = cards, titles, [], [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        if tag in self.titles:
-            for card in self.open:
-                if card["title"] is None:
-                    card["title"], card["in"] = [], [tag, 0]
-        for card in self.open:
-            if card["in"] and card["in"][0] == tag:
-                card["in"][1] += 1
-        if tag == "a":
-            href = dict(attrs).get("href")
-            for card in self.open:
-                card["first"] = (href or "") if card["first"] is None else card["first"]
-                card["href"] = href if card["href"] is None else card["href"]
-        if tag in self.cards:
-            card = {"tag": tag, "text": [], "title": None, "in": None, "first": None, "href": None}
-            self.open.append(card)
-            self.found.append(card)
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        for card in self.open:
-            if card["in"] and card["in"][0] == tag:
-                card["in"][1] -= 1
-                card["in"] = card["in"] if card["in"][1] else None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                del self.open[k:]
-                break
-
-    def handle_data(self, data):
-        if not self.skip:
-            for card in self.open:
-                card["text"].append(data.strip())
-                if card["in"]:
-                    card["title"].append(data.strip())
-
-
-def _elements(pages: DataFrame, cards: tuple[str, ...], titles: tuple[str, ...] = ()) -> DataFrame:
-    """(page_id, url, site, idx, text, title, first, href) of the elements of each page in order.
-
-    first: the address of the first link, blank if it has none, null without a link; href: of the first link with one.
+def site_of(url: str) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)
+
+
+def read_sites(spark: SparkSession, path: str) -> DataFrame:
+    """A table of sites: name, url, and the selectors of their cards, titles and links (null: `a`), from JSON lines or arrays."""
+    return spark.read.schema("name string, url string, cards string, titles string, links string").option("multiLine", True).json(path)
+
+
+def sites_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "name string, url string, cards string, titles string, links string")
+
+
+def _elements(pages: DataFrame, cards: str, titles: str = "h1", links: str = "a", sites: DataFrame | None = None) -> DataFrame:
+    """(page_id, url, site, idx, text, title, href) of the elements of each page in order.
+
+    href: the address of the first link, blank if it has none, null without a link. With sites, pages of their hosts only,
+    each by the selectors of its site and under its name; sites of one host each get the page. Without, all pages by the
+    given selectors, under their hosts.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for page, url, html in zip(p["page_id"], p["url"], p["html"], strict=True):
-                parser = _Cards(set(cards), set(titles))
-                parser.feed(html or "")
-                out += [(page, url, k, "".join(c["text"]), "".join(c["title"] or []), c["first"], c["href"]) for k, c in enumerate(parser.found)]
-            yield pd.DataFrame(out, columns=["page_id", "url", "idx", "text", "title", "first", "href"])
+            for page, url, site, html, *by in p.itertuples(index=False, name=None):
+                out += [(page, url, site, k, c.text, c.title, c.link) for k, c in enumerate(select(html, *by))]
+            yield pd.DataFrame(out, columns=["page_id", "url", "site", "idx", "text", "title", "href"])
 
-    d = pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, idx bigint, text string, title string, first string, href string")
-    return d.withColumn("site", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1))
+    d = pages.select("page_id", "url", "html", site_of("url").alias("_host"))
+    if sites is None:
+        d = d.select("page_id", "url", F.col("_host").alias("site"), "html", F.lit(cards).alias("cards"), F.lit(titles).alias("titles"), F.lit(links).alias("links"))
+    else:
+        by = sites.select(site_of("url").alias("_host"), F.col("name").alias("site"), "cards", "titles", F.coalesce("links", F.lit(links)).alias("links"))
+        d = d.join(by, "_host").select("page_id", "url", "site", "html", "cards", "titles", "links")
+    return d.mapInPandas(run, "page_id bigint, url string, site string, idx bigint, text string, title string, href string")
 
 
 def _first_of_site(d: DataFrame, n: int) -> DataFrame:
@@ -216,31 +187,33 @@ def _has_word(c: str, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(c), w))
 
 
-def extract_cards(pages: DataFrame, cards: tuple[str, ...] = ("article",), titles: tuple[str, ...] = ("h2", "h3"), per_site: int = 15) -> DataFrame:
+def extract_cards(pages: DataFrame, cards: str = "article", titles: str = "h2, h3", links: str = "a", per_site: int = 15, sites: DataFrame | None = None) -> DataFrame:
     """Of the first cards of each site those with a title of 5 characters or more, cut at 200.
 
+    cards, titles and links are selectors; sites, a table as read_sites gives it, has those of each site and its name.
+
     Addresses: absolute ones stay, those from the root get the site's, others the page's; blank without a link.
     """
-    d = _first_of_site(_elements(pages, cards, titles), per_site).filter(F.length("title") >= 5)
-    link = F.when(F.col("first").isNull(), "").when(F.col("first").startswith("http"), F.col("first")).when(F.col("first").startswith("/"), F.concat(_host("url"), "first"))
-    return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.lit("See listing").alias("company"), F.lit("India").alias("location"), link.otherwise(F.concat(F.rtrim("url", F.lit("/")), F.lit("/"), "first")).alias("url"), F.col("site").alias("source"))
+    d = _first_of_site(_elements(pages, cards, titles, links, sites), per_site).filter(F.length("title") >= 5)
+    link = F.when(F.col("href").isNull(), "").when(F.col("href").startswith("http"), F.col("href")).when(F.col("href").startswith("/"), F.concat(_host("url"), "href"))
+    return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.lit("See listing").alias("company"), F.lit("India").alias("location"), link.otherwise(F.concat(F.rtrim("url", F.lit("/")), F.lit("/"), "href")).alias("url"), F.col("site").alias("source"))
 
 
 def extract_blocks(pages: DataFrame, words: tuple[str, ...] = tuple(BLOCK_WORDS), per_site: int = 10) -> DataFrame:
     """Texts of article, div and li of 50 to 3000 characters that hold a keyword, each once a site, the first of a site."""
-    d = _elements(pages, ("article", "div", "li")).filter(F.length("text").between(50, 3000) & _has_word("text", words))
+    d = _elements(pages, "article, div, li").filter(F.length("text").between(50, 3000) & _has_word("text", words))
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("site", "text").orderBy("page_id", "idx"))).filter("_n = 1").drop("_n")
-    href = F.coalesce(F.nullif("first", F.lit("")), F.col("url"))
+    href = F.coalesce(F.nullif("href", F.lit("")), F.col("url"))
     link = F.when(href.startswith("http"), href).otherwise(F.concat("url", href))
     return _first_of_site(d, per_site).select("page_id", "idx", "text", link.alias("url"), F.col("site").alias("source"), F.lit("Today").alias("posted_time"))
 
 
-def gov_cards(pages: DataFrame, words: tuple[str, ...] = tuple(PORTAL_TITLES), cards: tuple[str, ...] = ("article",), titles: tuple[str, ...] = ("h3", "h4"), per_site: int = 10) -> DataFrame:
+def gov_cards(pages: DataFrame, words: tuple[str, ...] = tuple(PORTAL_TITLES), cards: str = "article", titles: str = "h3, h4", links: str = "a[href]", per_site: int = 10, sites: DataFrame | None = None) -> DataFrame:
     """Of the first cards of each portal those with a title of 5 characters or more that holds a keyword, cut at 200.
 
-    The company is the portal; addresses that aren't absolute get the portal's in front, a missing one is the page's.
+    Selectors and sites as in extract_cards. The company is the portal; addresses that aren't absolute get the portal's in front, a missing one is the page's.
     """
-    d = _first_of_site(_elements(pages, cards, titles), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
+    d = _first_of_site(_elements(pages, cards, titles, links, sites), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
     href = F.coalesce("href", F.lit(""))
     link = F.when(href == "", F.col("url")).when(href.startswith("http"), href).otherwise(F.concat(_host("url"), href))
     return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.col("site").alias("company"), F.lit("India").alias("location"), link.alias("url"), F.lit("Government").alias("source"))
