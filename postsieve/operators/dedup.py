@@ -34,11 +34,11 @@ def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFram
 
     order must be unique. A parallel greedy independent set: in each round the undecided rows that come first on all
     their keys are kept and those that share a key with them rejected, which gives the sequential answer. seen (key)
-    rejects at once. Rows without keys are all kept. Each round is a few shuffles of the (key, order) pairs still open and
+    rejects at once. Null keys count as none, and rows without keys are all kept. Each round is a few shuffles of the (key, order) pairs still open and
     decides one row of each chain of dependent rows at least, so the rounds end; in usual data they are few.
     """
     spark = df.sparkSession
-    edges = df.select(F.col(order).alias("_o"), F.explode(F.array_distinct(F.col(keys))).alias("_k"))
+    edges = df.select(F.col(order).alias("_o"), F.explode(F.array_distinct(F.array_compact(F.col(keys)))).alias("_k"))
     lost = None
     if seen is not None:
         hit = edges.join(seen.select(F.col("key").alias("_k")).distinct(), "_k", "left_semi").select("_o").distinct()
@@ -54,7 +54,7 @@ def ordered_multi_key_dedup(df: DataFrame, keys: str, order: str, seen: DataFram
         out = edges.join(taken, "_k", "left_semi").select("_o").distinct()
         edges = materialise(edges.join(materialise(out, "decided"), "_o", "left_anti"), "edges")
         kept = kept.unionByName(now)
-    alone = df.filter(F.coalesce(F.size(keys), F.lit(0)) <= 0).select(F.col(order).alias("_o"))
+    alone = df.filter(F.coalesce(F.size(F.array_compact(F.col(keys))), F.lit(0)) <= 0).select(F.col(order).alias("_o"))
     return df.join(kept.unionByName(alone).withColumnRenamed("_o", order), order, "left_semi")
 
 

@@ -353,9 +353,10 @@ def _keyed(spark, sf_dir):
 _KEYED_D = f"SELECT post_id, row_number() OVER (ORDER BY post_id) AS n, CASE WHEN len(ks) > 0 THEN ks ELSE [md5(CAST(post_id AS VARCHAR))] END AS keys FROM (SELECT post_id, list_filter([nullif(url, ''), CASE WHEN {CKEY_D} <> '' THEN {CKEY_D} || ':' || author_name END], lambda v: v IS NOT NULL) AS ks FROM fx_posts)"
 
 
-@query(
-    f"WITH RECURSIVE keyed AS ({_KEYED_D}), walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL SELECT k.n, CASE WHEN list_has_any(w.used, k.keys) THEN w.used ELSE list_concat(w.used, k.keys) END, CASE WHEN list_has_any(w.used, k.keys) THEN NULL ELSE k.post_id END FROM walk w JOIN keyed k ON k.n = w.n + 1) SELECT kept AS post_id FROM walk WHERE kept IS NOT NULL"
-)
+_GREEDY_D = f"WITH RECURSIVE keyed AS ({_KEYED_D}), walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL SELECT k.n, CASE WHEN list_has_any(w.used, k.keys) THEN w.used ELSE list_concat(w.used, k.keys) END, CASE WHEN list_has_any(w.used, k.keys) THEN NULL ELSE k.post_id END FROM walk w JOIN keyed k ON k.n = w.n + 1) SELECT kept AS post_id FROM walk WHERE kept IS NOT NULL"
+
+
+@query(_GREEDY_D)
 def j6_ordered_multi_key_dedup(spark, sf_dir):
     return dedup.ordered_multi_key_dedup(_keyed(spark, sf_dir), "keys", "post_id").select("post_id")
 
@@ -637,12 +638,16 @@ def _landed(spark, df: DataFrame, name: str) -> str:
     return path
 
 
-@query()
+@query(_GREEDY_D)
 def l4_publish_stream(spark, sf_dir):
-    keyed = _keyed(spark, sf_dir)
-    path, out = _landed(spark, keyed, "landed"), shared_path(spark, "stream_published")
-    source = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    streams.publish_stream(source, out, shared_path(spark, "stream_checkpoint")).awaitTermination()
+    """Posts land in order, in three parts, and the stream is started again for each: what is kept is what J6 keeps of all."""
+    keyed = materialise(_keyed(spark, sf_dir), "keyed")
+    landed, out, checkpoint = shared_path(spark, "landed"), shared_path(spark, "stream_published"), shared_path(spark, "stream_checkpoint")
+    low, high = keyed.approxQuantile("post_id", [0.33, 0.67], 0.01) if not keyed.isEmpty() else (0, 0)
+    part = F.when(F.col("post_id") <= low, 0).when(F.col("post_id") <= high, 1).otherwise(2)
+    for k in range(3):
+        keyed.filter(part == k).write.mode("append").parquet(landed)
+        streams.publish_stream(spark.readStream.schema(keyed.schema).parquet(landed), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("post_id")
 
 

@@ -2,9 +2,12 @@
 
 import json
 import random
+import re
+import shutil
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from postsieve.operators import dedup, posts, rank, serve, taxonomy
 from postsieve.sources import readers, sinks
@@ -182,6 +185,39 @@ def test_publish_stream_with_a_new_checkpoint_keeps_older_rows(spark, tmp_path):
     assert sorted(r.post_id for r in spark.read.parquet(out).collect()) == [1, 2]
 
 
+def test_publish_stream_finds_batches_that_were_broken_off(spark, tmp_path):
+    """Rows whose keys never reached the index, and tables older than the index, block later rows all the same."""
+    d = spark.createDataFrame([(i, [f"u{i % 5}", None]) for i in range(9)] + [(9, []), (10, None), (11, [None])], "post_id bigint, keys array<string>")
+    out = str(tmp_path / "out")
+    old = d.filter("post_id < 2").withColumn("run", F.lit("old")).withColumn("batch_id", F.lit(0).cast("bigint"))
+    old.write.partitionBy("run", "batch_id").parquet(out)
+    d.filter("post_id < 4").write.parquet(str(tmp_path / "in1"))
+    d.filter("post_id >= 4").write.parquet(str(tmp_path / "in2"))
+    stream = lambda k: streams.publish_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / f"in{k}")), out, str(tmp_path / f"state{k}")).awaitTermination()
+    stream(1)
+    assert sorted(r.post_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    run = spark.read.parquet(out).filter("run <> 'old'").first().run
+    shutil.rmtree(tmp_path / f"out_batches/run={run}")
+    for found in (tmp_path / "out_keys").glob(f"bucket=*/run={run}"):
+        shutil.rmtree(found)
+    stream(2)
+    assert sorted(r.post_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 9, 10, 11]
+
+
+def test_published_keys_are_read_by_bucket(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [f"k{i}"], "a", i % 3) for i in range(600)], "post_id bigint, keys array<string>, run string, batch_id bigint")
+    index = streams.KeyIndex(spark, str(tmp_path / "t"), "keys")
+    assert index.seen(rows, "b", 0).count() == 0
+    index.add(rows)
+    index.add(rows)
+    few = rows.filter("post_id IN (5, 6)").unionByName(rows.limit(1).withColumn("keys", F.array(F.lit("never"))))
+    assert sorted(r.key for r in index.seen(few, "b", 0).collect()) == ["k5", "k6"]
+    assert [r.key for r in index.seen(few, "a", 0).collect()] == ["k5"]  # 6 is the asking batch's own
+    buckets = {r.b for r in few.selectExpr("CAST(pmod(xxhash64(keys[0]), 256) AS INT) AS b").collect()}
+    files = index.seen(few, "b", 0).inputFiles()
+    assert {int(re.search(r"bucket=(\d+)", f).group(1)) for f in files if "/t_keys/" in f} <= buckets
+
+
 def test_dedup_stream(spark, tmp_path):
     """The first row of each address stays; one seen again within the retention doesn't come back."""
     rows = [(1, "u1", "2024-01-01 00:00:00"), (2, "u2", "2024-01-01 01:00:00"), (3, "u1", "2024-01-02 00:00:00"), (4, "u3", "2024-01-03 00:00:00"), (5, "u2", "2024-01-04 00:00:00")]
