@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyarrow import fs
@@ -74,6 +75,17 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws(";", *map(part, columns))))
 
 
+def carried(docs: DataFrame, own: list[str], made: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(rows, back): rows have the columns named own, and all others in one column of a name that can't clash.
+
+    back(d, *new) gives the columns of docs from d in their order, but for those named as made (in either case), and new ones.
+    """
+    box, stay = f"_{uuid.uuid4().hex}", [c for c in docs.columns if c.lower() not in made]
+    rest = [c for c in stay if c not in own]
+    rows = docs.select(*own, *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias(box)] * bool(rest))
+    return rows, lambda d, *new: d.select(*[F.col(box).getField(c).alias(c) if c in rest else F.col(c) for c in stay], *new)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.transform(F.array(value), body)[0]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import ascii_lower, materialise, small, table, words_by
+from postsieve.llm.common import ascii_lower, carried, materialise, small, table, words_by
 
 #: Characters outside words, after lower-casing A-Z, and before.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,9 +90,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
     Null and empty texts have no words and are clean. Items without an item_id or without words are no items; repeated
     items count once. Rows that repeat a doc_id are each held against their own words, null doc_ids too. Empty tables
-    give an empty result or nothing but clean rows. Columns of docs with the names added here are replaced.
+    give an empty result or nothing but clean rows. Columns of docs with the names added here are replaced, others stay.
     """
-    docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
+    docs, back = carried(docs, ["doc_id", "text"], ("n_words", "n_hit", "item_ids", "contaminated"))
     items = materialise(_items(benchmark), "items")
     found = alignments(docs, items, window).join(small(items), "item")
     found = found.groupBy(F.col("doc_id").alias("_found_in")).agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("_found"))
@@ -104,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     d = d.withColumn("n_words", n_words).withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["at"])))).cast("long"))
     d = d.withColumn("item_ids", F.sort_array(F.array_distinct(F.transform("_hits", lambda h: h["item_id"].cast("string")))))
     d = d.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
-    return d.drop("_found_in", "_found", "_words", "_hits")
+    return back(d, "n_words", "n_hit", "item_ids", "contaminated")
 
 
 def phrases(docs: DataFrame, queries: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, small, space_words, table
+from postsieve.llm.common import carried, materialise, small, space_words, table
 
 #: Frequent function words of four languages: the buckets of the common-word histogram (fixed values).
 COMMON_WORDS = ["the", "of", "and", "to", "in", "is"] + ["de", "la", "le", "et", "les", "que"] + ["der", "die", "und", "den", "von", "das"] + ["el", "en", "los", "se", "por", "con"]
 #: Buckets of the character histogram. wide: the bytes that UTF-8 takes beyond one a character; other: letters and punctuation.
 CHAR_BUCKETS = ["space", "symbol", "digit", "upper", "wide", "other"]
 WINDOW = 8
+#: Columns that assess() adds.
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "base_failed", "char_distance", "word_distance", "kept")
 
 
 @dataclass(frozen=True)
@@ -62,8 +64,7 @@ def features(docs: DataFrame) -> DataFrame:
     Windows of 8 words are hashed by doubling (1, 2, 4, 8 words); those of 8 are needed only where one of 4 repeats.
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    made = {"text", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist", "base_failed", "char_distance", "word_distance", "kept"}
-    keep = [c for c in docs.columns if c not in made]
+    keep = [c for c in docs.columns if c not in ("text", "lang", *NEW)]
     d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"), lang.alias("_lang")).withColumn("_w", space_words(F.col("_t")))
     d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h2", _pairs("_h", 1)).withColumn("_h4", _pairs("_h2", 2))
     d = d.withColumn("_h8", F.when(F.size(F.array_distinct("_h4")) < F.size("_h4"), _pairs("_h4", 4)).otherwise(F.array().cast("array<bigint>")))
@@ -120,10 +121,11 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Null or empty text: all counts 0, base_failed, not kept. Null lang forms a language of its own; a language whose
     accepted documents have under guard_reference_words words judges none by histogram. Repeated rows are judged each
-    on its own and tie. An empty table gives an empty result. Other columns of docs stay, but for those with the names
-    of counts, which are replaced.
+    on its own and tie. An empty table gives an empty result. Text and lang are left out; other columns of docs stay, but
+    for those named as in NEW, which are replaced.
     """
-    return judge(materialise(features(docs), "quality_features"), rules)
+    rows, back = carried(docs, [c for c in ("doc_id", "text", "lang") if c in docs.columns], ("text", "lang", *NEW))
+    return back(judge(materialise(features(rows), "quality_features"), rules), *NEW)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

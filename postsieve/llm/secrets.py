@@ -15,7 +15,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, small, table
+from postsieve.llm.common import carried, materialise, small, table
 
 
 @dataclass(frozen=True)
@@ -145,9 +145,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
 
     kind is the rule's place in rules; offsets are code points, end exclusive. Null and empty texts have no secrets.
     Rows that repeat a doc_id, and null doc_ids, are matched each on their own text. An empty table gives an empty
-    result. A column of docs named secrets is replaced. Very long texts are matched whole.
+    result. A column of docs named secrets is replaced, others stay. Very long texts are matched whole.
     """
-    docs = docs.drop("secrets")
+    docs, back = carried(docs, ["doc_id", "text"], ("secrets",))
     indexed = tuple(r for r in rules if trigram_query(r.regex))
     d = docs.withColumn("_kinds", F.array().cast("array<string>"))
     if indexed:
@@ -157,13 +157,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
     none = F.array().cast("array<struct<start:int,kind:int,end:int,checked:int>>")
     parts = [spans_of(text, r, k) if r not in indexed else F.when(F.array_contains("_kinds", r.kind), spans_of(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
     spans = F.transform(F.sort_array(F.concat(*parts)), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return d.withColumn("secrets", spans).drop("_kinds", "_candidate")
+    return back(d, spans.alias("secrets"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """docs with the secrets of scan(), merged where they overlap, replaced by [kind] of the first; null texts stay null."""
+    """docs with the secrets of scan(), merged where they overlap, replaced by [kind] of the first; null texts stay null.
+
+    A column of docs named secrets is left out, as scan() replaces it; others stay, whatever their names.
+    """
     names = F.array(*[F.lit(r.kind) for r in rules])
-    d = scan(docs, rules)
+    rows, back = carried(docs, ["doc_id", "text"], ("secrets",))
+    d = scan(rows, rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -171,7 +175,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -
         return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), new.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
 
     text = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return d.withColumn("text", F.when(F.size("secrets") > 0, text).otherwise(F.col("text"))).drop("secrets")
+    return back(d.withColumn("text", F.when(F.size("secrets") > 0, text).otherwise(F.col("text"))))
 
 
 def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
