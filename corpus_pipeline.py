@@ -1,6 +1,6 @@
 """A cleaning pipeline over documents: each stage's result is written as Parquet and read again as the next one's docs.
 
-All stages but the last return the columns of documents. run() writes each stage in the folder that driver and executors
+All stages but the last return the columns of documents, those of any further name as they came; very long texts are worked on whole. run() writes each stage in the folder that driver and executors
 share; a run that is broken off is begun anew.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, row_key, small, table
+from postsieve.llm.common import carried, materialise, row_key, small, table
 from postsieve.llm.decontaminate import decontaminate
 from postsieve.llm.near_dup import Shingling, group
 from postsieve.llm.quality_rules import assess
@@ -22,9 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts go; rows that repeat each other stay or go together. An empty table stays empty.
     """
-    keyed = docs.withColumn("_key", row_key("doc_id", "text", "lang"))
+    rows, back = carried(docs, ["doc_id", "text", "lang"])
+    keyed = rows.withColumn("_key", row_key("doc_id", "text", "lang"))
     rejected = small(materialise(assess(keyed.select("doc_id", "text", "lang", "_key")).filter("NOT kept").select("_key").distinct(), "rejected"))
-    return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
+    return back(keyed.join(rejected, "_key", "left_anti"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,25 +38,27 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     again = materialise(again, "repeated")
     others = found.join(small(again.select("component_id", F.col("key").alias("stays"))), "component_id").filter("kept AND key <> stays").select("key")
     dropped = small(materialise(found.filter("NOT kept").select("key").union(others).distinct(), "dropped"))
-    d = docs.withColumn("key", row_key("doc_id", "text")).join(dropped, "key", "left_anti")
+    rows, back = carried(docs, ["doc_id", "text"])
+    d = rows.withColumn("key", row_key("doc_id", "text")).join(dropped, "key", "left_anti")
     if not again.isEmpty():
         twice = small(again.select("key"))
         d = d.join(twice, "key", "left_anti").unionByName(d.join(twice, "key", "left_semi").dropDuplicates(["key"]))
-    return d.select(*docs.columns)
+    return back(d)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark passage contaminates; null and empty texts are clean, repeated rows are judged alike."""
-    d = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return d.filter("NOT contaminated").select(*docs.columns)
+    rows, back = carried(docs, ["doc_id", "text"])
+    return back(decontaminate(rows, table(spark, sf_dir, "benchmark")).filter("NOT contaminated"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kinds; n_chars follows the new text. Null texts stay null."""
-    d = redact(docs.withColumn("_was", F.col("text")))
+    rows, back = carried(docs, ["doc_id", "text", *[c for c in docs.columns if c == "n_chars"]])
+    d = redact(rows.withColumn("_was", F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("_was") != F.col("text"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    return back(d)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
