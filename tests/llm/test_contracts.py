@@ -7,9 +7,11 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from postsieve.llm import decontaminate, near_dup, quality_rules, secrets, sentencepieces, warc_zip
-from postsieve.llm.common import new_path, table
+from postsieve.llm.common import materialise, new_path, table
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string, lang string, n_words string, row string, node string, secrets string"
@@ -222,3 +224,33 @@ def test_quality_divergence(spark):
     got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert got[100].char_distance > 0.3 and not got[100].kept and not got[101].kept
     assert got[100].char_distance <= 1 and got[0].char_distance < 0.2
+
+
+NAMES = ["kinds", "_kinds", "_candidate", "secrets", "at", "key", "_key", "_was", "component_id", "fingerprint", "n_words", "n_hit", "_found", "_found_in", "_words", "_hits", "item", "shift", "_lang", "_w", "_t", "_h", "_c", "_ref_lang", "n_chars", "kept", "a.b"]
+
+
+def test_columns_named_like_inner_ones(spark, sf_dir):
+    """Every operator that keeps the columns of docs, and every stage, gives back those with names that it uses itself."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").filter("doc_id < 60")
+    plain = materialise(base, "plain")
+    odd = materialise(base.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in NAMES]), "odd")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    cases = {
+        "secrets": (secrets.scan, ["secrets"]),
+        "redact": (secrets.redact, ["secrets"]),
+        "decontaminate": (lambda d: decontaminate.decontaminate(d, benchmark), ["n_words", "n_hit", "item_ids", "contaminated"]),
+        "quality": (quality_rules.assess, list(quality_rules.NEW)),
+    }
+    for name, (f, new) in cases.items():
+        got = f(odd)
+        same = {r.doc_id: r for r in f(plain).collect()}
+        assert got.columns == [c for c in odd.columns if c not in new and (c in ("doc_id", *NAMES) or name != "quality")] + (new if name != "redact" else []), name
+        for r in got.collect():
+            assert all(r[n] == f"{n} {r.doc_id}" for n in NAMES if n not in new), name
+            assert all(r[c] == same[r.doc_id][c] for c in same[r.doc_id].asDict()), name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, same = stage(spark, odd.drop("n_chars"), sf_dir), {r.doc_id: r.text for r in stage(spark, plain, sf_dir).collect()}
+        assert got.columns == odd.drop("n_chars").columns
+        rows = got.collect()
+        assert {r.doc_id: r.text for r in rows} == same and same, name
+        assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in NAMES if n != "n_chars"), name
