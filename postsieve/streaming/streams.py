@@ -37,7 +37,7 @@ class KeyIndex:
     """
 
     #: Part of the layout: tables written with another number don't fit.
-    BUCKETS = 256
+    BUCKETS = 64
     SCHEMA, BATCHES = "key string, bucket int, run string, batch_id bigint", "keys bigint, run string, batch_id bigint"
 
     def __init__(self, spark: SparkSession, path: str, keys: str):

@@ -213,7 +213,7 @@ def test_published_keys_are_read_by_bucket(spark, tmp_path):
     few = rows.filter("post_id IN (5, 6)").unionByName(rows.limit(1).withColumn("keys", F.array(F.lit("never"))))
     assert sorted(r.key for r in index.seen(few, "b", 0).collect()) == ["k5", "k6"]
     assert [r.key for r in index.seen(few, "a", 0).collect()] == ["k5"]  # 6 is the asking batch's own
-    buckets = {r.b for r in few.selectExpr("CAST(pmod(xxhash64(keys[0]), 256) AS INT) AS b").collect()}
+    buckets = {r.b for r in few.selectExpr(f"CAST(pmod(xxhash64(keys[0]), {index.BUCKETS}) AS INT) AS b").collect()}
     files = index.seen(few, "b", 0).inputFiles()
     assert {int(re.search(r"bucket=(\d+)", f).group(1)) for f in files if "/t_keys/" in f} <= buckets
 
