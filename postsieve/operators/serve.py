@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions import extract as x
@@ -29,15 +29,21 @@ def _order(sort: str) -> list:
     return {"stipend": [F.desc("stipend")], "score": [F.desc("score")]}.get(sort, [F.asc("hours_ago")]) + [F.col("row_no")]
 
 
-def _holds(parts: list[str], query: str):
-    return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(query.strip().lower()))
+def haystack(kind: str) -> Column:
+    """The text that a search looks in: board, extended or dashboard."""
+    more = {"board": [], "extended": [column(x.related_terms, "title", 1), "cluster", "location"], "dashboard": ["location"]}[kind]
+    return F.concat_ws(" ", "title", "org", F.array_join("tags", " "), *more)
+
+
+def _holds(kind: str, query: str) -> Column:
+    return F.contains(F.lower(haystack(kind)), F.lit(query.strip().lower()))
 
 
 def search_board(listings: DataFrame, query: str = "", field: str = "All", location: str = "All", kind: str | None = None, sort: str = "fresh") -> DataFrame:
     d = listings
     for c, v in (("cluster", field), ("location", location), ("type", kind or "All")):
         d = d if v == "All" else d.filter(F.col(c) == v)
-    d = d.filter(_holds(["title", "org", F.array_join("tags", " ")], query)) if query.strip() else d
+    d = d.filter(_holds("board", query)) if query.strip() else d
     return d.orderBy(*_order(sort))
 
 
@@ -45,7 +51,7 @@ def search_board_extended(listings: DataFrame, query: str = "", cluster: str = "
     """The wider haystack also holds related terms, cluster and location; fresh24 is below 24 hours, today up to 12."""
     d = search_board(listings, "", cluster, city, None if kind == "All" else kind, sort)
     if query.strip():
-        d = d.filter(_holds(["title", "org", F.array_join("tags", " "), column(x.related_terms, "title", 1), "cluster", "location"], query))
+        d = d.filter(_holds("extended", query))
     for on, c in ((fresh24, "hours_ago < 24"), (today, "hours_ago <= 12"), (paid, "stipend > 0"), (part_time, "timing = 'Part-time'")):
         d = d.filter(c) if on else d
     return d.orderBy(*_order(sort))
@@ -53,7 +59,7 @@ def search_board_extended(listings: DataFrame, query: str = "", cluster: str = "
 
 def search_dashboard(listings: DataFrame, query: str = "", field: str = "All") -> DataFrame:
     d = listings if field == "All" else listings.filter(F.col("cluster") == field)
-    return d.filter(_holds(["title", "org", F.array_join("tags", " "), "location"], query)) if query.strip() else d
+    return d.filter(_holds("dashboard", query)) if query.strip() else d
 
 
 def board_facets(listings: DataFrame, column_name: str, first: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from postsieve.functions.banks import HEADERS, SOURCES, TABS
 from postsieve.functions.dialect import AS_OF, DUCK, SPARK, column
 from postsieve.operators import dedup, rank, serve, taxonomy
 from postsieve.operators import posts as jobs
+from postsieve.operators.board_index import BoardIndex
+from postsieve.operators.ranked import RankedTable
 from postsieve.operators.tables import materialise, shared_path
 from postsieve.plans.fixtures import view, with_views
 from postsieve.sources import readers, sinks
@@ -186,6 +188,23 @@ def s14_write_tabs(spark, sf_dir):
     return sinks.tab_inventory(published(spark, sf_dir), "title", "tags")
 
 
+@query(f"SELECT row_no, {x.assign_tab(DUCK, 'title', 'tags')} AS tab FROM fx_published")
+def s14_tabs_written_twice(spark, sf_dir):
+    path, p = shared_path(spark, "tabs"), published(spark, sf_dir).select("row_no", "title", "tags")
+    for _ in range(2):
+        sinks.write_tabs(p, path, "title", "tags")
+    return spark.read.schema("row_no bigint, tab string").parquet(path)
+
+
+@query("SELECT row_no, title, substring(date_added, 1, 10) AS date_added, CASE WHEN row_no % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM fx_published")
+def s13_runs_written_twice(spark, sf_dir):
+    path, p = shared_path(spark, "published"), published(spark, sf_dir).select("row_no", "title", F.substring("date_added", 1, 10).alias("date_added"))
+    for run, k in (("even", 0), ("odd", 1), ("even", 0)):
+        sinks.write_published(p.filter(F.col("row_no") % 2 == k), path, run=run)
+    d = spark.read.schema("row_no bigint, title string, run string, date_added string").parquet(path)
+    return d.select("row_no", "title", F.coalesce("date_added", F.lit("")).alias("date_added"), "run")
+
+
 @query("SELECT day, scanned, verified::BIGINT AS verified FROM fx_runs ORDER BY day DESC LIMIT 10")
 def s15_append_run_log(spark, sf_dir):
     r = view(spark, sf_dir, "fx_runs").select("day", "scanned", "verified")
@@ -549,6 +568,35 @@ def q4_search_dashboard(spark, sf_dir):
     return serve.search_dashboard(listings(spark, sf_dir), "engineering", "Finance").select("row_no")
 
 
+def _indexed(spark, sf_dir, kind):
+    """The published rows in two parts, the second with some of the first again."""
+    index, p = BoardIndex(spark, shared_path(spark, f"index_{kind}"), kind), published(spark, sf_dir)
+    index.add(p.filter("row_no % 3 <> 0"))
+    index.add(p.filter("row_no % 2 = 0 OR row_no % 3 = 0"))
+    return index
+
+
+def _placed(found, *order):
+    return rank.rank_continue(found, [*order, "row_no"], 0).select("row_no", F.col("rank").alias("place"))
+
+
+@query(f"WITH {LISTINGS_D} SELECT row_no, row_number() OVER (ORDER BY score DESC, row_no) AS place FROM listings WHERE type = 'Remote' AND contains(lower(title || ' ' || org || ' ' || tags_text), 'org 3')")
+def q2_search_indexed(spark, sf_dir):
+    index = _indexed(spark, sf_dir, "board")
+    return _placed(serve.search_board(serve.listings_view(index.rows(" ORG 3")), " ORG 3", kind="Remote", sort="score"), F.desc("score"))
+
+
+@query(f"WITH {LISTINGS_D} SELECT row_no, row_number() OVER (ORDER BY stipend DESC, row_no) AS place FROM listings WHERE contains(lower(title || ' ' || org || ' ' || tags_text || ' ' || {_CHIPS_D} || ' ' || cluster || ' ' || location), 'design') AND timing = 'Part-time'")
+def q3_search_indexed(spark, sf_dir):
+    found = serve.search_board_extended(serve.listings_view(_indexed(spark, sf_dir, "extended").rows("Design")), "Design", part_time=True, sort="stipend")
+    return _placed(found, F.desc("stipend"))
+
+
+@query(f"WITH {LISTINGS_D} SELECT row_no, row_number() OVER (ORDER BY hours_ago, row_no) AS place FROM listings WHERE contains(lower(title || ' ' || org || ' ' || tags_text || ' ' || location), 'startup growth')")
+def q4_search_indexed(spark, sf_dir):
+    return _placed(serve.search_dashboard(serve.listings_view(_indexed(spark, sf_dir, "dashboard").rows("startup growth")), "startup growth"), F.asc("hours_ago"))
+
+
 _MATCH_D = f"""{LISTINGS_D}, subs AS ({SUBSCRIBERS_D}), prefs AS (SELECT DISTINCT roles, cities FROM subs),
  hits AS (SELECT p.roles, p.cities, l.row_no, row_number() OVER (PARTITION BY p.roles, p.cities ORDER BY l.hours_ago, l.row_no) AS place FROM prefs p JOIN listings l ON (len(p.roles) = 0 OR len(list_filter(p.roles, lambda r: contains(lower(l.cluster || ' ' || l.title), r))) > 0) AND (len(p.cities) = 0 OR len(list_filter(p.cities, lambda r: contains(lower(l.location), r))) > 0) QUALIFY place <= 8),
  top AS (SELECT row_no, row_number() OVER (ORDER BY hours_ago, row_no) AS place FROM listings QUALIFY place <= 8),
@@ -575,6 +623,19 @@ def j12_related_listings(spark, sf_dir):
     return serve.related_listings(materialise(listings(spark, sf_dir), "listings"))
 
 
+@query(f"""WITH {LISTINGS_D}, keyed AS (SELECT row_no, score, CASE WHEN row_no % 7 = 0 THEN 'h:' || org || chr(10) || title ELSE 'u:' || post_url END AS key, row_no % 3 = 0 AS late FROM listings),
+ kept AS (SELECT row_no, score FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY late, row_no) = 1)
+ SELECT row_no, score, row_number() OVER (ORDER BY score DESC, row_no) AS rank FROM kept""")
+def a13_rerank_published(spark, sf_dir):
+    """Two runs over the listings, each made twice; the second brings all rows, the first's again."""
+    blank = F.when(F.col("row_no") % 7 == 0, "").otherwise(F.col("post_url"))
+    rows = listings(spark, sf_dir).select("row_no", "title", F.col("org").alias("hiring_organization"), blank.alias("post_url"), "score")
+    to = RankedTable(spark, shared_path(spark, "ranked"))
+    for run in ("first", "first", "second", "second", "first"):
+        to.publish(rows.filter("row_no % 3 <> 0") if run == "first" else rows, run, F.col("score"), ["row_no"])
+    return to.read().select("row_no", F.col("ranked_score").alias("score"), "rank")
+
+
 @query(f"WITH {LISTINGS_D}, last AS (SELECT max_by(scanned, day) AS scanned, max_by(verified, day) AS verified, max(day) AS day FROM fx_runs) SELECT verified::BIGINT AS verified_today, (SELECT count(*) FROM listings) AS total_active, (scanned - verified)::BIGINT AS spiked_today, scanned AS scanned_today, (SELECT count(*) FROM listings) AS eligible, CAST(day AS VARCHAR) AS last_run FROM last")
 def a7_site_stats(spark, sf_dir):
     r = view(spark, sf_dir, "fx_runs")

@@ -11,8 +11,12 @@ from postsieve.functions.banks import TABS
 from postsieve.functions.dialect import SPARK, column
 
 
-def write_published(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).partitionBy("date_added").parquet(path)
+def write_published(df: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """Append rows; those of a named run go to its own folder, which a repeated run replaces, so that it changes nothing."""
+    if run is None:
+        df.write.mode(mode).partitionBy("date_added").parquet(path)
+    else:
+        df.write.mode("overwrite").partitionBy("date_added").parquet(f"{path}/run={run}")
 
 
 def write_tabs(df: DataFrame, path: str, role: str = "title", text: str = "location", tabs=None) -> None:
