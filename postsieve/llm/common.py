@@ -69,6 +69,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+#: A filter of keys has at most so many bits, 128 MB.
+MOST_FILTER_BITS = 1 << 30
+_BITMAP = 8 * 4096  # bits of one of Spark's bitmaps
+
+
+def sparse_join(df: DataFrame, few: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """df joined with a materialised table few on their column on; how is left, left_semi or left_anti, and nulls meet nulls.
+
+    For long rows of which few have a partner: only rows that pass a filter of the hashed keys are shuffled, the others stay
+    where they are. The filter is a set of bitmaps sent to all tasks: 16 bits a key or more, up to MOST_FILTER_BITS, so up to
+    6 % of the others pass as well; with more keys more of them do, and the result is the same. df is read twice.
+    """
+    bits, name = 1 << min(MOST_FILTER_BITS.bit_length() - 1, max(_BITMAP.bit_length() - 1, (16 * few.count()).bit_length())), uuid.uuid4().hex
+    part, held, key = f"_p{name}", f"_b{name}", f"_k{name}"
+    hashed = F.pmod(F.xxhash64(F.col(on)), F.lit(bits))
+    sent = few.select(F.shiftright(hashed, 15).alias(part), F.pmod(hashed, F.lit(_BITMAP)).alias(held)).repartition(part).groupBy(part).agg(F.bitmap_construct_agg(F.col(held)).alias(held))
+    at = F.pmod(hashed, F.lit(_BITMAP))
+    byte = F.conv(F.hex(F.substring(F.col(held), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    passes = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(0)) == 1
+    seen = df.join(F.broadcast(sent), F.shiftright(hashed, 15) == F.col(part), "left")
+    rest = seen.filter(~passes).select(*df.columns)
+    met = seen.filter(passes).select(*df.columns).join(few.withColumnRenamed(on, key), F.col(on).eqNullSafe(F.col(key)), how).drop(key)
+    if how == "left_semi":
+        return met
+    return met.unionByName(rest if how == "left_anti" else rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema if f.name != on]))
+
+
 def row_key(*columns: str) -> Column:
     """A 128-bit key of a row's values; null differs from blank, and a value from its neighbour's."""
     part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))

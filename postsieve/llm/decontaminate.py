@@ -4,7 +4,7 @@ Terms of the test set are counted over the whole corpus; the rarest terms of eac
 the index stores the (term, document, position) postings of anchors. Postings shifted by the anchor's place in its
 item meet in one alignment (document, item, shift) where the passage occurs; alignments that show all anchors of a
 window are verified on the document's own words. Every step is DataFrame work on rows of a few numbers; texts are
-read three times and never moved, unless the documents with alignments are too many to broadcast.
+read four times; only those of documents with alignments, and the few others that pass the filter of sparse_join, move.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import ascii_lower, carried, materialise, small, table, words_by
+from postsieve.llm.common import ascii_lower, carried, materialise, small, sparse_join, table, words_by
 
 #: Characters outside words, after lower-casing A-Z, and before.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,9 +95,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     docs, back = carried(docs, ["doc_id", "text"], ("n_words", "n_hit", "item_ids", "contaminated"))
     items = materialise(_items(benchmark), "items")
     found = alignments(docs, items, window).join(small(items), "item")
-    found = found.groupBy(F.col("doc_id").alias("_found_in")).agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("_found"))
-    found = small(materialise(found, "alignments"))
-    d = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found_in")), "left")
+    found = materialise(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("_found")), "alignments")
+    d = sparse_join(docs, found, "doc_id")
     d = d.withColumn("_words", F.when(F.col("_found").isNotNull(), tokens(F.col("text"))))
     d = d.withColumn("_hits", F.coalesce(phrase_hits(F.col("_words"), F.col("_found"), window), F.array().cast(f"array<struct<item_id:{dict(items.dtypes)['item_id']},at:array<int>>>")))
     n_words = F.size(words_by(F.coalesce(F.col("text"), F.lit("")), RAW_BREAKS)).cast("long")

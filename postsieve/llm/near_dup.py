@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import materialise, row_key, small, table
+from postsieve.llm.common import materialise, row_key, small, sparse_join, table
 
 
 @dataclass(frozen=True)
@@ -117,14 +117,19 @@ def sketches(docs: DataFrame, p: Shingling) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame:
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes; few other texts are shuffled."""
+    return sparse_join(rows.select(F.col("row").alias("node"), "text"), wanted, "node", "left_semi")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, p: Shingling) -> DataFrame:
     """Those pairs (a, b) of nodes whose sketches are near and whose full sets reach the threshold."""
     odd = nodes.select("node", "odd")
     apart = F.aggregate(F.zip_with("_oa", "_ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(odd.select(F.col("node").alias("a"), F.col("odd").alias("_oa")), "a").join(odd.select(F.col("node").alias("b"), F.col("odd").alias("_ob")), "b")
     near = materialise(near.filter(apart <= p.most_odd_bits).select("a", "b"), "near_pairs")
     ids = materialise(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
-    texts = nodes.select("node", "text").join(small(ids), "node", "left_semi")  # so that no other text is shuffled
+    texts = _texts(rows, ids)
     both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +148,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame:
     return materialise(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def close_pairs(members: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame:
+def close_pairs(members: DataFrame, rows: DataFrame, p: Shingling) -> DataFrame:
     """Pairs (a, b) of members (node, component) of different components that can reach the threshold: a superset of those that do.
 
     Shingles are ordered by how many members hold them. Two sets that reach the threshold share one of their first
@@ -161,7 +166,8 @@ def close_pairs(members: DataFrame, nodes: DataFrame, p: Shingling) -> DataFrame
                 spread = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), size))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([spread(0), spread(1), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
 
-    texts = nodes.select("node", "text").join(small(materialise(members, "members")), "node").select("node", "component", "text")
+    members = materialise(members, "members")
+    texts = _texts(rows, members.select("node")).join(members, "node").select("node", "component", "text")
     rows = materialise(texts.mapInArrow(explode, "node bigint, component bigint, n bigint, shingle bigint"), "member_shingles")
     held = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     per = rows.join(held, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
@@ -217,7 +223,7 @@ def group(docs: DataFrame, p: Shingling = Shingling(), keyed: bool = False) -> D
     banded = materialise(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1")
     shared = materialise(banded.join(materialise(buckets, "buckets"), ["band", "key"]).filter("node <> head"), "shared")
-    links = confirmed(shared.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), nodes, p)
+    links = confirmed(shared.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, p)
     found = materialise(components(links), "found")
     of = lambda d: d.join(small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -233,11 +239,11 @@ def group(docs: DataFrame, p: Shingling = Shingling(), keyed: bool = False) -> D
         ranked = rest.join(small(materialise(degree, "degrees")), "node", "left")
         centre = ranked.groupBy("band", "key").agg(F.max_by(F.struct("node", "component"), F.struct(F.coalesce("links", F.lit(0)), "node")).alias("c"))
         tried = rest.join(centre, ["band", "key"]).filter("component <> c.component").select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
-        links = materialise(links.union(confirmed(tried, nodes, p)), "links")
+        links = materialise(links.union(confirmed(tried, nodes, rows, p)), "links")
         found = materialise(components(links), "found")
         rest = unresolved()
     if not rest.isEmpty():
-        more = confirmed(close_pairs(rest.select("node", "component").distinct(), nodes, p), nodes, p)
+        more = confirmed(close_pairs(rest.select("node", "component").distinct(), rows, p), nodes, rows, p)
         if not more.isEmpty():
             found = materialise(components(links.union(more)), "found")
     by_class = of(classes.select("node", "smallest", "fingerprint"))

@@ -15,7 +15,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import carried, materialise, small, table
+from postsieve.llm.common import carried, materialise, sparse_join, table
 
 
 @dataclass(frozen=True)
@@ -151,8 +151,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
     indexed = tuple(r for r in rules if trigram_query(r.regex))
     d = docs.withColumn("_kinds", F.array().cast("array<string>"))
     if indexed:
-        found = small(materialise(candidates(docs.select("doc_id", "text"), indexed).withColumnRenamed("doc_id", "_candidate"), "candidates"))
-        d = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left").withColumnRenamed("kinds", "_kinds")
+        found = materialise(candidates(docs.select("doc_id", "text"), indexed).withColumnRenamed("kinds", "_kinds"), "candidates")
+        d = sparse_join(docs, found, "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,checked:int>>")
     parts = [spans_of(text, r, k) if r not in indexed else F.when(F.array_contains("_kinds", r.kind), spans_of(text, r, k)).otherwise(none) for k, r in enumerate(rules)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import filesystem, materialise, new_path, small, table
+from postsieve.llm.common import filesystem, materialise, new_path, sparse_join, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed at this many bytes of records; a read takes up to so many at once.
@@ -148,7 +148,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("bigint"), url.alias("url"), html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("bytes"))
     firsts = rows.filter(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(small(materialise(firsts, "payloads")), ["sha", "bytes"], "left").select("page_id", "url", "html", "first")
+    rows = sparse_join(rows, materialise(firsts.select("sha", "first"), "payloads"), "sha").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, done = [], 0, []
