@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import carried, materialise, row_key, small, table
+from postsieve.llm.common import carried, materialise, row_key, small, sparse_join, table
 from postsieve.llm.decontaminate import decontaminate
 from postsieve.llm.near_dup import Shingling, group
 from postsieve.llm.quality_rules import assess
@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     rows, back = carried(docs, ["doc_id", "text", "lang"])
     keyed = rows.withColumn("_key", row_key("doc_id", "text", "lang"))
-    rejected = small(materialise(assess(keyed.select("doc_id", "text", "lang", "_key")).filter("NOT kept").select("_key").distinct(), "rejected"))
-    return back(keyed.join(rejected, "_key", "left_anti"))
+    rejected = materialise(assess(keyed.select("doc_id", "text", "lang", "_key")).filter("NOT kept").select("_key").distinct(), "rejected")
+    return back(sparse_join(keyed, rejected, "_key", "left_anti"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     again = found.filter("kept AND component_id IS NOT NULL").groupBy("component_id").agg(F.min("key").alias("key"), F.count("*").alias("n")).filter("n > 1")
     again = materialise(again, "repeated")
     others = found.join(small(again.select("component_id", F.col("key").alias("stays"))), "component_id").filter("kept AND key <> stays").select("key")
-    dropped = small(materialise(found.filter("NOT kept").select("key").union(others).distinct(), "dropped"))
+    dropped = materialise(found.filter("NOT kept").select("key").union(others).distinct(), "dropped")
     rows, back = carried(docs, ["doc_id", "text"])
-    d = rows.withColumn("key", row_key("doc_id", "text")).join(dropped, "key", "left_anti")
+    d = sparse_join(rows.withColumn("key", row_key("doc_id", "text")), dropped, "key", "left_anti")
     if not again.isEmpty():
-        twice = small(again.select("key"))
-        d = d.join(twice, "key", "left_anti").unionByName(d.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+        twice = again.select("key")
+        d = sparse_join(d, twice, "key", "left_anti").unionByName(sparse_join(d, twice, "key", "left_semi").dropDuplicates(["key"]))
     return back(d)
 
 
