@@ -151,19 +151,19 @@ def sites_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, url string, cards string, titles string, links string")
 
 
-def _elements(pages: DataFrame, cards: str, titles: str = "h1", links: str = "a", sites: DataFrame | None = None) -> DataFrame:
+def _elements(pages: DataFrame, cards: str, titles: str = "h1", links: str = "a", sites: DataFrame | None = None, closed: bool = False) -> DataFrame:
     """(page_id, url, site, idx, text, title, href) of the elements of each page in order.
 
     href: the address of the first link, blank if it has none, null without a link. With sites, pages of their hosts only,
     each by the selectors of its site and under its name; sites of one host each get the page. Without, all pages by the
-    given selectors, under their hosts.
+    given selectors, under their hosts. closed: as select takes it.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for page, url, site, html, *by in p.itertuples(index=False, name=None):
-                out += [(page, url, site, k, c.text, c.title, c.link) for k, c in enumerate(select(html, *by))]
+                out += [(page, url, site, k, c.text, c.title, c.link) for k, c in enumerate(select(html, *by, closed))]
             yield pd.DataFrame(out, columns=["page_id", "url", "site", "idx", "text", "title", "href"])
 
     d = pages.select("page_id", "url", "html", site_of("url").alias("_host"))
@@ -187,14 +187,15 @@ def _has_word(c: str, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(c), w))
 
 
-def extract_cards(pages: DataFrame, cards: str = "article", titles: str = "h2, h3", links: str = "a", per_site: int = 15, sites: DataFrame | None = None) -> DataFrame:
+def extract_cards(pages: DataFrame, cards: str = "article", titles: str = "h2, h3", links: str = "a", per_site: int = 15, sites: DataFrame | None = None, closed: bool = False) -> DataFrame:
     """Of the first cards of each site those with a title of 5 characters or more, cut at 200.
 
     cards, titles and links are selectors; sites, a table as read_sites gives it, has those of each site and its name.
+    closed: character references count only with their semicolon.
 
     Addresses: absolute ones stay, those from the root get the site's, others the page's; blank without a link.
     """
-    d = _first_of_site(_elements(pages, cards, titles, links, sites), per_site).filter(F.length("title") >= 5)
+    d = _first_of_site(_elements(pages, cards, titles, links, sites, closed), per_site).filter(F.length("title") >= 5)
     link = F.when(F.col("href").isNull(), "").when(F.col("href").startswith("http"), F.col("href")).when(F.col("href").startswith("/"), F.concat(_host("url"), "href"))
     return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.lit("See listing").alias("company"), F.lit("India").alias("location"), link.otherwise(F.concat(F.rtrim("url", F.lit("/")), F.lit("/"), "href")).alias("url"), F.col("site").alias("source"))
 
@@ -208,12 +209,12 @@ def extract_blocks(pages: DataFrame, words: tuple[str, ...] = tuple(BLOCK_WORDS)
     return _first_of_site(d, per_site).select("page_id", "idx", "text", link.alias("url"), F.col("site").alias("source"), F.lit("Today").alias("posted_time"))
 
 
-def gov_cards(pages: DataFrame, words: tuple[str, ...] = tuple(PORTAL_TITLES), cards: str = "article", titles: str = "h3, h4", links: str = "a[href]", per_site: int = 10, sites: DataFrame | None = None) -> DataFrame:
+def gov_cards(pages: DataFrame, words: tuple[str, ...] = tuple(PORTAL_TITLES), cards: str = "article", titles: str = "h3, h4", links: str = "a[href]", per_site: int = 10, sites: DataFrame | None = None, closed: bool = False) -> DataFrame:
     """Of the first cards of each portal those with a title of 5 characters or more that holds a keyword, cut at 200.
 
-    Selectors and sites as in extract_cards. The company is the portal; addresses that aren't absolute get the portal's in front, a missing one is the page's.
+    Selectors, sites and closed as in extract_cards. The company is the portal; addresses that aren't absolute get the portal's in front, a missing one is the page's.
     """
-    d = _first_of_site(_elements(pages, cards, titles, links, sites), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
+    d = _first_of_site(_elements(pages, cards, titles, links, sites, closed), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
     href = F.coalesce("href", F.lit(""))
     link = F.when(href == "", F.col("url")).when(href.startswith("http"), href).otherwise(F.concat(_host("url"), href))
     return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.col("site").alias("company"), F.lit("India").alias("location"), link.alias("url"), F.lit("Government").alias("source"))

@@ -112,6 +112,15 @@ def test_cards_by_the_sites_own_selectors(spark):
     assert [(r.page_id, r.title, r.company, r.url) for r in got] == [(2, "Trainee call", "MyGov", "https://www.mygov.in/task/")]  # the first a of a row has no text
 
 
+def test_references_without_semicolon(spark):
+    html = "<article id='a&amp'><h2>A&amp;B &lt;x&gt; &#65; &copy &amp;lt; &nosuch; &amp</h2><a href='/?a=1&lt=2'>x</a></article>"
+    assert [c.title for c in select(html, "article", "h2", "a")] == ["A&B <x> A © &lt; &nosuch; &"]
+    assert [(c.title, c.link) for c in select(html, "article", "h2", "a", closed=True)] == [("A&B <x> A &copy &lt; &nosuch; &amp", "/?a=1&lt=2")]
+    pages = spark.createDataFrame([(1, "https://a.in/", html)], "page_id bigint, url string, html string")
+    for jobs in (readers.extract_cards(pages, closed=True), readers.gov_cards(pages, ("copy",), titles="h2", closed=True)):
+        assert [r.title for r in jobs.collect()] == ["A&B <x> A &copy &lt; &nosuch; &amp"]
+
+
 def test_sites_from_a_file(spark, tmp_path):
     (tmp_path / "sites.json").write_text('[{"name": "A", "url": "https://a.in/x", "cards": "li", "titles": "b"}, {"name": "B", "url": "https://a.in/y", "cards": "p", "titles": "b", "links": "i"}]')
     pages = spark.createDataFrame([(1, "https://a.in/z?q", "<li><b>In a list</b><a href=u>.</a></li><p><b>In a paragraph</b><a href=v>.</a>")], "page_id bigint, url string, html string")
