@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from postsieve.functions.banks import BLOCK_WORDS, HEADERS, PORTAL_TITLES, SOURCES
 from postsieve.functions.dialect import column
 from postsieve.functions.text import title_case
+from postsieve.operators.tables import materialise
 from postsieve.sources.selectors import select
 
 _S = ["authorName", "authorHeadline", "authorCompany", "text", "postText", "content", "url", "postUrl", "post_url", "link", "postedTime", "publishedAt", "postedAtISO", "time"]
@@ -151,28 +152,38 @@ def sites_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, url string, cards string, titles string, links string")
 
 
-def _elements(pages: DataFrame, cards: str, titles: str = "h1", links: str = "a", sites: DataFrame | None = None, closed: bool = False) -> DataFrame:
+#: Pages that a task holds the elements of at once.
+_PAGES_AT_ONCE = 64
+#: More sites than this aren't sent to every task.
+MAX_SITES = 100_000
+
+
+def _elements(pages: DataFrame, cards: str, titles: str = "h1", links: str = "a", sites: DataFrame | None = None, text: bool = True, closed: bool = False) -> DataFrame:
     """(page_id, url, site, idx, text, title, href) of the elements of each page in order.
 
     href: the address of the first link, blank if it has none, null without a link. With sites, pages of their hosts only,
     each by the selectors of its site and under its name; sites of one host each get the page. Without, all pages by the
-    given selectors, under their hosts. closed: as select takes it.
+    given selectors, under their hosts. text: false leaves the texts null; closed: as select takes it.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for page, url, site, html, *by in p.itertuples(index=False, name=None):
-                out += [(page, url, site, k, c.text, c.title, c.link) for k, c in enumerate(select(html, *by, closed))]
-            yield pd.DataFrame(out, columns=["page_id", "url", "site", "idx", "text", "title", "href"])
-
-    d = pages.select("page_id", "url", "html", site_of("url").alias("_host"))
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("site", pa.string()), ("idx", pa.int64()), ("text", pa.string()), ("title", pa.string()), ("href", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PAGES_AT_ONCE):
+                out = []
+                for page, url, site, html, *by in zip(*(c.to_pylist() for c in batch.slice(at, _PAGES_AT_ONCE).columns), strict=True):
+                    out += [(page, url, site, k, c.text if text else None, c.title, c.link) for k, c in enumerate(select(html, *by, closed))]
+                cols = list(zip(*out, strict=True)) or [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    d = pages.select(F.col("page_id").cast("bigint"), "url", "html", site_of("url").alias("_host"))
     if sites is None:
         d = d.select("page_id", "url", F.col("_host").alias("site"), "html", F.lit(cards).alias("cards"), F.lit(titles).alias("titles"), F.lit(links).alias("links"))
     else:
         by = sites.select(site_of("url").alias("_host"), F.col("name").alias("site"), "cards", "titles", F.coalesce("links", F.lit(links)).alias("links"))
-        d = d.join(by, "_host").select("page_id", "url", "site", "html", "cards", "titles", "links")
-    return d.mapInPandas(run, "page_id bigint, url string, site string, idx bigint, text string, title string, href string")
+        by = materialise(by, "sites")
+        d = d.join(F.broadcast(by) if by.count() <= MAX_SITES else by, "_host").select("page_id", "url", "site", "html", "cards", "titles", "links")
+    return d.mapInArrow(run, "page_id bigint, url string, site string, idx bigint, text string, title string, href string")
 
 
 def _first_of_site(d: DataFrame, n: int) -> DataFrame:
@@ -195,7 +206,7 @@ def extract_cards(pages: DataFrame, cards: str = "article", titles: str = "h2, h
 
     Addresses: absolute ones stay, those from the root get the site's, others the page's; blank without a link.
     """
-    d = _first_of_site(_elements(pages, cards, titles, links, sites, closed), per_site).filter(F.length("title") >= 5)
+    d = _first_of_site(_elements(pages, cards, titles, links, sites, text=False, closed=closed), per_site).filter(F.length("title") >= 5)
     link = F.when(F.col("href").isNull(), "").when(F.col("href").startswith("http"), F.col("href")).when(F.col("href").startswith("/"), F.concat(_host("url"), "href"))
     return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.lit("See listing").alias("company"), F.lit("India").alias("location"), link.otherwise(F.concat(F.rtrim("url", F.lit("/")), F.lit("/"), "href")).alias("url"), F.col("site").alias("source"))
 
@@ -214,7 +225,7 @@ def gov_cards(pages: DataFrame, words: tuple[str, ...] = tuple(PORTAL_TITLES), c
 
     Selectors, sites and closed as in extract_cards. The company is the portal; addresses that aren't absolute get the portal's in front, a missing one is the page's.
     """
-    d = _first_of_site(_elements(pages, cards, titles, links, sites, closed), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
+    d = _first_of_site(_elements(pages, cards, titles, links, sites, text=False, closed=closed), per_site).filter((F.length("title") >= 5) & _has_word("title", words))
     href = F.coalesce("href", F.lit(""))
     link = F.when(href == "", F.col("url")).when(href.startswith("http"), href).otherwise(F.concat(_host("url"), href))
     return d.select("page_id", "idx", F.substring("title", 1, 200).alias("title"), F.col("site").alias("company"), F.lit("India").alias("location"), link.alias("url"), F.lit("Government").alias("source"))

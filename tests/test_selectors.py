@@ -121,6 +121,15 @@ def test_references_without_semicolon(spark):
         assert [r.title for r in jobs.collect()] == ["A&B <x> A &copy &lt; &nosuch; &amp"]
 
 
+def test_a_task_holds_the_elements_of_few_pages(spark, monkeypatch):
+    """Titles alone leave the task, a few pages at a time, in the order of the pages."""
+    monkeypatch.setattr(readers, "_PAGES_AT_ONCE", 3)
+    pages = spark.createDataFrame([(i, "https://a.in/", f"<li><b>Title {i}</b> more</li>" if i % 4 else None) for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
+    got = readers._elements(pages, "li", "b", text=False).collect()
+    assert [(r.page_id, r.title, r.text) for r in got] == [(i, f"Title {i}", None) for i in range(20) if i % 4]
+    assert [r.text for r in readers._elements(pages, "li", "b").collect()] == [f"Title {i}more" for i in range(20) if i % 4]
+
+
 def test_sites_from_a_file(spark, tmp_path):
     (tmp_path / "sites.json").write_text('[{"name": "A", "url": "https://a.in/x", "cards": "li", "titles": "b"}, {"name": "B", "url": "https://a.in/y", "cards": "p", "titles": "b", "links": "i"}]')
     pages = spark.createDataFrame([(1, "https://a.in/z?q", "<li><b>In a list</b><a href=u>.</a></li><p><b>In a paragraph</b><a href=v>.</a>")], "page_id bigint, url string, html string")
