@@ -156,3 +156,16 @@ def test_first_keyword_of_a_large_taxonomy_wins(spark):
         want = next((c[0] for _, keys, c, _ in rows if any(k in t.lower() for k in keys)), "")
         assert chips == want, t
     assert len(got) == 82
+
+
+@pytest.mark.parametrize("ratio", [0.85, 0.6])
+def test_tiles_of_titles_lose_no_pair_and_leave_few(spark, ratio):
+    """Blocks of a few titles, in many tiles; long titles, other scripts and frequent characters; far titles of the same characters go."""
+    rng = random.Random(11)
+    far = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz " * 2, 54)) for _ in range(300)]
+    given = sorted({*titles(5, 60), *far, "ab" * 150, "ab" * 150 + "c", "日本語の求人" * 4, "日本語の求人" * 4 + "。", "😀" * 9, "😀" * 8, "x" * 70, "x" * 66 + "yy", "a", "b"})
+    df = spark.createDataFrame([(t,) for t in given], "title string")
+    pairs = [tuple(r) for r in matching.candidate_titles(df, ratio, block=16).collect()]
+    want = {tuple(sorted((k, n))) for k in given for n in given if k != n and near(n, k, ratio)}
+    assert want <= set(pairs) and len(pairs) == len(set(pairs)) and len(want) > 10
+    assert all(x < y for x, y in pairs) and sum(x in far and y in far for x, y in pairs) <= (0 if ratio > 0.8 else 2000)
