@@ -121,3 +121,12 @@ def test_a_run_written_twice(spark, tmp_path):
         sinks.write_published(rows, str(tmp_path / "p"), run=run)
     got = spark.read.parquet(str(tmp_path / "p")).collect()
     assert sorted((r.run, r.row_no, str(r.date_added)) for r in got) == [("a", 2, "2024-01-02"), ("b", 1, "2024-01-01")]
+
+
+def test_a_text_of_many_rows_is_cut_into_grams_once(spark, tmp_path):
+    rows = [(i, "data intern", "", "", "", "Pune", "", f"org {i % 3}", f"u{i}", "", "", "2024-01-01 09:00", "") for i in range(60)]
+    index = BoardIndex(spark, str(tmp_path / "index"))
+    index.add(published(spark, rows))
+    postings = index._read("postings").filter("gram = 'ata'").collect()
+    assert len(postings) == 3 and sorted(p.row_no for p in postings) == [0, 1, 2]
+    assert sorted(r.row_no for r in index.rows("org 1").collect()) == list(range(1, 60, 3))
