@@ -233,6 +233,55 @@ def test_passage_behind_other_first_holders(spark):
     assert found == {(4, 3, 60)}
 
 
+def test_passage_whose_words_all_have_other_holders(spark):
+    """1 and 100 share 60 words; all of them, 20 at a time, also lie in earlier texts than 1 and in later ones."""
+    words = PASSAGE.split()
+    pieces = [" ".join(words[i : i + 20]) for i in range(0, 50, 10)]
+    rows = [(i, f"{FILL(f'x{i}_', 40)} {pieces[k]} {FILL(f'y{i}_', 40)}") for i, k in [(20 + k, k) for k in range(5)] + [(60 + k, k) for k in range(5)]]
+    rows = [*rows[:5], (1, f"{FILL('c', 20)} {PASSAGE} {FILL('d', 20)}"), *rows[5:], (100, f"{FILL('e', 33)} {PASSAGE} {FILL('f', 9)}")]
+    found = {(r.doc_id, r.src_doc_id, r.n_equal) for r in passages.passages(small_docs(spark, rows).coalesce(1)).collect()}
+    assert found == {(100, 1, 60)}
+
+
+def test_passages_of_short_runs(spark):
+    """Every fifth word is replaced: 52 equal words of 64, four in a row."""
+    rows = []
+    for k in range(30):
+        words = FILL(f"v{k}_", 64).split()
+        edited = [f"e{k}_{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+        rows += [(2 * k, f"{FILL(f'a{k}_', 30)} {' '.join(words)} {FILL(f'b{k}_', 30)}"), (2 * k + 1, f"{FILL(f'c{k}_', 20)} {' '.join(edited)} {FILL(f'd{k}_', 50)}")]
+    assert {(r.doc_id // 2, r.n_equal) for r in passages.passages(small_docs(spark, rows)).collect()} == {(k, 52) for k in range(30)}
+
+
+def test_no_passage_lies_outside_those_listed(spark, sf_dir):
+    """All pairs of the given documents and of made-up mosaics, aligned from all words that four in a row are shared."""
+    rng, p = np.random.default_rng(4), passages.Passages()
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    pool, starts = [f"m{i}" for i in range(400)], rng.integers(0, 350, 25)
+    for k in range(60):
+        words = [w for a in rng.choice(starts, 10) for w in pool[a : a + int(rng.integers(8, 60))]]
+        rows.append((10**6 + k, " ".join(f"o{k}_{i}" if rng.random() < 0.06 else w for i, w in enumerate(words))))
+    docs, listed, held, met, n = [passages.words_of((t or "").encode()) for _, t in rows], {}, {}, {}, 0
+    for r in passages.passages(small_docs(spark, [(k, t) for k, (_, t) in enumerate(rows)]).coalesce(1), p).collect():
+        listed.setdefault(r.doc_id, []).append((r.start, r.end))
+    for d, w in enumerate(docs):
+        for i in range(len(w) - 3):
+            held.setdefault(tuple(w[i : i + 4]), []).append((d, i))
+    for at in held.values():
+        for d, i in at:
+            for e, j in at:
+                if d > e and docs[d] != docs[e]:
+                    met.setdefault((d, e), []).append((i, j))
+    for (d, e), places in met.items():
+        if len(places) >= 10:
+            x, y = map(list, zip(*sorted(places), strict=True))
+            for s, t, *_ in passages.align(docs[d], docs[e], x, y, p)[0]:
+                n += 1
+                assert any(a < t and s < b for a, b in listed.get(d, ())), (d, e, s, t)
+    print("passages of pairs", n)
+    assert n > 100
+
+
 def test_passages_of_a_frequent_seed_and_long_texts(spark):
     """With groups of a few rows, and texts of 30,000 words that share one passage."""
     rows = [(i, f"{FILL(f'x{i}_', 20)} {PASSAGE} {FILL(f'y{i}_', 20)}") for i in range(60)] + [(100 + i, f"{FILL(f'l{i}_', 30_000)} {PASSAGE}") for i in range(2)]
