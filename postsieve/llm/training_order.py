@@ -4,7 +4,8 @@ The ids of the documents of a partition, each ended by the end id, form one stre
 Feistel permutation of [0, number of sequences), made so by cycle-walking, maps a sequence's number to its slot; the
 shard of a slot is its range. Shards are plain files of records of one length, so training reads them front to back
 and resumes at any slot by arithmetic. Sequences are numbered by partition, as RDD.zipWithIndex does: one pass counts
-the tokens of each partition (one row each reaches the driver), another makes the sequences and fails if its counts differ.
+the tokens of each partition (one row each reaches the driver), another makes the sequences and fails if it meets other
+words. The first segments the distinct words of each slice of a partition and keeps their ids, without the words, for the second.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import filesystem, materialise, new_path, table
-from postsieve.llm.sentencepieces import Encoder, by_bytes, model, model_path
+from postsieve.llm.sentencepieces import by_bytes, model, model_path, numbers, pack_numbers, part_files, split
 
 
 #: Bytes of text whose words are segmented at once.
 SLICE = 16 << 20
+OTHER_INPUT = "the input gave other partitions when it was read again: write it as a table first"
 
 
 class Permutation:
@@ -72,10 +74,33 @@ class Layout:
         return self.length * np.dtype(self.dtype).itemsize
 
 
+def mark(words: pa.Array) -> int:
+    """Tells lists of words apart."""
+    if not len(words):
+        return 0
+    words = words.cast(pa.binary())
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return zlib.crc32(memoryview(words.buffers()[2])[ends[0] : ends[-1]], zlib.crc32(np.diff(ends)))
+
+
+class Kept:
+    """What the first pass kept of a partition's slices."""
+
+    def __init__(self, folder: str, part: int):
+        self.rows = {r["slice"]: r for t in part_files(folder, part) for r in t.to_pylist()}
+
+    def of(self, number: int, words: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words of a slice in a row, how many each has)."""
+        kept = self.rows.pop(number, None)
+        if kept is None or kept["mark"] != mark(words):
+            raise RuntimeError(OTHER_INPUT)
+        return np.frombuffer(kept["ids"], dtype), numbers(kept["n"]).astype(np.int64)
+
+
 def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = None) -> tuple[DataFrame, int]:
     """(slot, doc_ids, n_tokens, ids as bytes) of all sequences, and their number.
 
-    docs must give the same partitions each time it is read, as tables do; a partition that gives other tokens the second
+    docs must give the same partitions each time it is read, as tables do; a partition that gives other words the second
     time raises an error. doc_ids are those whose tokens the sequence holds, in order; the last sequence of a partition is
     padded. Null and empty texts are a single end id; a very long text fills sequence after sequence. Null doc_ids are
     listed as null.
@@ -85,24 +110,34 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
         raise ValueError("ids of this model need four bytes")
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.spark_partition_id().alias("part"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part, encoder = 0, None, Encoder(path)
+    folder, names = new_path(docs.sparkSession, "segments"), ["part", "slice", "tokens", "mark", "ids", "n"]
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        number = 0
         for batch in batches:
-            part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for at, n in by_bytes(batch.column(1), 8192, SLICE):
-                total += int(encoder.lengths(batch.column(1).slice(at, n)).sum()) + n  # and the end ids
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64())], names=["part", "tokens"])
+            for at, size in by_bytes(batch.column(1), 8192, SLICE):
+                yield batch.column(2)[0].as_py(), number, batch.slice(at, size)
+                number += 1
 
-    tokens = {r.part: r.tokens for r in rows.mapInArrow(count, "part int, tokens bigint").collect()}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, texts in slices(batches):
+            s = split(texts.column(1))
+            ids, size = model(path).flat(s.distinct)
+            row = (part, number, int(size[s.codes].sum()) + len(texts), mark(s.words), ids.astype(layout.dtype).tobytes(), pack_numbers(size))  # and the end ids
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+    schema = "part int, slice int, tokens bigint, mark bigint, ids binary, n binary"
+    rows.mapInArrow(count, schema).write.partitionBy("part").parquet(folder, compression="zstd")
+    counted = docs.sparkSession.read.schema("tokens bigint, part int").parquet(folder)
+    tokens = {r.part: r.tokens for r in counted.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect()}
     first, n = {}, 0
     for p in sorted(tokens):
         first[p], n = n, n + -(-tokens[p] // layout.length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, encoder, part, seen = Permutation(n, layout.key), Encoder(path), None, 0
+        slots, kept, part, seen = Permutation(n, layout.key), None, None, 0
         number, rest, owners = None, np.empty(0, layout.dtype), []  # owners: (doc_id, tokens) of rest
-        end_id = np.frombuffer(encoder.model.eos, "<u4")
+        end_id = np.frombuffer(model(path).eos, "<u4").astype(layout.dtype)
 
         def rows_of(stream: np.ndarray, owners: list) -> pa.RecordBatch:
             nonlocal number
@@ -122,16 +157,16 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], names=["slot", "doc_ids", "n_tokens", "ids"])
 
         def streams() -> Iterator[tuple[list, list[np.ndarray]]]:
-            nonlocal part
-            for batch in batches:
-                part = batch.column(2)[0].as_py() if batch.num_rows else part
-                for at, size in by_bytes(batch.column(1), 8192, SLICE):
-                    ids, low, high, _ = encoder.encode(batch.column(1).slice(at, size))
-                    yield batch.column(0).slice(at, size).to_pylist(), [np.concatenate([ids[a:b], end_id]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            nonlocal part, kept
+            for part, k, texts in slices(batches):
+                kept = kept or Kept(folder, part)
+                s = split(texts.column(1))
+                ids, low, high = s.join(*kept.of(k, s.words, layout.dtype))
+                yield texts.column(0).to_pylist(), [np.concatenate([ids[a:b], end_id]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
 
         for names, ids in streams():
             number = first[part] if number is None else number
-            stream = np.concatenate([rest, *ids]).astype(layout.dtype)
+            stream = np.concatenate([rest, *ids])
             seen += len(stream) - len(rest)
             owners += [(d, len(i)) for d, i in zip(names, ids, strict=True)]
             whole = len(stream) // layout.length * layout.length
@@ -149,7 +184,7 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
         if len(rest):
             yield rows_of(rest, owners)
         if part is not None and seen != tokens[part]:
-            raise RuntimeError("the input gave other partitions when it was read again: write it as a table first")
+            raise RuntimeError(OTHER_INPUT)
 
     return rows.mapInArrow(cut, "slot bigint, doc_ids array<bigint>, n_tokens bigint, ids binary"), n
 

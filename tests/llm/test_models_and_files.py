@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -400,6 +401,40 @@ def test_training_order_of_odd_rows(spark):
     assert set(held) == {1, 2, None} and {r.n_records for r in training_order.shards(records).collect()[:-1]} == {64}
 
 
+def test_training_order_tells_other_words_of_the_same_length(spark):
+    """What the first pass keeps belongs to its words: a second read that gives others raises, even with as many ids."""
+
+    def either(batches):
+        import uuid
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join("ab"[int(c, 16) % 2] for c in uuid.uuid4().hex) for _ in range(batch.num_rows)])], names=["doc_id", "text"])
+
+    docs = spark.range(64).withColumnRenamed("id", "doc_id").coalesce(1).mapInArrow(either, "doc_id bigint, text string")
+    lib = sentencepieces.model(sentencepieces.model_path()).lib
+    assert len(lib.encode("a b a")) == len(lib.encode("b b b"))
+    first = [docs.head().text.split(" ")[0] for _ in range(40)]
+    assert set(first) == {"a", "b"}
+    raised = 0
+    for _ in range(12):  # the words are the same two, so that their order alone tells
+        try:
+            training_order.sequences(docs)[0].collect()
+        except Exception as e:
+            assert training_order.OTHER_INPUT in str(e)
+            raised += 1
+    assert raised
+
+
+def test_marks_of_words():
+    marks = {training_order.mark(pa.array(w)) for w in (["same", "size", "", "é"], ["size", "same", "", "é"], ["sames", "ize", "", "é"], ["same", "size"])}
+    assert len(marks) == 4 and training_order.mark(pa.array(["x", "same", "size", "y"])[1:3]) in marks
+    assert training_order.mark(pa.array([], pa.string())) == 0
+    texts = pa.array(["a  b a", None, "one two", "x▁y one"])
+    s, sp = sentencepieces.split(texts), sentencepieces.model(sentencepieces.model_path())
+    ids, low, high = s.join(*sp.flat(s.distinct))
+    assert [ids[a:b].tolist() for a, b in zip(low, high, strict=True)] == [sp.lib.encode(t or "") for t in texts.to_pylist()]
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on what the stage before it kept."""
     docs = table(spark, sf_dir, "documents")
