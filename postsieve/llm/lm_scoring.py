@@ -4,8 +4,9 @@ The attention model reads subword ids and predicts the next id's frequency class
 into classes of equal mass); within its class an id has its smoothed share of the corpus counts. Word and subword counts
 cover all training documents. The attention weights are trained in rounds, each over all training documents in shares:
 in a share, every task trains a copy on the windows of its documents and the copies are averaged. Texts are scored in
-overlapping windows: each token once, with at least window - stride tokens before it. All passes share one table of the
-corpus's distinct words: it gives the counts, and each text is segmented once, its ids being kept for training and scoring.
+overlapping windows: each token once, with at least window - stride tokens before it. Words are counted by slices of the
+texts: a slice's distinct words are dealt into buckets, whose tasks send their counts in the corpus back. Each text is segmented
+once, its ids being kept for training and scoring. A task holds the words of one slice, or of one bucket, as Arrow columns.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import materialise, new_path, table
-from postsieve.llm.sentencepieces import MARKER, Encoder, by_bytes, model, model_path, numbers, part_files, split, unpack, word_table
+from postsieve.llm.sentencepieces import OTHER_INPUT, by_bytes, mark, model, model_path, numbers, pack_numbers, part_files, slices, split
 
 
 @dataclass(frozen=True)
@@ -209,110 +211,154 @@ def train_round(docs: DataFrame, w: dict[str, np.ndarray], cls: np.ndarray, m: M
     return _shaped(np.concatenate([np.frombuffer(r.part) / r.seen for r in rows]), w) if rows else w
 
 
-def corpus_counts(docs: DataFrame, folder: str, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """((part, word) of all words, perhaps more than once, (word, c), c by id) from the word table in folder; c counts training texts (column train).
+#: Bytes of text whose words are held at once; distinct words are dealt into so many buckets.
+SLICE, BUCKET_BITS = 8 << 20, 11
 
-    The end of a text counts as the word '' and as the end id. Words of texts with the marker are read from them anew, as
-    the marker parts subword units but not words.
-    """
-    spark = docs.sparkSession
 
-    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, counts, ids = None, {}, np.zeros(size, np.int64)
+def base_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word in order, each text's number of words): A-Z lower-cased, split at \\x20 and \\x09-\\x0D."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = parts.flatten(), parts.value_lengths().to_numpy()
+    held = pc.binary_length(words).to_numpy() > 0  # nothing lies before white space that a text begins with
+    if not held.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[held], minlength=len(sizes))
+        words = words.filter(pa.array(held))
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), sizes
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(counts), pa.int32()), pa.array([w.decode() for w in counts], pa.string()), pa.nulls(len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["part", "word", "id", "c"])
 
-        for batch in batches:
-            for p, words, sizes, n, n_plain, i, n_ids in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if p != part or len(counts) > 500_000:
-                    yield out()
-                    part, counts = p, {}
-                np.add.at(ids, numbers(i), np.repeat(numbers(n).astype(np.int64), numbers(n_ids)))
-                for w, c in zip(unpack(words, sizes), numbers(n_plain).tolist(), strict=True):
-                    for t in w.encode().lower().split():
-                        counts[t] = counts.get(t, 0) + c
-        yield out()
-        used = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.string()), pa.array(used, pa.int32()), pa.array(ids[used])], names=["part", "word", "id", "c"])
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, t, on in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = t.encode().lower().split()
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(words), pa.int32()), pa.array([w.decode() for w in words], pa.string()), pa.nulls(len(words), pa.int32()), pa.array([int(on)] * len(words), pa.int64())], names=["part", "word", "id", "c"])
-
-    schema = "part int, word string, id int, c bigint"
-    stored = "words binary, sizes binary, n binary, n_plain binary, ids binary, n_ids binary, part int"
-    rows = spark.read.schema(stored).parquet(folder).select("part", "words", "sizes", "n", "n_plain", "ids", "n_ids").mapInArrow(derive, schema)
-    odd = docs.withColumn("part", F.spark_partition_id()).filter(F.contains("text", F.lit(MARKER))).select("part", "text", "train").mapInArrow(marked, schema)
-    both = materialise(rows.unionByName(odd), "word_counts_by_part")
-    words = materialise(both.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "word_counts")
-    counts = np.zeros(size)
-    for r in both.filter("id IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many as the vocabulary has ids
-        counts[r.id] = r.c
-    return both.filter("word IS NOT NULL").select("part", "word"), words, counts
+def dealt(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words by bucket, the number of each among words, each one's bucket)."""
+    if not len(words):
+        return words.cast(pa.binary()), np.empty(0, np.int64), np.empty(0, np.int64)
+    raw = pa.concat_arrays([words.cast(pa.binary())])
+    ends, data = np.frombuffer(raw.buffers()[1], np.int32)[: len(raw) + 1], np.frombuffer(raw.buffers()[2], np.uint8)
+    place = (np.arange(ends[-1], dtype=np.int32) - np.repeat(ends[:-1], np.diff(ends))) % 64
+    odd = np.random.default_rng(17).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = np.add.reduceat(odd[place] * (data[: ends[-1]] + np.uint64(1)), ends[:-1])
+    sums ^= sums >> np.uint64(32)
+    bucket = (sums * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return raw.take(pa.array(order)), order, bucket[order]
 
 
-class WordScores:
-    """Smoothed log shares of the words of a partition, from the file that holds their training counts."""
+def word_counts(docs: DataFrame) -> str:
+    """Write how often each slice's distinct words occur in the training texts of docs (text, train), by partition; gives the folder.
 
-    def __init__(self, folder: str, part: int, end: int, floor: float):
-        self.count: dict[bytes, int] = {}
+    Rows: part, slice, bucket, mark of the slice's words, counts of those in the bucket in the order of dealt(); in one row of
+    each bucket total and known are the sum of its words' counts and the number of those that have one, else 0.
+    """
+    folder = new_path(docs.sparkSession, "word_counts")
+    fields = {"part": "int", "slice": "int", "bucket": "int", "mark": "bigint", "words": "binary", "sizes": "binary", "n": "binary"}
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, rows in slices(batches, SLICE):
+            words, codes, sizes = base_words(rows.column(1))
+            train = rows.column(0).to_numpy(zero_copy_only=False).astype(float)
+            n = np.bincount(codes, np.repeat(train, sizes), len(words)).astype(np.int64)
+            raw, order, bucket = dealt(words)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)]).tolist()
+            spans, long, n = list(zip(cut, [*cut[1:], len(raw)])), pc.binary_length(raw).to_numpy(), n[order]
+            ends, data = np.concatenate([[0], np.cumsum(long)]), b"".join(raw.to_pylist())
+            cols = [[part] * len(cut), [number] * len(cut), bucket[cut], [mark(words)] * len(cut), [data[ends[a] : ends[b]] for a, b in spans], *([pack_numbers(x[a:b]) for a, b in spans] for x in (long, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(cols, fields.values(), strict=True)], names=list(fields))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by bucket."""
+
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            *own, words, sizes, n = zip(*held, strict=True)
+            n = [numbers(x) for x in n]
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([numbers(x) for x in sizes]), dtype=np.int64)])
+            all_words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(words))])
+            codes = all_words.dictionary_encode().indices.to_numpy()
+            c = np.bincount(codes, np.concatenate(n)).astype(np.int64)
+            each = [pack_numbers(x) for x in np.split(c[codes], np.cumsum([len(x) for x in n])[:-1])]
+            once = [[x] + [0] * (len(held) - 1) for x in (c.sum(), np.count_nonzero(c))]
+            return pa.RecordBatch.from_arrays([*(pa.array(x, types[t]) for x, t in zip(own, fields.values())), pa.array(each, pa.binary()), *(pa.array(x, pa.int64()) for x in once)], names=["part", "slice", "bucket", "mark", "c", "total", "known"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][2] != x[2]:
+                    yield out(held)
+                    held = []
+                held.append(x)
+        if held:
+            yield out(held)
+
+    rows = docs.select("train", "text", F.spark_partition_id()).mapInArrow(deal, ", ".join(map(" ".join, fields.items())))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.mapInArrow(add, "part int, slice int, bucket int, mark bigint, c binary, total bigint, known bigint")
+    rows.repartition("part").write.partitionBy("part").parquet(folder, compression="zstd")
+    return folder
+
+
+class WordCounts:
+    """The counts of the words of a partition's slices, from the file of word_counts()."""
+
+    def __init__(self, folder: str, part: int):
+        self.rows: dict[int, list[tuple]] = {}
         for t in part_files(folder, part):
-            self.count.update(zip([w.encode() for w in t["word"].to_pylist()], t["c"].to_pylist(), strict=True))
-        self.end, self.floor = end, floor
-
-    def of(self, text: str) -> tuple[int, int, float]:
-        """(words, those with counts, sum of their log shares) without the end."""
-        found = [self.count.get(w, 0) for w in text.encode().lower().split()]
-        return len(found), len(found) - found.count(0), math.fsum(math.log10(c + 1) - self.floor for c in found)
-
-    def all(self, texts: pa.Array, s) -> list[np.ndarray]:
-        """As of(), of each of the texts, given their split; the end included."""
-        found = [*map(self.count.get, [w.encode().lower() for w in s.distinct])]
-        each = np.ones((len(found), 3))
-        each[:, 2] = np.log10(np.array([c or 0 for c in found]) + 1.0) - self.floor
-        for k in [k for k, c in enumerate(found) if c is None]:  # without a count, or of several words or none
-            each[k] = self.of(s.distinct[k])
-        order = np.argsort(s.start, kind="stable")
-        text = np.repeat(order, (s.end - s.start)[order])
-        out = np.stack([np.bincount(text, each[s.codes, k], len(s.start)) for k in range(3)])
-        for k in np.flatnonzero(s.odd):  # the marker parts no words
-            out[:, k] = self.of(texts[k].as_py() or "")
-        return [out[0] + 1, out[1] + (self.end > 0), out[2] + math.log10(self.end + 1) - self.floor]
+            for number, *row in zip(*(t[c].to_pylist() for c in ("slice", "bucket", "mark", "c")), strict=True):
+                self.rows.setdefault(number, []).append(row)
+
+    def of(self, number: int, words: pa.Array) -> np.ndarray:
+        rows = sorted(self.rows.pop(number, ()))
+        found = np.concatenate([np.empty(0, np.int64), *(numbers(c) for _, _, c in rows)])
+        if len(found) != len(words) or any(m != mark(words) for m in {m for _, m, _ in rows}):
+            raise RuntimeError(OTHER_INPUT)
+        out = np.empty(len(words))
+        out[dealt(words)[1]] = found
+        return out
+
+
+def id_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in the column ids, the ids that texts begin with left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            for at, k in by_bytes(batch.column(0)):
+                ids = batch.column(0).slice(at, k).to_pylist()
+                n += np.bincount(np.frombuffer(b"".join(x[4:] for x in ids), "<u4"), minlength=size)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], names=["id", "c"])
+
+    counts = np.zeros(size)
+    for r in texts.select("ids").mapInArrow(run, "id int, c bigint").groupBy("id").agg(F.sum("c").alias("c")).collect():  # as many as the vocabulary has ids
+        counts[r.id] = r.c
+    return counts
 
 
 def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, int, np.ndarray]:
     """(doc_id, held_out, share, n_tokens, n_known, base_score, ids) of docs, the number of training words, and counts by id."""
-    spark, sp = docs.sparkSession, model(path)
-    begin, end = sp.bos, sp.eos
-    folder = word_table(docs, path, counted="train")
-    pairs, words, counts = corpus_counts(docs, folder, sp.size)
+    spark, begin, end = docs.sparkSession, model(path).bos, model(path).eos
+    folder = word_counts(docs)
     ends = docs.filter("train").count()
-    counts[sp.lib.eos_id()] += ends
-    n, v = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
-    n, v = n + ends, v + (ends > 0)
-    by_part = new_path(spark, "words_of_parts")
-    pairs.join(words, "word").select("part", "word", "c").repartition("part").write.partitionBy("part").parquet(by_part, compression="zstd")
+    n, v = (x or 0 for x in spark.read.schema("total bigint, known bigint, part int").parquet(folder).agg(F.sum("total"), F.sum("known")).first())
+    n, v = n + ends, v + (ends > 0)  # the end of a text counts as a word of its own
     floor = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = scores = None
-        for batch in batches:
-            if encoder is None and batch.num_rows:
-                part = batch.column(4)[0].as_py()
-                encoder, scores = Encoder(path, folder, part), WordScores(by_part, part, ends, floor)
-            for at, size in by_bytes(batch.column(1)):
-                rows = batch.slice(at, size)
-                s = split(rows.column(1))
-                ids, low, high, _ = encoder.encode(rows.column(1), s)
-                total, known, base = scores.all(rows.column(1), s)
-                held = pa.array([b"".join([begin, ids[a:b].tobytes(), end]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(total.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), held], names=["doc_id", "held_out", "share", "n_tokens", "n_known", "base_score", "ids"])
+        counts = None
+        for part, number, rows in slices(batches, SLICE):
+            counts = counts or WordCounts(folder, part)
+            words, codes, sizes = base_words(rows.column(1))
+            c = counts.of(number, words)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            known = np.bincount(text, (c > 0)[codes], len(sizes)) + (ends > 0)
+            base = np.bincount(text, (np.log10(c + 1) - floor)[codes], len(sizes)) + math.log10(ends + 1) - floor
+            del words, codes, text
+            s = split(rows.column(1))
+            ids, low, high = s.join(*model(path).flat(s.distinct))
+            held = pa.array([b"".join([begin, ids[a:b].tobytes(), end]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(sizes + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), held], names=["doc_id", "held_out", "share", "n_tokens", "n_known", "base_score", "ids"])
 
     rows = docs.select("doc_id", "text", ~F.col("train"), "share", F.spark_partition_id()).mapInArrow(run, "doc_id bigint, held_out boolean, share int, n_tokens bigint, n_known bigint, base_score double, ids binary")
-    return materialise(rows, "encoded"), n, counts
+    texts = materialise(rows, "encoded")
+    return texts, n, id_counts(texts.filter("NOT held_out"), model(path).size)
 
 
 def score(docs: DataFrame, m: Model = Model(), path: str | None = None) -> DataFrame:

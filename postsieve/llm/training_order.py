@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import filesystem, materialise, new_path, table
-from postsieve.llm.sentencepieces import by_bytes, model, model_path, numbers, pack_numbers, part_files, split
+from postsieve.llm.sentencepieces import OTHER_INPUT, mark, model, model_path, numbers, pack_numbers, part_files, slices, split
 
 
 #: Bytes of text whose words are segmented at once.
 SLICE = 16 << 20
-OTHER_INPUT = "the input gave other partitions when it was read again: write it as a table first"
 
 
 class Permutation:
@@ -74,15 +73,6 @@ class Layout:
         return self.length * np.dtype(self.dtype).itemsize
 
 
-def mark(words: pa.Array) -> int:
-    """Tells lists of words apart."""
-    if not len(words):
-        return 0
-    words = words.cast(pa.binary())
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-    return zlib.crc32(memoryview(words.buffers()[2])[ends[0] : ends[-1]], zlib.crc32(np.diff(ends)))
-
-
 class Kept:
     """What the first pass kept of a partition's slices."""
 
@@ -112,15 +102,8 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
 
     folder, names = new_path(docs.sparkSession, "segments"), ["part", "slice", "tokens", "mark", "ids", "n"]
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-        number = 0
-        for batch in batches:
-            for at, size in by_bytes(batch.column(1), 8192, SLICE):
-                yield batch.column(2)[0].as_py(), number, batch.slice(at, size)
-                number += 1
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, number, texts in slices(batches):
+        for part, number, texts in slices(batches, SLICE):
             s = split(texts.column(1))
             ids, size = model(path).flat(s.distinct)
             row = (part, number, int(size[s.codes].sum()) + len(texts), mark(s.words), ids.astype(layout.dtype).tobytes(), pack_numbers(size))  # and the end ids
@@ -158,7 +141,7 @@ def sequences(docs: DataFrame, layout: Layout = Layout(), path: str | None = Non
 
         def streams() -> Iterator[tuple[list, list[np.ndarray]]]:
             nonlocal part, kept
-            for part, k, texts in slices(batches):
+            for part, k, texts in slices(batches, SLICE):
                 kept = kept or Kept(folder, part)
                 s = split(texts.column(1))
                 ids, low, high = s.join(*kept.of(k, s.words, layout.dtype))

@@ -43,6 +43,34 @@ def test_base_scores(spark, sf_dir, awkward):
     assert all(r.score < 0 for r in got)
 
 
+def test_words_and_their_buckets():
+    chars = [c for c in map(chr, range(0x3100)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = [*(f"A{c}b" for c in chars), *(f"{c}x{c}" for c in chars), None, "", " ", "K İ ſ", "w" * 300]
+    words, codes, sizes = lm_scoring.base_words(pa.array(texts)[1:])
+    assert [words[c].as_py().encode() for c in codes] == [w for t in texts[1:] for w in (t or "").encode().lower().split()]
+    assert sizes.tolist() == [len((t or "").encode().lower().split()) for t in texts[1:]]
+    raw, order, bucket = lm_scoring.dealt(words)
+    assert raw.to_pylist() == [words[i].as_py().encode() for i in order] and (np.diff(bucket) >= 0).all() and sorted(order) == list(range(len(words)))
+    _, again, other = lm_scoring.dealt(words[::-1].take(pa.array(range(len(words)))))
+    assert dict(zip(raw.to_pylist(), bucket)) == {words[len(words) - 1 - i].as_py().encode(): b for i, b in zip(again, other)}
+    many, _, spread = lm_scoring.dealt(pa.array([f"word{i}" for i in range(200_000)]))
+    assert np.bincount(spread, minlength=1 << lm_scoring.BUCKET_BITS).max() < 4 * len(many) >> lm_scoring.BUCKET_BITS
+
+
+def test_word_counts(spark):
+    rows = [*AWKWARD, *((100 + i, f"two w{i % 7} rare{i}\n" * (1 + i % 5)) for i in range(200))]
+    docs = small_docs(spark, rows).coalesce(2)
+    folder = lm_scoring.word_counts(docs.selectExpr("text", "true AS train"))
+    got = spark.read.parquet(folder)
+    assert got.agg({"total": "sum"}).first()[0] == sum(len((t or "").encode().lower().split()) for _, t in rows)
+    assert got.agg({"known": "sum"}).first()[0] == len({w for _, t in rows for w in (t or "").encode().lower().split()})
+    long = [(i, f"two w{i % 7} rare{i}\n" * (2000 + i % 5)) for i in range(400)]  # several slices a partition
+    docs = small_docs(spark, long).coalesce(1)
+    assert spark.read.parquet(lm_scoring.word_counts(docs.selectExpr("text", "doc_id < 390 AS train"))).selectExpr("max(slice) > 0", "sum(total)", "sum(known)").first() == (True, sum(3 * (2000 + i % 5) for i in range(390)), 398)
+    for g, w in zip(sorted(lm_scoring.score(docs, lm_scoring.Model(rounds=0)).collect()), sorted(base_scores(long)), strict=True):
+        assert (g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:5] and abs(g.base_score / w[5] - 1) < 1e-9
+
+
 def test_no_rows_to_score(spark):
     assert lm_scoring.score(small_docs(spark, [(1, "a")]).limit(0)).count() == 0
 
