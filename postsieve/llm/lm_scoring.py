@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import materialise, new_path, table
-from postsieve.llm.sentencepieces import OTHER_INPUT, by_bytes, mark, model, model_path, numbers, pack_numbers, part_files, slices, split
+from postsieve.llm.sentencepieces import OTHER_INPUT, Kept, by_bytes, mark, model, model_path, numbers, pack_numbers, part_files, slices, split
 
 
 @dataclass(frozen=True)
@@ -48,29 +48,33 @@ class Model:
 def logits(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
     """Class logits (classes, windows x positions) of the positions from skip on, and what backward() needs.
 
-    Keys and classes lie on leading axes, so that sums over them run along whole rows of queries and positions.
+    Keys and classes lie on leading axes, so that sums over them run along whole rows of queries and positions. Attention
+    weights stay unnormalised: what they sum is divided, which has fewer numbers than they are.
     """
     (n, t), d = x.shape, w["O"].shape[0]
-    h = w["E"][x] + w["P"]
+    h = w["E"][x]
+    h += w["P"]
+    to_qkv = w["W"].copy()
+    to_qkv[:, :d] *= np.asarray(d**-0.5, to_qkv.dtype)  # queries come scaled
     if skip:
-        k, v = np.split((h.reshape(-1, d) @ w["W"][:, d:]).reshape(n, t, 2 * d), 2, axis=-1)
+        k, v = np.split((h.reshape(-1, d) @ to_qkv[:, d:]).reshape(n, t, 2 * d), 2, axis=-1)
         h = np.ascontiguousarray(h[:, skip:])
-        q = (h.reshape(-1, d) @ w["W"][:, :d]).reshape(n, t - skip, d)
+        q = (h.reshape(-1, d) @ to_qkv[:, :d]).reshape(n, t - skip, d)
     else:
-        q, k, v = np.split((h.reshape(-1, d) @ w["W"]).reshape(n, t, 3 * d), 3, axis=-1)
+        q, k, v = np.split((h.reshape(-1, d) @ to_qkv).reshape(n, t, 3 * d), 3, axis=-1)
     s = np.matmul(k, q.transpose(0, 2, 1))  # windows, keys, queries
-    s *= np.asarray(d**-0.5, s.dtype)
     np.clip(s, -40, 40, out=s)
     np.exp(s, out=s)
     s *= np.triu(np.ones((t, t), s.dtype))[:, skip:]  # a key serves the queries from its own place on
-    s /= s.sum(axis=1)[:, None, :]
-    a = s.transpose(0, 2, 1)
-    o = np.matmul(a, v)
-    z = h.reshape(-1, d) + o.reshape(-1, d) @ w["O"]
+    r = 1 / s.sum(axis=1)[:, :, None]
+    o = np.matmul(s.transpose(0, 2, 1), v)
+    o *= r
+    z = o.reshape(-1, d) @ w["O"]
+    z += h.reshape(-1, d)
     p = w["C"].T @ z.T
     p += w["b"][:, None]
     np.clip(p, -60, 60, out=p)
-    return p, (h, q, k, v, a, o, z)
+    return p, (h, to_qkv, q, k, v, s, r, o, z)
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -91,27 +95,39 @@ def log_probabilities(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, sk
 
 def backward(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy of classes y where use holds, and its gradients; that of E as (rows, their gradients)."""
-    p, (h, q, k, v, a, o, z) = forward(w, x)
+    p, (h, to_qkv, q, k, v, s, r, o, z) = logits(w, x)
     (b, t), d, n = x.shape, w["O"].shape[0], max(1, int(use.sum()))
     at, one, on = np.arange(b * t), y.ravel(), use.ravel()
-    loss = -float(np.log(p[one, at][on] + 1e-9).sum()) / n
+    np.exp(p, out=p)
+    total = p.sum(axis=0)
+    loss = -float(np.log(p[one, at][on] / total[on] + 1e-9).sum()) / n
+    share = on / np.asarray(n, p.dtype)
     g = p
-    g[one, at] -= 1
-    g *= on / np.asarray(n, p.dtype)
+    g *= share / total
+    g[one, at] -= share
     out = {"C": z.T @ g.T, "b": g.sum(1)}
     dz = g.T @ w["C"].T
     flat = lambda m: m.reshape(-1, m.shape[-1])
     out["O"] = flat(o).T @ dz
     do = (dz @ w["O"].T).reshape(b, t, d)
-    da, dv = np.matmul(do, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), do)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.asarray(d**-0.5, p.dtype)
-    dqkv = flat(np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], axis=-1))
-    out["W"] = flat(h).T @ dqkv
-    dh = dz + dqkv @ w["W"].T
+    do *= r  # of the sums before they are divided
+    ds = np.matmul(v, do.transpose(0, 2, 1))
+    ds -= np.einsum("btd,btd->bt", do, o)[:, None, :]
+    ds *= s
+    dqkv = np.empty((b, t, 3 * d), p.dtype)
+    np.matmul(ds.transpose(0, 2, 1), k, out=dqkv[:, :, :d])
+    np.matmul(ds, q, out=dqkv[:, :, d : 2 * d])
+    np.matmul(s, do, out=dqkv[:, :, 2 * d :])
+    out["W"] = flat(h).T @ flat(dqkv)
+    out["W"][:, :d] *= np.asarray(d**-0.5, p.dtype)
+    dh = dz
+    dh += flat(dqkv) @ to_qkv.T
     out["P"] = dh.reshape(b, t, d).sum(0)
-    order = np.argsort(x, axis=None, kind="stable")
-    ids, first = np.unique(x.ravel()[order], return_index=True)
-    out["E"] = (ids, np.add.reduceat(dh[order], first))
+    ids = x.ravel().astype(np.uint16 if len(w["E"]) <= 1 << 16 else x.dtype)  # numbers of two bytes are sorted by radix
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    out["E"] = (ids[first].astype(np.int64), np.add.reduceat(dh[order], first))
     return loss, out
 
 
@@ -342,7 +358,7 @@ def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, int, np.ndarray]:
     floor = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        counts, kept = None, Kept(model(path))
         for part, number, rows in slices(batches, SLICE):
             counts = counts or WordCounts(folder, part)
             words, codes, sizes = base_words(rows.column(1))
@@ -352,7 +368,7 @@ def encoded(docs: DataFrame, path: str) -> tuple[DataFrame, int, np.ndarray]:
             base = np.bincount(text, (np.log10(c + 1) - floor)[codes], len(sizes)) + math.log10(ends + 1) - floor
             del words, codes, text
             s = split(rows.column(1))
-            ids, low, high = s.join(*model(path).flat(s.distinct))
+            ids, low, high = s.join(*kept.flat(s.words))
             held = pa.array([b"".join([begin, ids[a:b].tobytes(), end]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(sizes + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), held], names=["doc_id", "held_out", "share", "n_tokens", "n_known", "base_score", "ids"])
 

@@ -75,6 +75,23 @@ def test_no_rows_to_score(spark):
     assert lm_scoring.score(small_docs(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 4, 100])
+def test_words_of_earlier_slices_are_segmented_once(most):
+    lib, asked = sentencepieces.model(sentencepieces.model_path()), []
+
+    class Spy:
+        def flat(self, words):
+            asked.extend(words)
+            return lib.flat(words)
+
+    kept = sentencepieces.Kept(Spy(), most)
+    for words in (["one", "", "two"], ["three", "two", "one"], [], ["zürich", "three", "", "one", "four"], ["zürich"]):
+        ids, n = kept.flat(pa.array(words, pa.string()))
+        want, sizes = lib.flat(words)
+        assert ids.tolist() == want.tolist() and n.tolist() == sizes.tolist()
+    assert len(asked) == {0: 12, 4: 7, 100: 6}[most]
+
+
 def test_gradients():
     m = lm_scoring.Model(window=6, stride=4, width=4, classes=3)
     rng = np.random.default_rng(1)
