@@ -328,6 +328,46 @@ def test_no_passage_lies_outside_those_listed(spark, sf_dir):
     assert n > 100
 
 
+def test_frequent_runs_in_other_orders_are_no_pairs(spark, monkeypatch):
+    """Texts of the same word runs in other orders share most of their k-mers; only two of them hold a passage."""
+    rng, made, run = np.random.default_rng(6), {}, passages.materialise
+    texts = [" ".join(" ".join(f"r{k}w{j}" for j in range(4)) for k in rng.permutation(90)) for _ in range(12)]
+    words = texts[3].split()
+    words[100:181:9] = [f"other{i}" for i in range(9)]
+    texts.append(" ".join([texts[7], *words[95:185]]))
+
+    def spy(df, name, *more):
+        made[name] = run(df, name, *more)
+        return made[name]
+
+    monkeypatch.setattr(passages, "materialise", spy)
+    found = passages.passages(small_docs(spark, list(enumerate(texts))).coalesce(1)).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in found} == {(12, 3), (12, 7)}
+    assert {(r.row, r.src) for r in made["pairs_of_rest"].collect()} <= {(12, 3)}
+
+
+def test_k_mers_of_passages_stay():
+    rng, p, n = np.random.default_rng(7), passages.Passages(min_words=16), 0
+    for _ in range(150):
+        a = [b"%d" % i for i in rng.integers(0, 9, 120)]
+        b = [w for w in a for w in [w] * int(rng.choice([0, 1, 1, 1, 1, 1, 1, 1, 1, 2]))][rng.integers(0, 20) :]
+        at = np.array([(i, j) for i in range(len(a) - 3) for j in range(len(b) - 3) if a[i : i + 4] == b[j : j + 4]]).reshape(-1, 2)
+        keep = passages.chained(np.zeros(len(at), int), at[:, 0], at[:, 1], p)
+        stay = {tuple(v) for v in at[keep].tolist()}
+        for i, j in at.tolist():
+            runs = [*passages._extend(a, b, i - 1, j - 1, -1, p)[::-1], *passages._extend(a, b, i, j, 1, p)]
+            for *_, same in passages.equal_enough(runs, p):
+                n += 1
+                assert same < p.min_words or (i, j) in stay
+    assert n > 1000
+    for many in (1, 40, 1 << 21):  # pairs in one call, and looked at together or not
+        hashes = [100 * k + rng.permutation(40) for k in range(6)]
+        sides = [(np.concatenate([hashes[k] for k in ks]), np.tile(np.arange(40), 3), np.full(3, 40)) for ks in ((0, 1, 2), (3, 1, 5))]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(passages, "MOST_COMMON", many)
+            assert [(of.tolist(), x.tolist(), y.tolist()) for of, x, y in passages.met_by(*sides, p) if len(of)] == [([1], [0], [0])]
+
+
 def test_passages_of_a_frequent_seed_and_long_texts(spark):
     """With groups of a few rows, and texts of 30,000 words that share one passage."""
     rows = [(i, f"{FILL(f'x{i}_', 20)} {PASSAGE} {FILL(f'y{i}_', 20)}") for i in range(60)] + [(100 + i, f"{FILL(f'l{i}_', 30_000)} {PASSAGE}") for i in range(2)]
