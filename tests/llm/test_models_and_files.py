@@ -289,6 +289,52 @@ def test_passage_whose_words_all_have_other_holders(spark):
     assert found == {(100, 1, 60)}
 
 
+def test_passages_of_all_pairs_are_not_kept():
+    """Of two blocks' pairs each row keeps the passages that lie in no other; pairs and results are the same however rows are dealt."""
+    p, texts = passages.Passages(), [f"{FILL(f'c{k}_', 20 + k)} {PASSAGE} {FILL(f'd{k}_', 20)}" for k in range(6)]
+    rows, ids = [], {}
+    for k, text in enumerate(texts):
+        w = text.split()
+        seeds = [ids.setdefault(tuple(w[i : i + 4]), len(ids)) for i in range(len(w) - 3)]
+        places = list(range(len(seeds)))
+        rows.append({"row": 10 + k, "doc_id": 5 * k if k else None, "text": text, "seeds": seeds, "places": places, "own_seeds": seeds if k else None, "own_places": places if k else None, "asked": seeds if k else None, "answered": seeds if k < 5 else None})
+    kind = pa.schema([(c, pa.int64()) for c in ("row", "doc_id")] + [("text", pa.string())] + [(c, pa.list_(pa.int32() if "places" in c else pa.int64())) for c in ("seeds", "places", "own_seeds", "own_places", "asked", "answered")])
+    for size in (6, 2, 1):
+        blocks = [passages.Block(pa.Table.from_pylist(rows[a : a + size], schema=kind)) for a in range(0, 6, size)]
+        found = [f for i, own in enumerate(blocks) for src in blocks[: i + 1] for f in passages.passages_of_blocks(own, src, p)]
+        assert sorted({f[:2] for f in found}) == [(10 + k, 10 + j) for k in range(1, 6) for j in range(k)]
+        kept = [f for f in found if f[4] is not None]
+        assert {f for f in kept if f[1] == 10} == {(10 + k, 10, 5 * k, None, 20 + k, 80 + k, 20, 80, 60, 100) for k in range(1, 6)}
+        assert size < 6 or len(kept) == 5
+        best = {k: passages.longest([(*f[3:], f[1]) for f in kept if f[0] == k]) for k in range(11, 16)}
+        assert all(len(x) == 1 and x[0][-1] == 10 for x in best.values())
+    assert passages.longest([(7, 0, 9, 3, 12), (2, 0, 9, 4, 13), (1, 1, 9, 0, 8), (1, 5, 11, 0, 6)]) == [(2, 0, 9, 4, 13), (1, 5, 11, 0, 6)]
+
+
+def plain_walk(a, b, i, j, step, p):
+    n, m, runs = len(a), len(b), []
+    while 0 <= i < n and 0 <= j < m:
+        size = 0
+        while 0 <= i < n and 0 <= j < m and a[i] == b[j]:
+            size, i, j = size + 1, i + step, j + step
+        if size:
+            runs.append((i - size, j - size, size) if step > 0 else (i + 1, j + 1, size))
+        edits = [(i + step * s, j + step * (skip - s)) for skip in range(1, p.max_skip + 1) for s in range(skip + 1)]
+        fits = lambda u, v: all(0 <= u + step * e < n and 0 <= v + step * e < m and a[u + step * e] == b[v + step * e] for e in range(p.resume))
+        i, j = next((x for x in edits if fits(*x)), (n, m))
+    return runs
+
+
+def test_walks_that_share_their_ends():
+    rng, p = np.random.default_rng(9), passages.Passages()
+    for most in (2, 3, 60):
+        a, b = ([b"%d" % x for x in rng.integers(0, most, 70)] for _ in range(2))
+        b[10:60] = a[:30] + a[33:53]
+        walks = passages.Walker(a, b, p)
+        for i, j, step in zip(rng.integers(-1, 71, 600).tolist(), rng.integers(-1, 71, 600).tolist(), rng.choice([-1, 1], 600).tolist(), strict=True):
+            assert walks.extend(i, j, step) == plain_walk(a, b, i, j, step, p)
+
+
 def test_passages_of_short_runs(spark):
     """Every fifth word is replaced: 52 equal words of 64, four in a row."""
     rows = []
@@ -346,6 +392,26 @@ def test_frequent_runs_in_other_orders_are_no_pairs(spark, monkeypatch):
     assert {(r.row, r.src) for r in made["pairs_of_rest"].collect()} <= {(12, 3)}
 
 
+def test_k_mers_of_pairs_are_not_written(spark, monkeypatch):
+    """The second round, in blocks of one row: its tables hold no k-mers and no texts of pairs."""
+    rng, made, run = np.random.default_rng(6), {}, passages.materialise
+    texts = [" ".join(" ".join(f"r{k}w{j}" for j in range(4)) for k in rng.permutation(90)) for _ in range(12)]
+    words = texts[3].split()
+    words[100:181:9] = [f"other{i}" for i in range(9)]
+    texts.append(" ".join([texts[7], *words[95:185]]))
+
+    def spy(df, name, *more):
+        made.setdefault(name, []).append(df.columns)
+        return run(df, name, *more)
+
+    monkeypatch.setattr(passages, "materialise", spy)
+    monkeypatch.setattr(passages, "BLOCK_ROWS", 1)
+    found = passages.passages(small_docs(spark, list(enumerate(texts))).coalesce(1)).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in found} == {(12, 3), (12, 7)}
+    assert made["pairs_of_rest"] == [["row", "src", "doc_id", "src_doc_id", "start", "end", "src_start", "src_end", "n_equal", "percent"]]
+    assert made["pairs_of_blocks"] == [["own", "src"]] and "candidates" not in made
+
+
 def test_k_mers_of_passages_stay():
     rng, p, n = np.random.default_rng(7), passages.Passages(min_words=16), 0
     for _ in range(150):
