@@ -335,9 +335,10 @@ def mine(vectors: DataFrame, p: HardNegatives = HardNegatives()) -> DataFrame:
 
         sent = queries.select(*query_names).mapInArrow(route, f"to bigint, {Queries.SCHEMA}")
         places = blocks.select("cell", "block", "low", "high", "least", "most")
-        sent = sent.join(places, sent["to"] == places["cell"]).select("block", "low", "high", "least", "most", *query_names).mapInArrow(narrow, f"to bigint, {Queries.SCHEMA}")
+        # Spark takes what comes out of route and narrow for no larger than the anchors, which go to many cells and blocks, so sides are named as ones to shuffle.
+        sent = sent.hint("merge").join(places, sent["to"] == places["cell"]).select("block", "low", "high", "least", "most", *query_names).mapInArrow(narrow, f"to bigint, {Queries.SCHEMA}")
         renamed = [F.col(c).alias(f"b_{c}") for c in Block.FIELDS]
-        met = sent.join(blocks.select("block", *renamed), F.col("to") == F.col("block")).select("block", *[f"b_{c}" for c in Block.FIELDS], *query_names)
+        met = sent.hint("merge").join(blocks.select("block", *renamed), F.col("to") == F.col("block")).select("block", *[f"b_{c}" for c in Block.FIELDS], *query_names)
         found = met.mapInArrow(score, "row bigint, tag bigint, other bigint, other_id bigint, score bigint")
         place = F.row_number().over(Window.partitionBy("row", "tag").orderBy(F.desc("score"), "other_id", "other"))
         return found.withColumn("place", place).filter(F.col("place") <= first)
@@ -356,9 +357,10 @@ def mine(vectors: DataFrame, p: HardNegatives = HardNegatives()) -> DataFrame:
     anchors = materialise(blocks.select(*Block.FIELDS).mapInArrow(own, Queries.SCHEMA), "anchors")
     positives = materialise(search(anchors, True, p.positives).select("row", "other_id", "score", "place"), "positives")
     scores = positives.filter("score >= 0").groupBy("row").agg(F.collect_set("score").alias("scores"))  # few each
-    asked = rows.filter(F.col("vec_id") % p.anchor_every == 0).join(scores, "row").select("row", "label", "vec", "scores").mapInArrow(windows, Queries.SCHEMA)
+    asking = rows.filter(F.col("vec_id") % p.anchor_every == 0)
+    asked = asking.hint("merge").join(scores, "row").select("row", "label", "vec", "scores").mapInArrow(windows, Queries.SCHEMA)
     negatives = search(materialise(asked, "windows"), False, p.negatives).select("row", F.col("tag").alias("score"), F.col("place").alias("rank"), F.col("other_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    out = positives.join(negatives, ["row", "score"]).join(rows.select("row", F.col("vec_id").alias("anchor_id")), "row")
+    out = positives.hint("merge").join(negatives, ["row", "score"]).hint("merge").join(asking.select("row", F.col("vec_id").alias("anchor_id")), "row")
     return out.select("anchor_id", F.col("other_id").alias("positive_id"), F.col("rank").cast("int").alias("rank"), "negative_id", F.col("score").alias("positive_score"), "negative_score")
 
 

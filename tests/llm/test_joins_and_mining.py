@@ -67,6 +67,20 @@ def test_hard_negatives(spark, p):
     assert len(want) > 100 and same(hard_negatives.mine(df, p), want)
 
 
+def test_hard_negatives_are_not_sent_through_the_driver(spark, monkeypatch):
+    """What anchors make on their way to cells and blocks is larger than Spark takes it for, so no join's side is broadcast."""
+    plans, run = [], hard_negatives.materialise
+
+    def spy(df, *more):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return run(df, *more)
+
+    monkeypatch.setattr(hard_negatives, "materialise", spy)
+    out = hard_negatives.mine(spark.createDataFrame([(*r, "r", "c", "b") for r in vectors(3, 200, 6, 50)], VECTORS))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in x for x in plans) >= 3 and not any("Broadcast" in x for x in plans)
+
+
 def test_hard_negatives_of_awkward_rows(spark):
     inf, nan = float("inf"), float("nan")
     good = [(0, [1.0, 0.5], 1), (50, [1.0], 1), (50, [1.0], 1), (3, [0.75, -0.25], 2), (4, [0.75, -0.25], 2), (5, [0.5, 0.5], 1), (6, [0.25, 1.0], 3), (7, [], 2), (100, [-1.0, 0.0], 1), (101, [0.0, 0.0], 1)]
