@@ -242,7 +242,7 @@ def mine(vectors: DataFrame, p: HardNegatives = HardNegatives()) -> DataFrame:
     rows = materialise(whole.mapInArrow(pack, "vec_id bigint, label int, vec binary").withColumn("row", F.monotonically_increasing_id()), "vectors", "zstd")
     if not n:
         return spark.createDataFrame([], schema)
-    sample = rows.orderBy(F.xxhash64("vec_id", "row")).limit(p.sample).select("vec").collect()  # bounded by a parameter
+    sample = materialise(rows.orderBy(F.xxhash64("vec_id", "row")).limit(p.sample).select("vec"), "sample").collect()  # each task's first rows meet in a task, the driver gets those of the parameter
     points = far_apart(k.unpack(b"".join(r.vec for r in sample)), p.split_points)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,16 +69,18 @@ def test_hard_negatives(spark, p):
 
 def test_hard_negatives_are_not_sent_through_the_driver(spark, monkeypatch):
     """What anchors make on their way to cells and blocks is larger than Spark takes it for, so no join's side is broadcast."""
-    plans, run = [], hard_negatives.materialise
+    plans, names, run = [], [], hard_negatives.materialise
 
-    def spy(df, *more):
+    def spy(df, name, *more):
         plans.append(df._jdf.queryExecution().sparkPlan().toString())
-        return run(df, *more)
+        names.append(name)
+        return run(df, name, *more)
 
     monkeypatch.setattr(hard_negatives, "materialise", spy)
     out = hard_negatives.mine(spark.createDataFrame([(*r, "r", "c", "b") for r in vectors(3, 200, 6, 50)], VECTORS))
     plans.append(out._jdf.queryExecution().sparkPlan().toString())
     assert sum("SortMergeJoin" in x for x in plans) >= 3 and not any("Broadcast" in x for x in plans)
+    assert "sample" in names  # made by tasks: each one's first rows don't come to the driver
 
 
 def test_hard_negatives_of_awkward_rows(spark):
